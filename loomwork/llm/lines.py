@@ -30,16 +30,22 @@ from loomwork.llm.common import SPACE, ascii_lower, drop_scratch, join_keyed, on
 LEAST_DOCS = 10
 BATCHES = 4
 FAN_IN = 2
+#: Frequent keys (33 bytes each) that are sent to every task; more are joined.
+MOST_LOOKUP = 50_000
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def key_of(line: Column) -> Column:
-    """MD5 of the stripped, lower-cased line; null where nothing is left."""
+def digest_of(line: Column) -> Column:
+    """MD5 in hex of the stripped, lower-cased line; null where nothing is left."""
     stripped = F.trim(line, F.lit(SPACE))
-    return F.when(F.length(stripped) > 0, F.unhex(F.md5(ascii_lower(stripped).cast("binary"))))
+    return F.when(F.length(stripped) > 0, F.md5(ascii_lower(stripped).cast("binary")))
+
+
+def key_of(line: Column) -> Column:
+    return F.unhex(digest_of(line))
 
 
 class LineRuns:
@@ -104,21 +110,43 @@ def frequent_keys(df: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BA
     return found
 
 
-def clean(df: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
-    """df with text less the frequent lines, and n_lines and n_dropped beside it as _n_lines and _n_dropped.
+def lookup(hot: DataFrame) -> tuple[Column, int]:
+    """The keys of hot, which the caller has counted, as a constant of buckets, and the number of buckets.
+
+    Line keys find theirs within the row of their text. Spark folds the expression into one array.
+    """
+    keys = [r[0] for r in hot.select(F.lower(F.hex("line_key"))).collect()]
+    buckets: list[list[str]] = [[] for _ in range(max(1, len(keys)))]
+    for k in keys:
+        buckets[int(k[:8], 16) % len(buckets)].append(k)
+    constant = F.lit(";".join(",".join(b) for b in buckets))
+    return F.transform(F.split(constant, ";"), lambda b: F.split(b, ",")), len(buckets)
+
+
+def clean(df: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, most_lookup: int = MOST_LOOKUP) -> DataFrame:
+    """df with text less the frequent lines, and the numbers of lines before and of those dropped as _n_lines, _n_dropped.
 
-    A document's identity in the join is (doc_id, digest of text), so rows that share a doc_id don't mix.
+    The frequent keys are counted. Up to most_lookup of them go to all tasks as a table of buckets, and no text is
+    shuffled. Beyond that, lines are joined to keys and the numbers of the dropped lines to the documents; a document is
+    then known by (doc_id, digest of text), so that rows that share a doc_id don't mix.
     """
     unknown(df, ["doc_id", "text"])
     hot = frequent_keys(df, least_docs, batches)
-    named = df.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    lines = named.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_of"), F.posexplode(F.transform(lines_of(F.col("text")), key_of)).alias("_line", "line_key")).filter(F.col("line_key").isNotNull())
-    drops = join_keyed(lines, hot, "line_key").groupBy("_id", "_of").agg(F.collect_set("_line").alias("_drops"))
-    both = named.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left").drop("_id", "_of", "_digest")
-    split = both.withColumn("_all", lines_of(F.col("text")))
-    rest = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.coalesce("_drops", F.array().cast("array<int>")))
-    kept = F.when(F.col("_drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(rest, lambda i: F.get(F.col("_all"), i)), "\n"))
-    return split.withColumns({"text": kept, "_n_lines": F.size("_all").cast("long"), "_n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("long")}).drop("_all", "_drops")
+    n = hot.count()
+    split = df.withColumn("_all", lines_of(F.col("text")))
+    if n <= most_lookup:
+        slots, buckets = lookup(hot)
+        place = lambda k: F.pmod(F.conv(F.substring(k, 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+        fine = lambda k: k.isNull() | ~F.array_contains(F.get(slots, place(k)), k)
+        rest = split.withColumn("_rest", F.filter("_all", lambda x: F.element_at(F.transform(F.array(digest_of(x)), fine), 1)))
+        return rest.withColumns({"text": F.array_join("_rest", "\n"), "_n_lines": F.size("_all").cast("long"), "_n_dropped": (F.size("_all") - F.size("_rest")).cast("long")}).drop("_all", "_rest")
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    lines = df.select(F.col("doc_id").alias("_id"), digest.alias("_of"), F.posexplode(F.transform(lines_of(F.col("text")), key_of)).alias("_line", "line_key")).filter(F.col("line_key").isNotNull())
+    drops = join_keyed(lines, hot, "line_key", broadcast_rows=most_lookup).groupBy("_id", "_of").agg(F.collect_set("_line").alias("_drops"))
+    both = split.withColumn("_digest", digest).join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left").drop("_id", "_of", "_digest")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.coalesce("_drops", F.array().cast("array<int>")))
+    text = F.when(F.col("_drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_all"), i)), "\n"))
+    return both.withColumns({"text": text, "_n_lines": F.size("_all").cast("long"), "_n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("long")}).drop("_all", "_drops")
 
 
 def report(df: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
