@@ -111,16 +111,16 @@ def frequent_keys(df: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BA
 
 
 def lookup(hot: DataFrame) -> tuple[Column, int]:
-    """The keys of hot, which the caller has counted, as a constant of buckets, and the number of buckets.
+    """The keys of hot, which the caller has counted, as a constant array of buckets, and the number of buckets.
 
-    Line keys find theirs within the row of their text. Spark folds the expression into one array.
+    A bucket is a string of keys in hex with commas between them. Line keys look for themselves in their bucket within the
+    row of their text.
     """
     keys = [r[0] for r in hot.select(F.lower(F.hex("line_key"))).collect()]
     buckets: list[list[str]] = [[] for _ in range(max(1, len(keys)))]
     for k in keys:
         buckets[int(k[:8], 16) % len(buckets)].append(k)
-    constant = F.lit(";".join(",".join(b) for b in buckets))
-    return F.transform(F.split(constant, ";"), lambda b: F.split(b, ",")), len(buckets)
+    return F.split(F.lit(";".join(",".join(b) for b in buckets)), ";"), len(buckets)
 
 
 def clean(df: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, most_lookup: int = MOST_LOOKUP) -> DataFrame:
@@ -137,7 +137,7 @@ def clean(df: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, m
     if n <= most_lookup:
         slots, buckets = lookup(hot)
         place = lambda k: F.pmod(F.conv(F.substring(k, 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
-        fine = lambda k: k.isNull() | ~F.array_contains(F.get(slots, place(k)), k)
+        fine = lambda k: k.isNull() | ~F.contains(F.get(slots, place(k)), k)
         rest = split.withColumn("_rest", F.filter("_all", lambda x: F.element_at(F.transform(F.array(digest_of(x)), fine), 1)))
         return rest.withColumns({"text": F.array_join("_rest", "\n"), "_n_lines": F.size("_all").cast("long"), "_n_dropped": (F.size("_all") - F.size("_rest")).cast("long")}).drop("_all", "_rest")
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
