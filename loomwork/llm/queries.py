@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, lines, mixing, rules, simhash, toxicity
+from loomwork.llm import bpe, lines, mixing, pii, rules, simhash, toxicity
 from loomwork.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op1_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_trie": op1_simhash_trie,
     "op4_quality_rules": op4_quality_rules,
+    "op2_pii_bilstm_crf": op2_pii_bilstm_crf,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op9_source_mixing": op9_source_mixing,
