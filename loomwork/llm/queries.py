@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, lines, mixing, pii, rules, simhash, toxicity
+from loomwork.llm import bpe, flac, lines, mixing, pii, rules, simhash, tokens, toxicity
 from loomwork.llm.common import table
 
 
@@ -27,6 +27,14 @@ def op2_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.report(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,10 +58,12 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_trie": op1_simhash_trie,
+    "op3_flac_media": op3_flac_media,
     "op4_quality_rules": op4_quality_rules,
     "op2_pii_bilstm_crf": op2_pii_bilstm_crf,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
+    "op7_token_counts": op7_token_counts,
     "op9_source_mixing": op9_source_mixing,
     "op10_bpe_codec": op10_bpe_codec,
 }
