@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -52,6 +53,12 @@ def drop_scratch(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it does once the driver has collected their handles."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def join_keyed(big: DataFrame, small: DataFrame, key: str, how: str = "inner", broadcast_rows: int = 50_000, salts: int = 32) -> DataFrame:
     """Join big to small, whose key is unique, without one hot key of big landing in one task.
 

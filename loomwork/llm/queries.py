@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, flac, lines, mixing, pii, rules, simhash, tokens, toxicity
+from loomwork.llm import bpe, flac, lines, mixing, pii, rules, simhash, suffixes, tokens, toxicity
 from loomwork.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     return out.select("doc_id", "text", "lang", "source", "n_chars", F.col("_copy").cast("long").alias("copy_no"), F.col("_copies").cast("long").alias("n_copies"), F.col("_mix").alias("mix_key"))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_bpe_codec": op10_bpe_codec,
 }
