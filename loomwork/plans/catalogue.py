@@ -1,4 +1,4 @@
 """All registered queries of the retrieval, graph and text operators with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loomwork.plans import queries_graph, queries_search, queries_state, queries_text  # noqa: F401  they register themselves
+from loomwork.plans.base import ORACLES, QUERIES  # noqa: F401
