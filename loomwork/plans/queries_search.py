@@ -408,3 +408,34 @@ def context_sources(spark, d):
 def sufficiency(spark, d):
     c = candidates(spark, d).groupBy("query_id").agg(F.max("content").alias("context"))
     return questions(spark, d).join(c, "query_id", "left").select("query_id", E.sufficient(F.col("context"), F.lit(None).cast("boolean")).alias("sufficient"))
+
+
+# --- whole plans
+
+
+def knowledge(spark, d):
+    """Documents as chunks of one, with the attributes that rules and ranking ask for."""
+    return docs(spark, d).withColumn("chunk_id", F.col("doc_id").cast("string")).withColumn("chunk_index", F.lit(0))
+
+
+@query("retrieve_pipeline")
+def retrieve_pipeline(spark, d):
+    from loomwork.config import Retrieval
+    from loomwork.plans.pipeline import retrieve
+
+    out = retrieve(questions(spark, d), knowledge(spark, d), Retrieval(rerank="rrf", mmr=True), term_vectors, today=today())
+    return out.select("query_id", "chunk_id", "ord", V.score(F.col("score")).alias("score"))
+
+
+@query("generate_pipeline")
+def generate_pipeline(spark, d):
+    from loomwork.plans.pipeline import generate
+
+    return generate(questions(spark, d), knowledge(spark, d), embed=term_vectors).select("query_id", "answer", "faithful", "blocked")
+
+
+@query("ingest_pipeline")
+def ingest_pipeline(spark, d):
+    from loomwork.plans.pipeline import ingest
+
+    return ingest(docs(spark, d)).select("doc_id", "chunk_id", "chunk_index", "chunk_strategy", "content")
