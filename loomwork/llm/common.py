@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -36,11 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def scratch(df: DataFrame, tag: str, *sort: str) -> DataFrame:
+def scratch(df: DataFrame, tag: str, *sort: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,9 +55,14 @@ def drop_scratch(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs, which it does once the driver has collected their handles."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished jobs, which it does once the driver has collected their handles.
+
+    The handles of Python's objects go first, those of the JVM after them, hence two rounds.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def join_keyed(big: DataFrame, small: DataFrame, key: str, how: str = "inner", broadcast_rows: int = 50_000, salts: int = 32) -> DataFrame:

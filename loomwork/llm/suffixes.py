@@ -3,9 +3,11 @@
 A byte goes if it lies in a string of LENGTH bytes that also starts in a document with a smaller doc_id. All strings are
 judged on the input, and none crosses documents.
 
-Sorting all suffixes of a corpus would move each byte many times over. Two lossless steps come first:
+Sorting all suffixes of a corpus would move each byte many times over. Three lossless steps come first:
 
-* Sifting. Each window of LENGTH bytes names its minimizer: of the 16-byte grams in it the one with the least hash, the
+* Copies. Equal texts go to the same slice of documents (a text with more than COPIES copies is spread over several), where
+  the first stands for all; the others lose everything.
+* Sifting. Each window of LENGTH bytes names its minimizer: of the 20-byte grams in it the one with the least hash, the
   leftmost of equals. Equal windows have equal minimizers. Slices of documents send their sets of minimizers, packed, to
   buckets by hash; a minimizer found in one document alone can't belong to a string that two documents share, and its
   windows are done with.
@@ -16,13 +18,14 @@ Sorting all suffixes of a corpus would move each byte many times over. Two lossl
 The contexts are dealt out by minimizer and each task sorts the suffixes of its contexts by the difference cover modulo 3:
 the triples at places 1 and 2 are sorted and named, the string of names is sorted by recursion unless the names differ,
 the remaining suffixes are sorted by a byte and the rank after it, and both lists are merged. Neighbours in that order that
-agree in LENGTH bytes are equal windows; the least document of each class decides. A minimizer with more than HOT contexts
-(such as at the edge of a passage that a large part of the documents share) is not left to one task: its windows are
-hashed (128 bits) and reduced by min like any key.
+agree in LENGTH bytes are equal windows; the least document of each class decides. Minimizers are counted in
+bins; those of a bin with more than HOT contexts (such as a minimizer of a passage that a large part of the documents share)
+are not left to one task: equal contexts are reduced to one, their windows are hashed (128 bits) and reduced by min like any
+key, and the result is joined to the contexts.
 
 Where a document holds a context that an earlier document has too, all of it goes. Where it is itself the first, those of
 its windows go whose class has an earlier document. Contexts that share less than a window are dropped before the sort:
-two contexts can only share one if they agree in the 17 bytes to the left or to the right of the minimizer.
+two contexts can only share one if they agree in the 15 bytes to the left or to the right of the minimizer.
 
 Defined cases: null text counts as empty; texts shorter than LENGTH lose nothing; a null doc_id counts as larger than all
 others, and rows without one don't affect each other; rows that share a doc_id are one document and don't affect each
@@ -39,13 +42,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest as xxh64
 
 from loomwork.llm.common import drop_scratch, only, release, scratch, unknown
 
 LENGTH = 50
-GRAM = 16
-#: Distinct contexts of one minimizer that a task sorts.
+GRAM = 20
+#: Copies of one text in a slice.
+COPIES = 200
+#: Texts with more copies than that are a broadcast table up to this many; with more of them copies are not gathered.
+MOST_COPIED = 50_000
+#: Contexts (with their copies in other slices) of one bin of minimizers that a task sorts, and bytes of text behind a bin.
 HOT = 20_000
+BIN_BYTES = 16_000
 #: Bytes of text in a slice, of text behind a bucket of minimizers, and of contexts behind a task that sorts.
 SLICE_BYTES = 8_000_000
 BUCKET_BYTES = 16_000_000
@@ -62,12 +71,15 @@ LAST = (1 << 63) - 1
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of the 16 bytes at each place."""
+    """A mixed 64-bit hash of the GRAM bytes at each place."""
     x = b.astype(np.uint64)
-    for step in (1, 2, 4):
+    for step in (1, 2):
         x = x[:-step] | x[step:] << np.uint64(8 * step)
-    low, high = x[:-8] * np.uint64(0x9E3779B97F4A7C15), x[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h = low ^ (high << np.uint64(31) | high >> np.uint64(33))
+    tail = x[16:] * np.uint64(0x165667B19E3779F9)
+    x = x[:-4] | x[4:] << np.uint64(32)
+    n = len(tail)
+    low, high = x[:n] * np.uint64(0x9E3779B97F4A7C15), x[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = low ^ (high << np.uint64(31) | high >> np.uint64(33)) ^ (tail << np.uint64(17) | tail >> np.uint64(47))
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ h >> np.uint64(32)
@@ -225,17 +237,45 @@ def sifted(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - SIFT_BITS)
 
 
-def texts_of(t: pa.Table) -> list[bytes]:
-    return t.column("data").to_pylist()
+def originals(t: pa.Table) -> tuple[list[bytes], list[int], np.ndarray]:
+    """A slice's texts with a place each: the row that stands for equal texts, and whether the row is such a row.
+
+    The first by doc_id stands for its copies.
+    """
+    data, o = t.column("data").to_pylist(), t.column("o").to_numpy()
+    first: dict[bytes, int] = {}
+    for i, d in enumerate(data):
+        j = first.setdefault(d, i)
+        if o[i] < o[j]:
+            first[d] = i
+    of = [first[d] for d in data]
+    return data, of, np.array([i == j for i, j in enumerate(of)], bool)
+
+
+def numbered(o: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Rows that share a doc_id, counted by the hash of their text: with the slice and the doc_id it names a row."""
+    order = np.lexsort((r, o))
+    new = np.append(True, o[order][1:] != o[order][:-1])
+    at = np.arange(len(o))
+    out = np.empty(len(o), np.int32)
+    out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return out
+
+
+def only_originals(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Texts, o and number of the rows that stand for equal texts."""
+    data, _, own = originals(t)
+    o, r = t.column("o").to_numpy()[own], t.column("r").to_numpy()[own]
+    return [d for d, x in zip(data, own, strict=True) if x], o, numbered(o, r)
 
 
 def sets_of_slice(buckets: int, length: int):
     """A slice's distinct minimizers by bucket, and which of them two documents of the slice share."""
 
     def run(t: pa.Table) -> pa.Table:
-        o = t.column("o").to_numpy()
+        texts, o, _ = only_originals(t)
         hs, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for _, doc, _, _, _, h, _ in document_contexts(texts_of(t), length):
+        for _, doc, _, _, _, h, _ in document_contexts(texts, length):
             hs.append(sifted(h))
             docs.append(o[doc])
         h, d = np.concatenate(hs), np.concatenate(docs)
@@ -272,35 +312,41 @@ def hits_of_bucket(buckets: int):
 
 
 def contexts_of_slice(length: int):
-    """The contexts whose minimizer is found in another document."""
+    """The contexts whose minimizer is found in another document; of equal ones in the slice the first has the bytes."""
 
     def run(t: pa.Table, found: pa.Table) -> pa.Table:
-        if not t.num_rows:
+        if not t.num_rows or not found.num_rows:
             return CONTEXT.empty_table()
-        known = np.sort(np.concatenate([np.empty(0, np.uint64), *(unpacked(x) for x in found.column("hits").to_pylist())]))
-        o, r = t.column("o").to_numpy(), t.column("r").to_numpy()
-        hs, os_, rs, pos, core, pieces = [], [], [], [], [], []
-        for b, doc, base, first, last, h, at in document_contexts(texts_of(t), length):
+        known = np.sort(np.concatenate([unpacked(x) for x in found.column("hits").to_pylist()]))
+        if not len(known):
+            return CONTEXT.empty_table()
+        texts, o, k = only_originals(t)
+        parts = []
+        for b, doc, base, first, last, h, at in document_contexts(texts, length):
             s = sifted(h)
-            near = np.searchsorted(known, s)
-            ok = np.flatnonzero((near < len(known)) & (known[np.minimum(near, max(0, len(known) - 1))] == s)) if len(known) else np.empty(0, np.int64)
+            near = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            ok = np.flatnonzero(known[near] == s)
             raw = b.tobytes()
-            hs.append(h[ok])
-            os_.append(o[doc[ok]])
-            rs.append(r[doc[ok]])
-            pos.append(first[ok] - base[ok])
-            core.append(at[ok] - first[ok])
-            pieces += [raw[a:z] for a, z in zip(first[ok].tolist(), (last[ok] + length).tolist(), strict=True)]
-        if not hs:
+            pieces = [raw[a:z] for a, z in zip(first[ok].tolist(), (last[ok] + length).tolist(), strict=True)]
+            core = (at[ok] - first[ok]).astype(np.int32)
+            c = np.fromiter((xxh64(p, k) for p, k in zip(pieces, core.tolist(), strict=True)), np.uint64, len(pieces)).view(np.int64)
+            parts.append((h[ok].view(np.int64), c, o[doc[ok]], k[doc[ok]], first[ok] - base[ok], core, np.array([len(p) for p in pieces], np.int32), pieces))
+        cols = [np.concatenate([p[i] for p in parts]) for i in range(7)] if parts else None
+        if cols is None:
             return CONTEXT.empty_table()
-        join = lambda x, kind: pa.array(np.concatenate(x).astype(kind))
-        return pa.table({"h": pa.array(np.concatenate(hs).view(np.int64)), "o": join(os_, np.int64), "r": join(rs, np.int64), "pos": join(pos, np.int64), "core": join(core, np.int32), "piece": pa.array(pieces, pa.binary())}, schema=CONTEXT)
+        pieces = [x for p in parts for x in p[7]]
+        h, c, owner = cols[0], cols[1], cols[2]
+        order = np.lexsort((owner, c, h))
+        same = np.append(False, (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1]))
+        for i in order[same].tolist():
+            pieces[i] = None
+        return pa.table([*(pa.array(x) for x in cols), pa.array(pieces, pa.binary())], schema=CONTEXT)
 
     return run
 
 
-CONTEXT = pa.schema([("h", pa.int64()), ("o", pa.int64()), ("r", pa.int64()), ("pos", pa.int64()), ("core", pa.int32()), ("piece", pa.binary())])
-RUNS = "h bigint, c bigint, runs array<struct<a:int,z:int>>"
+CONTEXT = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("o", pa.int64()), ("k", pa.int32()), ("pos", pa.int64()), ("core", pa.int32()), ("size", pa.int32()), ("piece", pa.binary())])
+RANGES = "slice int, o bigint, k int, start bigint, end bigint"
 
 
 # --- sorting over the cluster
@@ -323,90 +369,129 @@ def may_share(h: np.ndarray, core: np.ndarray, pieces: list[bytes], length: int)
 
 
 def sort_contexts(length: int):
-    """h, c, runs of distinct contexts some of whose windows an earlier document has. Tasks hold whole minimizers."""
+    """slice, o, k, start, end: bytes of contexts that an earlier document has. Tasks hold whole minimizers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
+        parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        h, c, m, core = (t.column(x).to_numpy() for x in ("h", "c", "m", "core"))
-        order = np.argsort(h, kind="stable")
-        alone = np.append(True, h[order][1:] != h[order][:-1])
-        alone &= np.append(alone[1:], True)
-        order = order[~alone]  # a minimizer with one context has no other window to compare
-        pieces = t.column("piece")
+        del parts
+        order = np.lexsort((pc.is_null(t.column("piece")).to_numpy(), t.column("c").to_numpy(), t.column("h").to_numpy()))
+        h, c, o, size, core = (t.column(x).to_numpy()[order] for x in ("h", "c", "o", "size", "core"))
+        at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])))  # the first row of each context, which has its bytes
+        m = np.minimum.reduceat(o, at)
+        of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
+        where = [t.column(x).to_numpy()[order] for x in ("slice", "o", "k", "pos")]
+        later = np.flatnonzero(o > m[of])
+        yield ranges_batch(*(x[later] for x in where), np.zeros(len(later), np.int64), size[later])
+        pieces, h, core, size = t.column("piece").take(pa.array(order[at])), h[at], core[at], size[at]
+        del t
+        bounds = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
+        total = np.append(0, np.cumsum(size.astype(np.int64)))
+        many = np.repeat(np.diff(bounds) > 1, np.diff(bounds))  # a minimizer with one context has no other window to compare
+        firsts = np.flatnonzero(o == m[of])
         start = 0
-        bounds = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])) if len(order) else np.empty(0, np.int64)
-        bounds = np.append(bounds, len(order))
-        size = np.cumsum(np.append(0, pc.binary_length(pieces).to_numpy()[order]))
         while start < len(bounds) - 1:
-            stop = max(start + 1, int(np.searchsorted(size[bounds], size[bounds[start]] + CHUNK, side="right")) - 1)
-            pick = order[bounds[start] : bounds[stop]]
+            stop = max(start + 1, int(np.searchsorted(total[bounds], total[bounds[start]] + CHUNK, side="right")) - 1)
+            pick = np.flatnonzero(many[bounds[start] : bounds[stop]]) + bounds[start]
+            start = stop
             raw = pieces.take(pa.array(pick)).to_pylist()
             keep = np.flatnonzero(may_share(h[pick], core[pick], raw, length))
-            start = stop
             if not len(keep):
                 continue
             found = earlier_windows([raw[i] for i in keep], m[pick[keep]], length)
-            some = [i for i, x in enumerate(found) if x]
-            if some:
-                at = pick[keep[some]]
-                runs = pa.array([[{"a": a, "z": z} for a, z in found[i]] for i in some], pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(c[at]), runs], ["h", "c", "runs"])
+            runs = np.array([(int(pick[i]), a, z) for i, x in zip(keep.tolist(), found, strict=True) for a, z in x], np.int64).reshape(-1, 3)
+            if len(runs):
+                # the runs of a context go to each row of its least document
+                low, high = np.searchsorted(of[firsts], runs[:, 0]), np.searchsorted(of[firsts], runs[:, 0], side="right")
+                each = np.repeat(np.arange(len(runs)), high - low)
+                row = firsts[np.repeat(low, high - low) + np.arange(len(each)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)]
+                yield ranges_batch(*(x[row] for x in where), runs[each, 1], runs[each, 2])
 
     return run
 
 
+def ranges_batch(slice_: np.ndarray, o: np.ndarray, k: np.ndarray, pos: np.ndarray, a: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(slice_), pa.array(o), pa.array(k), pa.array(pos + a), pa.array(pos + z)], ["slice", "o", "k", "start", "end"])
+
+
 def hashed_windows(hot: DataFrame, length: int) -> DataFrame:
-    """As sort_contexts, for minimizers with too many contexts for a task: windows are reduced by their digest."""
+    """h, c, m, runs of distinct contexts, as sort_contexts would find them: windows are reduced by their digest."""
+    distinct = hot.filter(F.col("piece").isNotNull()).groupBy("h", "c").agg(F.min("o").alias("m"), F.first("piece").alias("piece"))
     at = F.sequence(F.lit(0), F.length("piece") - length)
-    rows = hot.select("h", "c", "m", "piece", F.explode(at).alias("a")).select("h", "c", "m", "a", F.md5(F.expr(f"substring(piece, a + 1, {length})")).alias("w"))
+    rows = distinct.select("h", "c", "m", "piece", F.explode(at).alias("a")).select("h", "c", "m", "a", F.md5(F.expr(f"substring(piece, a + 1, {length})")).alias("w"))
     least = rows.groupBy("w").agg(F.min("m").alias("first"))
-    gone = rows.join(least, "w").filter(F.col("first") < F.col("m"))
-    return gone.groupBy("h", "c").agg(F.sort_array(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), (F.col("a") + length).cast("int").alias("z")))).alias("runs"))
-
-
-def runs_of(found: DataFrame, total: int, length: int, hot_contexts: int) -> DataFrame:
-    """h, c, m, runs of the distinct contexts; c is a second hash of the bytes, m the least document."""
-    named = found.withColumn("c", F.xxhash64("piece", "core"))
-    distinct = scratch(named.groupBy("h", "c").agg(F.min("o").alias("m"), F.first("core").alias("core"), F.first("piece").alias("piece")), "suffix-distinct")
-    per = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    hot = scratch(per.filter(F.col("n") > hot_contexts).select("h"), "suffix-hot")
-    plain, runs = distinct, None
-    if hot.head(1):
-        plain = distinct.join(hot, "h", "left_anti")
-        runs = hashed_windows(distinct.join(hot, "h", "left_semi"), length)
-    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SORT_BYTES))
-    sort = plain.select("h", "c", "m", "core", "piece").repartition(tasks, "h").mapInArrow(sort_contexts(length), RUNS)
-    runs = sort if runs is None else sort.unionByName(runs)
-    return distinct.select("h", "c", "m").join(runs, ["h", "c"], "left")
+    run = F.struct(F.col("a").cast("int").alias("a"), (F.col("a") + length).cast("int").alias("z"))
+    gone = rows.join(least, "w").withColumn("run", F.when(F.col("first") < F.col("m"), run))
+    return gone.groupBy("h", "c").agg(F.min("m").alias("m"), F.collect_list("run").alias("runs"))
+
+
+def ranges_of(found: DataFrame, total: int, length: int, hot_contexts: int) -> DataFrame:
+    """slice, o, k, start, end: the bytes of contexts that an earlier document has."""
+    bins = max(1, total // BIN_BYTES)
+    found = found.withColumn("bin", F.pmod("h", F.lit(bins)))
+    hot = scratch(found.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_contexts).select("bin"), "suffix-hot")
+    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SORT_BYTES))
+    needed = ["h", "c", "slice", "o", "k", "pos", "core", "size", "piece"]
+    sort = lambda df: df.select(*needed).repartition(tasks, "h").mapInArrow(sort_contexts(length), RANGES)
+    if not hot.head(1):
+        return sort(found)
+    crowded = found.join(hot, "bin", "left_semi")
+    spots = crowded.drop("piece").join(hashed_windows(crowded, length), ["h", "c"])
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("z")))
+    gone = spots.select("slice", "o", "k", "pos", F.explode(F.when(F.col("o") > F.col("m"), whole).otherwise(F.col("runs"))).alias("run"))
+    gone = gone.select("slice", "o", "k", (F.col("pos") + F.col("run.a")).alias("start"), (F.col("pos") + F.col("run.z")).alias("end"))
+    return sort(found.join(hot, "bin", "left_anti")).unionByName(gone)
+
+
+def sliced(df: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, o (its order), r (hash of the text), data, slice of the documents, and the bytes of all texts together."""
+    docs = only(df, "doc_id", "text").select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    docs = docs.withColumn("r", F.xxhash64("data"))
+    per = scratch(docs.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("data").cast("long")).alias("size")), "suffix-texts")
+    total = per.agg(F.sum("size")).first()[0] or 0
+    slices = max(1, -(-total // SLICE_BYTES))
+    copied = per.filter(F.col("n") > COPIES).select("r", F.ceil(F.col("n") / COPIES).alias("spread"))
+    if copied.count() > MOST_COPIED:
+        salt = F.xxhash64("o")
+    else:
+        docs = docs.join(F.broadcast(copied), "r", "left")
+        salt = F.when(F.col("spread").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("o"), F.col("spread")))
+    return docs.select("doc_id", "o", "r", "data", F.pmod(F.xxhash64("r", salt.cast("long")), F.lit(slices)).cast("int").alias("slice")), total
 
 
 def repeats(df: DataFrame, length: int = LENGTH, hot_contexts: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """The documents as (slice, o, r, doc_id, data) and the byte ranges to remove as (slice, o, r, start, end)."""
+    """The documents as (doc_id, o, r, data, slice), and the byte ranges that those which stand for equal texts lose, as
+    (slice, o, k, start, end) with k by numbered()."""
     unknown(df, ["doc_id", "text"])
     spark = df.sparkSession
-    docs = only(df, "doc_id", "text").select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    total = docs.agg(F.sum(F.length("data").cast("long"))).first()[0] or 0
-    slices, buckets = max(1, -(-total // SLICE_BYTES)), max(1, -(-total // BUCKET_BYTES))
-    docs = docs.withColumn("r", F.xxhash64("data")).withColumn("slice", F.pmod(F.xxhash64("o", "r"), F.lit(slices)).cast("int"))
+    docs, total = sliced(df)
+    buckets = max(1, -(-total // BUCKET_BYTES))
     sets = docs.groupBy("slice").applyInArrow(sets_of_slice(buckets, length), "bucket int, slice int, hashes binary, shared binary")
     hits = sets.groupBy("bucket").applyInArrow(hits_of_bucket(buckets), "slice int, hits binary")
-    found = docs.groupBy("slice").cogroup(hits.groupBy("slice")).applyInArrow(contexts_of_slice(length), "h bigint, o bigint, r bigint, pos bigint, core int, piece binary")
-    found = scratch(found, "suffix-contexts")
+    kinds = "h bigint, c bigint, o bigint, k int, pos bigint, core int, size int, piece binary, slice int"
+    found = docs.groupBy("slice").cogroup(hits.groupBy("slice")).applyInArrow(with_slice(contexts_of_slice(length)), kinds)
+    found = scratch(found, "suffix-contexts", codec="zstd")
+    del sets, hits
     release(spark)
-    runs = runs_of(found, total, length, hot_contexts)
-    spots = found.select("h", F.xxhash64("piece", "core").alias("c"), "o", "r", "pos", F.length("piece").alias("size")).join(runs, ["h", "c"])
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("size").cast("int").alias("z")))
-    gone = spots.select("o", "r", "pos", F.explode(F.when(F.col("o") > F.col("m"), whole).otherwise(F.col("runs"))).alias("run"))
-    ranges = gone.select(F.pmod(F.xxhash64("o", "r"), F.lit(slices)).cast("int").alias("slice"), "o", "r", (F.col("pos") + F.col("run.a")).alias("start"), (F.col("pos") + F.col("run.z")).alias("end"))
-    ranges = scratch(ranges, "suffix-ranges")
+    ranges = scratch(ranges_of(found, total, length, hot_contexts), "suffix-ranges", codec="zstd")
     drop_scratch(found)
     release(spark)
     return docs, ranges
 
 
+def with_slice(make):
+    """make's table with the slice of the left group."""
+
+    def run(t: pa.Table, other: pa.Table) -> pa.Table:
+        out = make(t, other)
+        mine = t.column("slice")[0].as_py() if t.num_rows else None
+        return out.append_column("slice", pa.array([mine] * out.num_rows, pa.int32()))
+
+    return run
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of the union of ranges."""
     order = np.argsort(starts, kind="stable")
@@ -416,17 +501,24 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[at].tolist(), ends[np.append(at[1:], len(starts)) - 1].tolist(), strict=True))
 
 
-def each_document(docs: DataFrame, ranges: DataFrame, make, columns: list[tuple[str, pa.DataType]], fields: str) -> DataFrame:
+def each_document(docs: DataFrame, ranges: DataFrame, length: int, make, columns: list[tuple[str, pa.DataType]], fields: str) -> DataFrame:
     """make(data, runs) for each document, with the runs of bytes to remove."""
     names = ["doc_id", *(n for n, _ in columns)]
 
     def run(t: pa.Table, gone: pa.Table) -> pa.Table:
-        o, r, a, z = (gone.column(c).to_numpy() for c in ("o", "r", "start", "end"))
-        order = np.lexsort((r, o))
-        o, r, a, z = o[order], r[order], a[order], z[order]
-        at = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (r[1:] != r[:-1]))) if len(o) else np.empty(0, np.int64)
-        of = {(int(o[i]), int(r[i])): merged(a[i:j], z[i:j]) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(o)], strict=True)}
-        rows = [make(d, of.get((i, j), [])) for i, j, d in zip(t.column("o").to_pylist(), t.column("r").to_pylist(), texts_of(t), strict=True)]
+        o, k, a, z = (gone.column(c).to_numpy() for c in ("o", "k", "start", "end"))
+        order = np.lexsort((k, o))
+        o, k, a, z = o[order], k[order], a[order], z[order]
+        at = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (k[1:] != k[:-1]))) if len(o) else np.empty(0, np.int64)
+        of = {(int(o[i]), int(k[i])): merged(a[i:j], z[i:j]) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(o)], strict=True)}
+        data, standing, own = originals(t)
+        owner = t.column("o").to_numpy()
+        number = np.zeros(len(data), np.int32)
+        number[own] = numbered(owner[own], t.column("r").to_numpy()[own])
+        rows = []
+        for i, (d, j) in enumerate(zip(data, standing, strict=True)):
+            copy = owner[j] < owner[i] and len(d) >= length
+            rows.append(make(d, [(0, len(d))] if copy else of.get((int(owner[j]), int(number[j])), [])))
         cols = list(zip(*rows, strict=True)) or [[]] * len(columns)
         return pa.table([t.column("doc_id"), *(pa.array(c, kind) for c, (_, kind) in zip(cols, columns, strict=True))], names=names)
 
@@ -442,7 +534,7 @@ def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 def remove(df: DataFrame, length: int = LENGTH, hot_contexts: int = HOT) -> DataFrame:
     """doc_id, kept binary: the bytes that stay (a cut may fall within a character)."""
     docs, ranges = repeats(df, length, hot_contexts)
-    return each_document(docs, ranges, lambda d, runs: (without(d, runs),), [("kept", pa.binary())], "kept binary")
+    return each_document(docs, ranges, length, lambda d, runs: (without(d, runs),), [("kept", pa.binary())], "kept binary")
 
 
 def report(df: DataFrame, length: int = LENGTH, hot_contexts: int = HOT) -> DataFrame:
@@ -450,4 +542,4 @@ def report(df: DataFrame, length: int = LENGTH, hot_contexts: int = HOT) -> Data
     docs, ranges = repeats(df, length, hot_contexts)
     make = lambda d, runs: (len(d), sum(b - a for a, b in runs), len(runs), hashlib.sha256(without(d, runs)).hexdigest())
     columns = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    return each_document(docs, ranges, make, columns, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return each_document(docs, ranges, length, make, columns, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
