@@ -165,9 +165,10 @@ def train(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_words:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column("toxic")], ["bag", "toxic"])
 
     chosen = sample(df, labels, rows)
-    found = chosen.mapInArrow(cut, f"bag string, toxic {chosen.schema['toxic'].dataType.simpleString()}").filter(F.col("bag").isNotNull()).sort(F.xxhash64("bag"), "bag").toArrow()
-    bags = [[[intern(w) for w in s.split(" ")] if s else [] for s in x.split("\n")] for x in found.column("bag").to_pylist()]
-    return fit(bags, np.array(found.column("toxic").to_pylist(), np.float64))
+    found = chosen.mapInArrow(cut, f"bag string, toxic {chosen.schema['toxic'].dataType.simpleString()}").filter(F.col("bag").isNotNull()).toArrow()
+    pairs = sorted(zip(found.column("bag").to_pylist(), found.column("toxic").to_pylist(), strict=True))  # sums then add up alike
+    bags = [[[intern(w) for w in s.split(" ")] if s else [] for s in x.split("\n")] for x, _ in pairs]
+    return fit(bags, np.array([y for _, y in pairs], np.float64))
 
 
 def scored(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
