@@ -65,17 +65,18 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.7)
 
 
-def join_keyed(big: DataFrame, small: DataFrame, key: str, how: str = "inner", broadcast_rows: int = 50_000, salts: int = 32) -> DataFrame:
+def join_keyed(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", broadcast_rows: int = 50_000, salts: int = 32) -> DataFrame:
     """Join big to small, whose key is unique, without one hot key of big landing in one task.
 
     small is counted first (it should be a scratch table). Up to broadcast_rows it is broadcast. Beyond that it is
     replicated salts times and both sides are shuffled by (key, salt), which splits every key of big over salts tasks.
     """
+    keys = [key] if isinstance(key, str) else key
     if small.count() <= broadcast_rows:
-        return big.join(F.broadcast(small), key, how)
+        return big.join(F.broadcast(small), keys, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    return spread.join(salted, [key, "_salt"], how).drop("_salt")
+    return spread.join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def ascii_lower(c: Column) -> Column:

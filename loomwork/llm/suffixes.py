@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest as xxh64
 
-from loomwork.llm.common import drop_scratch, only, release, scratch, unknown
+from loomwork.llm.common import drop_scratch, join_keyed, only, release, scratch, unknown
 
 LENGTH = 50
 GRAM = 20
@@ -438,7 +438,8 @@ def ranges_of(found: DataFrame, total: int, length: int, hot_contexts: int) -> D
     if not hot.head(1):
         return sort(found)
     crowded = found.join(hot, "bin", "left_semi")
-    spots = crowded.drop("piece").join(hashed_windows(crowded, length), ["h", "c"])
+    runs = scratch(hashed_windows(crowded, length), "suffix-runs", codec="zstd")
+    spots = join_keyed(crowded.drop("piece"), runs, ["h", "c"])
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("z")))
     gone = spots.select("slice", "o", "k", "pos", F.explode(F.when(F.col("o") > F.col("m"), whole).otherwise(F.col("runs"))).alias("run"))
     gone = gone.select("slice", "o", "k", (F.col("pos") + F.col("run.a")).alias("start"), (F.col("pos") + F.col("run.z")).alias("end"))
