@@ -53,7 +53,7 @@ def words_of(text: Column) -> Column:
 
 def with_metrics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the metrics that rules can name. Each step is a projection of its own, so that no array is made twice."""
-    window = F.lit(WINDOW)
+    window, names = F.lit(WINDOW), df.columns
     body = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumns(
         {
@@ -71,17 +71,19 @@ def with_metrics(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_places", F.sort_array(F.transform(F.filter("_sorted", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"])))
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("_places", start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(window, p - a["last"])).alias("n")), lambda a: a["n"])
-    df = df.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_lines_with_words": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
-            "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
-            "n_alpha_words": F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}"))).cast("long"),
-        }
-    ).drop("_words", "_lines", "_hashes", "_repeats", "_sorted", "_places")
+    metrics = {
+        "n_symbols": F.col("n_symbols"),
+        "n_words": F.size("_words").cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_lines_with_words": F.size("_lines").cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
+        "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
+        "n_alpha_words": F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}"))).cast("long"),
+    }
+    # a generator of one row: filters on the metrics stay above it, else each would be written out down to the text
+    row = F.explode(F.array(F.struct(*(c.alias(n) for n, c in metrics.items())))).alias("_m")
+    df = df.select(*names, row).select(*names, *(F.col(f"_m.{n}").alias(n) for n in metrics))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return df.withColumns(
         {
