@@ -108,6 +108,24 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has as columns already (Spark doesn't mind case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def without_columns(df: DataFrame, *names: str) -> DataFrame:
+    """df without its own columns of these names, which an operator is about to make."""
+    gone = {n.lower() for n in names}
+    return only(df, *(c for c in df.columns if c.lower() not in gone))
+
+
 def unknown(df: DataFrame, needed: Sequence[str]) -> None:
     missing = [c for c in needed if c not in df.columns]
     if missing:

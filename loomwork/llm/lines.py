@@ -24,7 +24,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import SPACE, ascii_lower, drop_scratch, join_keyed, only, scratch, unknown
+from loomwork.llm.common import SPACE, ascii_lower, drop_scratch, fresh, join_keyed, only, scratch, unknown, without_columns
 
 #: A line in so many documents is boilerplate.
 LEAST_DOCS = 10
@@ -132,21 +132,22 @@ def clean(df: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, m
     """
     unknown(df, ["doc_id", "text"])
     hot = frequent_keys(df, least_docs, batches)
-    n = hot.count()
-    split = df.withColumn("_all", lines_of(F.col("text")))
-    if n <= most_lookup:
+    df = without_columns(df, "_n_lines", "_n_dropped")
+    every, rest, digest, id_, of, drops = fresh(df, "_all", "_rest", "_digest", "_id", "_of", "_drops")
+    split = df.withColumn(every, lines_of(F.col("text")))
+    if hot.count() <= most_lookup:
         slots, buckets = lookup(hot)
         place = lambda k: F.pmod(F.conv(F.substring(k, 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
         fine = lambda k: k.isNull() | ~F.contains(F.get(slots, place(k)), k)
-        rest = split.withColumn("_rest", F.filter("_all", lambda x: F.element_at(F.transform(F.array(digest_of(x)), fine), 1)))
-        return rest.withColumns({"text": F.array_join("_rest", "\n"), "_n_lines": F.size("_all").cast("long"), "_n_dropped": (F.size("_all") - F.size("_rest")).cast("long")}).drop("_all", "_rest")
-    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    lines = df.select(F.col("doc_id").alias("_id"), digest.alias("_of"), F.posexplode(F.transform(lines_of(F.col("text")), key_of)).alias("_line", "line_key")).filter(F.col("line_key").isNotNull())
-    drops = join_keyed(lines, hot, "line_key", broadcast_rows=most_lookup).groupBy("_id", "_of").agg(F.collect_set("_line").alias("_drops"))
-    both = split.withColumn("_digest", digest).join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left").drop("_id", "_of", "_digest")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.coalesce("_drops", F.array().cast("array<int>")))
-    text = F.when(F.col("_drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_all"), i)), "\n"))
-    return both.withColumns({"text": text, "_n_lines": F.size("_all").cast("long"), "_n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("long")}).drop("_all", "_drops")
+        out = split.withColumn(rest, F.filter(every, lambda x: F.element_at(F.transform(F.array(digest_of(x)), fine), 1)))
+        return out.withColumns({"text": F.array_join(rest, "\n"), "_n_lines": F.size(every).cast("long"), "_n_dropped": (F.size(every) - F.size(rest)).cast("long")}).drop(every, rest)
+    sha = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    lines = df.select(F.col("doc_id").alias(id_), sha.alias(of), F.posexplode(F.transform(lines_of(F.col("text")), key_of)).alias("_line", "line_key")).filter(F.col("line_key").isNotNull())
+    gone = join_keyed(lines, hot, "line_key", broadcast_rows=most_lookup).groupBy(id_, of).agg(F.collect_set("_line").alias(drops))
+    both = split.withColumn(digest, sha).join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(of)), "left").drop(id_, of, digest)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.coalesce(drops, F.array().cast("array<int>")))
+    text = F.when(F.col(drops).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(every), i)), "\n"))
+    return both.withColumns({"text": text, "_n_lines": F.size(every).cast("long"), "_n_dropped": F.coalesce(F.size(drops), F.lit(0)).cast("long")}).drop(every, drops)
 
 
 def report(df: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:

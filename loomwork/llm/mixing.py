@@ -10,7 +10,8 @@ vanishes and the sum is a Poisson count still.
 
 Defined cases: a null source is a source of its own; a source without a weight or with weight 0 gives no rows; null
 doc_id hashes as the empty string; rows with one doc_id get the same count, each by itself; null or empty texts are
-rows like others; a table without rows gives none; other columns are carried through.
+rows like others; a table without rows gives none; other columns are carried through, but for
+those with the names of the three new ones.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import join_keyed, scratch, unknown
+from loomwork.llm.common import fresh, join_keyed, only, scratch, unknown, without_columns
 
 SEED = 20240
 #: Means above this are split.
@@ -76,10 +77,11 @@ def name_of(c: Column) -> Column:
 def mix(df: DataFrame, weights: DataFrame | None = None, by: str = "source", seed: int = SEED, power: float = POWER) -> DataFrame:
     """The columns of df with _copy (1..n), _copies (n) and _mix (the key of the shuffle), one row for each copy."""
     unknown(df, ["doc_id", by])
-    rate = scratch(rates(df, weights, by, power), "mix-rates")
-    named = df.withColumn("_key", name_of(F.col(by)))
-    rated = join_keyed(named, rate, "_key").drop("_key")
-    counted = rated.withColumn("_copies", copies(F.col("doc_id"), F.col("mean"), seed)).drop("mean").filter(F.col("_copies") > 0)
+    df = without_columns(df, "_copy", "_copies", "_mix")
+    key, mean = fresh(df, "_key", "_mean")
+    rate = scratch(rates(only(df, by), weights, by, power), "mix-rates").toDF(key, mean)
+    rated = join_keyed(df.withColumn(key, name_of(F.col(by))), rate, key).drop(key)
+    counted = rated.withColumn("_copies", copies(F.col("doc_id"), F.col(mean), seed)).drop(mean).filter(F.col("_copies") > 0)
     each = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_copy").cast("string"), F.lit("mix")).cast("binary"))
-    return each.withColumn("_mix", key).repartition("_mix").sortWithinPartitions("_mix")
+    dealt = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_copy").cast("string"), F.lit("mix")).cast("binary"))
+    return each.withColumn("_mix", dealt).repartition("_mix").sortWithinPartitions("_mix")

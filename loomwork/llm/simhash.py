@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import drop_scratch, only, scratch, slices, unknown
+from loomwork.llm.common import drop_scratch, fresh, only, scratch, slices, unknown
 
 BUDGET = 3
 BITS = 64
@@ -103,18 +103,18 @@ def fingerprint_batch(batch: list[bytes], most: int = 300_000) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, fp: the fingerprint as a signed long."""
+def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), name: str = "fp") -> DataFrame:
+    """keep columns, fp (or another name): the fingerprint as a signed long."""
     unknown(df, [*keep, "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole):
                 raw = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fingerprint_batch(raw).view(np.int64))], [*keep, "fp"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fingerprint_batch(raw).view(np.int64))], [*keep, name])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return only(df, *dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}, fp bigint")
+    return only(df, *dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}, `{name}` bigint")
 
 
 # --- the join of tries within a task
@@ -355,8 +355,9 @@ def keep_one(df: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     """
     fps = scratch(fingerprints(df), "fingerprints")
     groups = scratch(grouped(fps, node_rows), "components")
-    ids = groups.filter(F.col("component_id").isNotNull()).select(F.col("component_id").alias("_id"))
-    named = df.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = fingerprints(df.filter(F.col("doc_id").isNull()), tuple(df.columns)).withColumnRenamed("fp", "_fp")
-    alone = groups.filter(F.col("component_id").isNull()).select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    return named.unionByName(nameless.join(alone, "_fp").dropDuplicates(["_root"]).select(*(F.col(f"`{c}`") for c in df.columns)))
+    mine, fp, root = fresh(df, "_id", "_fp", "_root")
+    ids = groups.filter(F.col("component_id").isNotNull()).select(F.col("component_id").alias(mine))
+    named = df.join(ids, F.col("doc_id") == F.col(mine), "left_semi").dropDuplicates(["doc_id"])
+    nameless = fingerprints(df.filter(F.col("doc_id").isNull()), tuple(df.columns), fp)
+    alone = groups.filter(F.col("component_id").isNull()).select(F.col("fp").alias(fp), F.col("root").alias(root))
+    return named.unionByName(nameless.join(alone, fp).dropDuplicates([root]).select(*(F.col(f"`{c}`") for c in df.columns)))

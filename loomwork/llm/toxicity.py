@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import only, slices, texts, unknown
+from loomwork.llm.common import fresh, only, slices, texts, unknown
 
 SAMPLE_ROWS = 6_000
 SAMPLE_WORDS = 20_000
@@ -171,8 +171,8 @@ def train(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_words:
     return fit(bags, np.array([y for _, y in pairs], np.float64))
 
 
-def scored(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, score: the noisy-or of each whole text. The model is bounded by MOST_FEATURES and sent with the task."""
+def scored(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """keep columns, score (or another name): the noisy-or of each whole text. The model is bounded by MOST_FEATURES and sent with the task."""
     unknown(df, [*keep, "text"])
     sent = df.sparkSession.sparkContext.broadcast(model)
 
@@ -180,10 +180,10 @@ def scored(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         m = sent.value.ready()
         for whole in batches:
             for b in slices(whole):
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([m.score(t) for t in texts(b)], pa.float64())], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([m.score(t) for t in texts(b)], pa.float64())], [*keep, name])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return only(df, *dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}, score double")
+    return only(df, *dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}, `{name}` double")
 
 
 def locate(df: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -210,4 +210,5 @@ def judge(df: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(df: DataFrame, labels: DataFrame) -> DataFrame:
     """df less the documents with a score of at least 0.5."""
-    return scored(df, train(df, labels), tuple(df.columns)).filter(F.col("score") < 0.5).drop("score")
+    (name,) = fresh(df, "score")
+    return scored(df, train(df, labels), tuple(df.columns), name).filter(F.col(name) < 0.5).drop(name)
