@@ -29,7 +29,7 @@ def metrics(ranked: DataFrame, totals: DataFrame, ks: tuple[int, ...] = (1, 3, 5
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = [F.col(qid)]
     for k in ks:
-        hits, n = F.col(f"_hits_{k}"), F.col(f"_n_{k}")
+        hits, n = F.coalesce(F.col(f"_hits_{k}"), F.lit(0)), F.col(f"_n_{k}")
         ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("_found"), F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + F.lit(1)))
         out += [
             zero(hits / n).alias(f"precision_{k}"),

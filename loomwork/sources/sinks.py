@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.operators import lifecycle
 
@@ -34,16 +36,23 @@ class ChunkStore:
 
     def read(self) -> DataFrame | None:
         v = self.versions()
-        return self.spark.read.parquet(f"{self.path}/{v[-1]}").drop("_part") if v else None
+        if not v:
+            return None
+        # an empty version has no file that would tell its columns
+        shape = T.StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/shape-{v[-1]}").first()[0]))
+        return self.spark.read.schema(shape).parquet(f"{self.path}/{v[-1]}").drop("_part")
 
     def write(self, df: DataFrame) -> DataFrame:
         """Replace the table. Rows of an identity share a partition folder, which keeps lookups and deletes narrow."""
         name = f"v{time.time_ns():020d}"
         part = F.pmod(F.xxhash64("identity"), F.lit(self.parts)).cast("int")
-        df.withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{name}")
+        out = df.withColumn("_part", part)
+        self.spark.createDataFrame([(out.schema.json(),)], "value string").coalesce(1).write.text(f"{self.path}/shape-{name}")
+        out.repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{name}")
         fs, _ = self._fs()
         for old in self.versions()[: -self.keep]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}"), True)
+            for gone in (old, f"shape-{old}"):
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{gone}"), True)
         return self.read()
 
     def upsert(self, chunks: DataFrame, now: Column) -> DataFrame:
