@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,10 +87,6 @@ def normalize(c: Column, pii: bool = False) -> Column:
 
 def normalize_nfkc(df: DataFrame, column: str, pii: bool = False) -> DataFrame:
     """df with the column in NFKC and then normalised. Only texts beyond ASCII pass through Python, in Arrow batches."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
