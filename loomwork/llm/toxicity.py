@@ -1,12 +1,14 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability is a logistic function of a weight for each of its words and
-of their beginnings (PREFIXES characters, so that unseen words of a known stem count); the document's is the noisy-or 1 - prod(1 - p). Only documents have labels, and the weights are fitted to them through the
-noisy-or, by Adam over the whole sample in numpy. The sentences that make a document toxic are then those with a high
+of their beginnings (PREFIXES characters, so that unseen words of a known stem count); a run of sentences has the noisy-or 1 - prod(1 - p). Only documents have labels, and the weights are fitted to them through the
+noisy-or, by Adam over the whole sample in numpy. A document's score is the largest noisy-or of NEAR sentences in a row, or
+that of all its sentences if it has fewer: the bias of thousands of clean sentences doesn't add up to a toxic text. The sentences that make a document toxic are then those with a high
 probability of their own.
 
-The sample for fitting is bounded: at most SAMPLE_ROWS labelled documents, those with the least hashes of their ids, and
-of those only texts of at most SAMPLE_WORDS words; words count as features if they stand in at least LEAST_ROWS documents of
+The sample for fitting is bounded: at most SAMPLE_ROWS labelled documents, those with the least hashes of their ids. Of a
+clean text of more than SAMPLE_WORDS words, sentences of as many words are taken by hash; a longer toxic text is left out, as
+a part of it need not be toxic. Words count as features if they stand in at least LEAST_ROWS documents of
 the sample and the log-likelihood ratio of word and label there is at least LEAST_RATIO (rare words else learn the noise
 of single labels), at most MOST_FEATURES of them. Scores are given to every whole text.
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from sys import intern
 from typing import NamedTuple
@@ -37,6 +40,8 @@ LEAST_ROWS = 3
 LEAST_RATIO = 20.0
 MOST_FEATURES = 50_000
 FOLDS = 5
+#: Sentences in a row that can make a text toxic together.
+NEAR = 128
 PREFIXES = (4, 5, 6, 7)
 #: Words whose weights a task remembers.
 REMEMBERED = 300_000
@@ -82,11 +87,19 @@ class Model(NamedTuple):
             return self.constant
         w, b = self.weights.__getitem__, self.bias
         quiet = math.log1p(math.exp(b))
-        total = 0.0  # -log of the probability that no sentence is toxic
+        loud = []  # -log of the probability that a sentence isn't toxic
         for s in SENTENCE.findall(text) or [""]:
             z = sum(map(w, WORD.findall(s.lower())))
-            total += softplus(b + z) if z else quiet
-        return -math.expm1(-total)
+            loud.append(softplus(b + z) if z else quiet)
+        return -math.expm1(-most_in_a_row(loud))
+
+
+def most_in_a_row(x: list[float], near: int = NEAR) -> float:
+    """The largest sum of `near` neighbours, or of all where there are fewer."""
+    if len(x) <= near:
+        return sum(x)
+    upto = np.append(0.0, np.cumsum(x))
+    return float((upto[near:] - upto[:-near]).max())
 
 
 def softplus(z: float) -> float:
@@ -151,6 +164,16 @@ def fit(bags: list[list[list[str]]], y: np.ndarray, least_rows: int = LEAST_ROWS
     return Model(float(b), {x: float(v) for x, v in zip(names, w, strict=True) if abs(v) > 1e-3})
 
 
+def part_of(bag: list[list[str]], most_words: int) -> list[list[str]]:
+    """Sentences of at most `most_words` words in all, those with the least hashes of their place and words, in their order."""
+    chosen, n = [], 0
+    for i in sorted(range(len(bag)), key=lambda i: (zlib.crc32(f"{i} {' '.join(bag[i])}".encode()), i)):
+        if n + len(bag[i]) <= most_words:
+            chosen.append(i)
+            n += len(bag[i])
+    return [bag[i] for i in sorted(chosen)]
+
+
 def train(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_words: int = SAMPLE_WORDS) -> Model:
     """Fit to a bounded sample of labelled documents. Sentences are cut into words on the executors."""
     unknown(df, ["doc_id", "text"])
@@ -159,9 +182,11 @@ def train(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_words:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text in texts(b):
+            for text, toxic in zip(texts(b), b.column("toxic").to_pylist(), strict=True):
                 bag = [WORD.findall(s.lower()) for s in SENTENCE.findall(text)]
-                out.append("\n".join(" ".join(s) for s in bag) if sum(map(len, bag)) <= most_words else None)
+                long = sum(map(len, bag)) > most_words
+                bag = part_of(bag, most_words) if long and toxic <= 0 else bag
+                out.append(None if long and toxic > 0 else "\n".join(" ".join(s) for s in bag))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column("toxic")], ["bag", "toxic"])
 
     chosen = sample(df, labels, rows)
@@ -172,7 +197,7 @@ def train(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_words:
 
 
 def scored(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """keep columns, score (or another name): the noisy-or of each whole text. The model is bounded by MOST_FEATURES and sent with the task."""
+    """keep columns, score (or another name): the score of each whole text. The model is bounded by MOST_FEATURES and sent with the task."""
     unknown(df, [*keep, "text"])
     sent = df.sparkSession.sparkContext.broadcast(model)
 
