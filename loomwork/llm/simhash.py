@@ -51,15 +51,15 @@ LOWER = bytes(range(256)).lower()
 # --- fingerprints
 
 
-def shingle_hashes(text: bytes) -> np.ndarray:
-    """XXH64 of each shingle of a text in UTF-8."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of `shingle` words of a text in UTF-8."""
     words = text.translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[: max(0, len(words) - SHINGLE)].tolist()]
-    stops = (ends[SHINGLE - 1 :] - 1).tolist() or [len(joined)]
+    starts = [0, *ends[: max(0, len(words) - shingle)].tolist()]
+    stops = (ends[shingle - 1 :] - 1).tolist() or [len(joined)]
     digest = xxhash.xxh64_intdigest
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(stops))
 
