@@ -313,7 +313,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     A round lets each node tell its larger neighbours, then its smaller ones, of the least node that it knows (large-star
     and small-star). Groups are only reduced by min, before and after the shuffle, and joined to their edges, which Spark
-    may split; the edges of a round are a table in the shared folder.
+    may split; the edges of a round are a table in the shared folder. Edges that haven't settled in most_rounds rounds
+    are an error.
     """
     now = scratch(edges.distinct(), "edges")
     last = None
@@ -330,6 +331,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         new = scratch(told.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
         drop_scratch(now)
         now = new
+    else:
+        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
