@@ -34,12 +34,48 @@ def group_key(identity: Column, order: Column) -> Column:
     return F.when(blank, F.concat(F.lit("anon-"), n.cast("string"))).otherwise(identity)
 
 
+def range_of(df: DataFrame, order: str, ranges: int) -> Column:
+    """The range of values of `order`, from 0 on, that a row falls into; nulls are in range 0.
+
+    The bounds are constants, from a sample of 32 rows for each range. A row's range follows from its value alone, so every
+    plan that asks for it gets the same.
+    """
+    found = df.select(F.col(order).alias("v")).filter(F.col("v").isNotNull())
+    sample = sorted(r["v"] for r in found.orderBy(F.rand(42)).limit(32 * ranges).collect())
+    bounds = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
+    if not bounds:
+        return F.lit(0)
+    block = max(1, int(len(bounds) ** 0.5))
+    kind = df.schema[order].dataType
+    constants = lambda values: F.array(*(F.lit(v).cast(kind) for v in values))
+    below = lambda a: F.size(F.filter(a, lambda b: b <= F.col(order)))
+    # whole blocks below the value first, then the bounds of the block it is in
+    full = below(constants(bounds[block - 1 :: block])) if len(bounds) >= block else F.lit(0)
+    inside = F.slice(constants(bounds), full * block + 1, F.lit(block))
+    return F.coalesce(F.when(F.col(order).isNotNull(), full * block + below(inside)), F.lit(0))
+
+
+def numbered(df: DataFrame, order: str, name: str = "row_no", ranges: int | None = None) -> DataFrame:
+    """df with each row's place in order, from 0 on, nulls first. No task sees more than a range of the rows.
+
+    Only the counts of the ranges are summed up, one row for each. Rows of equal order are numbered in no fixed order.
+    """
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_range", range_of(df, order, ranges))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_range", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return ranged.withColumn("_in", within).join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_before") + F.col("_in") - 1).cast("long")).drop("_range", "_in", "_before")
+
+
 def anonymous(df: DataFrame, identity: str = "identity", order: str = "doc_id") -> DataFrame:
-    """df with group_key. Only documents without an identity are numbered, so the rest isn't gathered."""
+    """df with group_key. Only documents without an identity are numbered."""
     blank = F.trim(F.coalesce(F.col(identity), F.lit(""))) == ""
     named = df.filter(~blank).withColumn("group_key", F.col(identity))
-    rest = df.filter(blank)
-    return named.unionByName(rest.withColumn("group_key", F.concat(F.lit("anon-"), (F.row_number().over(Window.orderBy(order)) - 1).cast("string"))))
+    rest = numbered(df.filter(blank), order, "_anon")
+    return named.unionByName(rest.withColumn("group_key", F.concat(F.lit("anon-"), F.col("_anon").cast("string"))).drop("_anon"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, now: Column) -> DataFrame:
@@ -76,16 +112,8 @@ def find(store: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 
 def write_batches(df: DataFrame, order: str, size: int = WRITE_BATCH) -> DataFrame:
-    """df with batch_no: runs of `size` rows in order.
-
-    Numbers are made from per-range offsets: rows are sorted into ranges, counted there, and only the counts are summed up.
-    """
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbered = ranged.withColumn("_in", within).join(F.broadcast(offsets), "_part")
-    return numbered.withColumn("batch_no", F.floor((F.col("_before") + F.col("_in") - 1) / size).cast("long")).drop("_part", "_in", "_before")
+    """df with batch_no: runs of `size` rows in order."""
+    return numbered(df, order, "_row").withColumn("batch_no", F.floor(F.col("_row") / size).cast("long")).drop("_row")
 
 
 def token_batches(df: DataFrame, tokens: str = "n_tokens", budget: int = TOKEN_BUDGET, by: str = "identity", order: str = "chunk_index") -> DataFrame:
