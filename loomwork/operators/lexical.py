@@ -1,15 +1,20 @@
-"""One BM25: postings, statistics and scoring, over a whole corpus or over each query's candidates."""
+"""One BM25: a stored index or one made on the fly, and scoring over a whole corpus or over each query's candidates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import tokens
 from loomwork.functions.vectors import score as rounded
+from loomwork.sources.tables import built_once
 
 K1 = 1.2
 B = 0.75
+#: Distinct terms of a batch of queries that reach the scan of the postings as constants.
+MOST_TERMS = 2_000
 
 
 def postings(docs: DataFrame, key: str, text: str, tokenize=tokens, within: list[str] | None = None) -> DataFrame:
@@ -27,9 +32,47 @@ def term_weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def corpus_statistics(docs: DataFrame, text: str, tokenize=tokens) -> DataFrame:
-    """One row n, avgdl: documents (those without terms too) and mean length."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokenize(F.col(text)))).alias("avgdl"))
+@dataclass(frozen=True)
+class Index:
+    """What BM25 needs of a corpus: postings (key, term, tf, dl), terms (term, df) and one row of statistics (n, avgdl)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    statistics: DataFrame
+    key: str
+    stored: bool = False
+
+    @staticmethod
+    def of(docs: DataFrame, key: str, text: str, tokenize=tokens) -> Index:
+        """The index of docs, made anew by every plan that uses it. Documents without terms count as documents."""
+        p = postings(docs, key, text, tokenize)
+        stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokenize(F.col(text)))).alias("avgdl"))
+        return Index(p, p.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats, key)
+
+    @staticmethod
+    def at(spark: SparkSession, path: str, docs: DataFrame, key: str, text: str, tokenize=tokens) -> Index:
+        """The index stored at path; the first call builds it from docs.
+
+        Postings are sorted by term over ranges of (term, key), so a frequent term is spread over files, and a search reads
+        the row groups of its own terms.
+        """
+        made = Index.of(docs, key, text, tokenize)
+        p = built_once(spark, f"{path}/postings", lambda: made.postings.repartitionByRange("term", key).sortWithinPartitions("term", key))
+        t = built_once(spark, f"{path}/terms", lambda: p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term"))
+        return Index(p, t, built_once(spark, f"{path}/statistics", lambda: made.statistics), key, True)
+
+    def keyed(self, key: str, value: Column) -> Index:
+        """The same index with another key, which must tell its documents apart too."""
+        p = self.postings.select(value.alias(key), "term", "tf", "dl")
+        return Index(p, self.terms, self.statistics, key, self.stored)
+
+    def only(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings and terms of the wanted terms (term, distinct)."""
+        some = [r[0] for r in wanted.limit(MOST_TERMS + 1).collect()] if self.stored else None
+        if some is not None and len(some) <= MOST_TERMS:
+            keep = F.col("term").isin(some) if some else F.lit(False)
+            return self.postings.filter(keep), self.terms.filter(keep)
+        return self.postings.join(wanted, "term", "left_semi"), self.terms.join(wanted, "term", "left_semi")
 
 
 def query_terms(queries: DataFrame, qid: str, text: str, tokenize=tokens, distinct: bool = False) -> DataFrame:
@@ -38,19 +81,22 @@ def query_terms(queries: DataFrame, qid: str, text: str, tokenize=tokens, distin
     return t.groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf")).withColumn("qtf", F.lit(1) if distinct else F.col("qtf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", qid: str = "query_id", qtext: str = "query", tokenize=tokens, distinct: bool = False) -> DataFrame:
+def search(index: Index, queries: DataFrame, qid: str = "query_id", qtext: str = "query", tokenize=tokens, distinct: bool = False) -> DataFrame:
     """qid, key, score of the documents that share a term with a query, under corpus-wide statistics.
 
-    Postings are cut down to the queries' terms right after they are made: the terms of a batch of queries are few and
-    Spark may broadcast them, so a frequent term's postings stay where they are.
+    The postings of a frequent term stay where they are read: weights of a query's terms are joined to them, and partial
+    sums of a document's score are what is shuffled.
     """
-    stats = corpus_statistics(docs, text, tokenize)
     terms = query_terms(queries, qid, qtext, tokenize, distinct)
-    p = postings(docs, key, text, tokenize).join(terms.select("term").distinct(), "term", "left_semi")
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = terms.join(df, "term").crossJoin(F.broadcast(stats)).select(qid, "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"))
+    p, df = index.only(terms.select("term").distinct())
+    weighted = terms.join(df, "term").crossJoin(F.broadcast(index.statistics)).select(qid, "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"))
     part = F.col("w") * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return p.join(weighted, "term").groupBy(qid, key).agg(F.sum(part).alias("score"))
+    return p.join(weighted, "term").groupBy(qid, index.key).agg(F.sum(part).alias("score"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", qid: str = "query_id", qtext: str = "query", tokenize=tokens, distinct: bool = False) -> DataFrame:
+    """search() in an index that is made for these queries alone."""
+    return search(Index.of(docs, key, text, tokenize), queries, qid, qtext, tokenize, distinct)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", tie: str = "doc_id", digits: int = 6) -> DataFrame:

@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions import text as T
 from loomwork.functions.text import SEARCH_STOP_WORDS
 from loomwork.functions.vectors import embed_terms
+from loomwork.operators.lexical import Index
 from loomwork.operators.search import keyword_top_k, over_fetch
+from loomwork.sources.tables import read_table as table
+from loomwork.sources.tables import join_small, shared_dir, state_of, table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,10 +40,16 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(to[t]).alias(c) if t in to else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
+def index(spark: SparkSession, d: str, tokenize=T.tokens) -> Index:
+    """The BM25 index of documents, kept in the shared folder and built when a query first asks for it; another state of the
+    table has an index of its own."""
+    state = state_of(spark, table_path(d, "documents"))
+    return Index.at(spark, f"{shared_dir(spark)}/bm25-{tokenize.__name__}-{state}", table(spark, d, "documents"), "doc_id", "text", tokenize)
 
 
+#: Hits (ids and scores) of a batch of queries that are sent to the documents; beyond that both sides are shuffled.
+MOST_HITS = 500_000
+
 #: The day that date rules are tested on; now() is never called.
 TODAY = "2024-06-15"
 
@@ -123,8 +133,9 @@ def sql_keyword_top(k: int, name: str = "kw", questions_: str = "q") -> str:
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """query_id, query, ord, score and the documents' columns: what the first stage hands on."""
     q = questions(spark, d)
-    found = keyword_top_k(q, table(spark, d, "documents"), over_fetch()).withColumnRenamed("rank", "ord")
-    return found.join(docs(spark, d), "doc_id").join(F.broadcast(q), "query_id")
+    found = keyword_top_k(q, index(spark, d), over_fetch()).withColumnRenamed("rank", "ord")
+    n = q.count()
+    return join_small(join_small(docs(spark, d), found, "doc_id", rows=n * over_fetch(), most=MOST_HITS), q, "query_id", rows=n)
 
 
 CANDIDATES = f"""{QUESTIONS}, {DOCS}, {sql_keyword_top(30)},

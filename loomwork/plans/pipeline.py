@@ -12,6 +12,10 @@ from loomwork.config import Generation, Ingestion, Retrieval
 from loomwork.functions import text as T
 from loomwork.functions.vectors import score as rounded
 from loomwork.operators import chunking, graph, lexical, lifecycle, postprocess, prompt, query_transforms, rerank, search
+from loomwork.sources.tables import join_small
+
+#: Hits (ids and scores) of a batch of queries that are sent to the chunks; beyond that both sides are shuffled.
+MOST_HITS = 500_000
 
 Embed = Callable[[DataFrame, str, str], DataFrame]
 
@@ -33,13 +37,13 @@ def ingest(documents: DataFrame, store: DataFrame | None = None, cfg: Ingestion
     return chunking.enrich(chunks, cfg.enrich, cfg.keywords)
 
 
-def first_stage(queries: DataFrame, chunks: DataFrame, cfg: Retrieval, embed: Embed | None) -> DataFrame:
+def first_stage(queries: DataFrame, chunks: DataFrame, cfg: Retrieval, embed: Embed | None, index: lexical.Index | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank by the configured mode. Without an embedder, vector search isn't there and the other
-    side stands alone."""
+    side stands alone. index is a stored one of the chunks, by chunk_id."""
     k = search.over_fetch(cfg.top_k, cfg.over_fetch)
     lexical_side = dense_side = None
     if cfg.mode != "VECTOR" or embed is None:
-        lexical_side = search.keyword_top_k(queries, chunks, k, key="chunk_id", text="content")
+        lexical_side = search.keyword_top_k(queries, index or chunks, k, key="chunk_id", text="content")
     if cfg.mode != "KEYWORD" and embed is not None:
         vectors = chunks.select("chunk_id", "embedding") if "embedding" in chunks.columns else embed(chunks, "chunk_id", "content")
         dense_side = search.vector_top_k(embed(queries, "query_id", "query"), vectors, k, key="chunk_id", threshold=cfg.threshold)
@@ -48,23 +52,24 @@ def first_stage(queries: DataFrame, chunks: DataFrame, cfg: Retrieval, embed: Em
     return lexical_side if dense_side is None else dense_side
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, cfg: Retrieval = Retrieval(), embed: Embed | None = None, made: Column | None = None, today: Column | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, cfg: Retrieval = Retrieval(), embed: Embed | None = None, made: Column | None = None, today: Column | None = None, index: lexical.Index | None = None) -> DataFrame:
     """query_id, query, ord (1 is best), score and the chunk's columns, at most top_k for each query.
 
     queries (query_id, query); made is a model's text for the query transform; today switches on date rules.
     """
     variants = query_transforms.transform(queries, cfg.transform, made)
     if cfg.transform == "NONE":
-        found = first_stage(queries, chunks, cfg, embed).withColumnRenamed("rank", "ord")
+        found = first_stage(queries, chunks, cfg, embed, index).withColumnRenamed("rank", "ord")
     else:
         # every variant is a query of its own to the first stage
         numbered = variants.select(F.struct("query_id", "variant_no").alias("_v"), "query").withColumn("query_id", F.to_json("_v"))
-        hits = first_stage(numbered.select("query_id", "query"), chunks, cfg, embed)
+        hits = first_stage(numbered.select("query_id", "query"), chunks, cfg, embed, index)
         back = F.from_json("query_id", f"query_id {queries.schema['query_id'].dataType.simpleString()}, variant_no int")
         split = hits.withColumn("_v", back).withColumn("query_id", F.col("_v.query_id")).withColumn("variant_no", F.col("_v.variant_no"))
         found = search.merge_variants(split, key="chunk_id").select("query_id", "chunk_id", "score", "ord")
     columns = [c for c in chunks.columns if c in ATTRIBUTES or c in ("chunk_id", "content")]
-    out = found.join(chunks.select(*columns), "chunk_id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    hits = variants.count() * search.over_fetch(cfg.top_k, cfg.over_fetch)
+    out = join_small(join_small(chunks.select(*columns), found, "chunk_id", rows=hits, most=MOST_HITS), queries.select("query_id", "query"), "query_id")
     if today is not None and {"table", "visibility", "effective_from", "effective_to"} <= set(out.columns):
         out = postprocess.business_rules(out, today)
     if cfg.min_chars or cfg.max_chars:

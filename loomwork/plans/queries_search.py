@@ -16,7 +16,7 @@ from loomwork.operators import query_transforms as Q
 from loomwork.operators import rerank as R
 from loomwork.operators import search as S
 from loomwork.plans.base import (
-    CANDIDATES, DOCS, QUESTIONS, TODAY, candidates, docs, query, questions, sql_bm25, sql_keyword_top, sql_round, sql_search_tokens, sql_term_vectors, sql_tokens, table, term_vectors, today,
+    CANDIDATES, DOCS, QUESTIONS, TODAY, candidates, docs, index, query, questions, sql_bm25, sql_keyword_top, sql_round, sql_search_tokens, sql_term_vectors, sql_tokens, table, term_vectors, today,
 )
 
 # --- lexical
@@ -26,22 +26,31 @@ from loomwork.plans.base import (
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r)
     SELECT query_id, doc_id, floor(score * 1000 + 0.5) / 1000 AS score, rank FROM k WHERE rank <= 5""")
 def bm25_topk(spark, d):
-    scored = X.bm25(table(spark, d, "documents"), questions(spark, d), tokenize=T.search_tokens)
+    scored = X.search(index(spark, d, T.search_tokens), questions(spark, d), tokenize=T.search_tokens)
     return X.top_k(scored, 5).withColumn("score", V.score(F.col("score"), 3)).select("query_id", "doc_id", "score", "rank")
 
 
 @query("keyword_topk_norm", f"WITH {QUESTIONS}, {sql_keyword_top(10)} SELECT query_id, doc_id, score, rank FROM kw")
 def keyword_topk_norm(spark, d):
-    return S.keyword_top_k(questions(spark, d), table(spark, d, "documents"), 10).withColumn("score", V.score(F.col("score"))).select("query_id", "doc_id", "score", "rank")
+    return S.keyword_top_k(questions(spark, d), index(spark, d), 10).withColumn("score", V.score(F.col("score"))).select("query_id", "doc_id", "score", "rank")
 
 
 @query("postings_stats", f"""WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql_search_tokens('text')}) AS term FROM documents) GROUP BY ALL)
     SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, {sql_round("ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5) + 1)")} AS idf FROM p GROUP BY term""")
 def postings_stats(spark, d):
-    x = table(spark, d, "documents")
-    p = X.postings(x, "doc_id", "text", T.search_tokens).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    n = x.agg(F.count(F.lit(1)).alias("n"))
-    return p.crossJoin(F.broadcast(n)).select("term", "df", "cf", V.score(X.idf(F.col("n"), F.col("df"))).alias("idf"))
+    i = index(spark, d, T.search_tokens)
+    p = i.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return p.crossJoin(F.broadcast(i.statistics)).select("term", "df", "cf", V.score(X.idf(F.col("n"), F.col("df"))).alias("idf"))
+
+
+@query("bm25_index", f"SELECT term, doc_id, count(*) AS tf, dl::BIGINT AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)) GROUP BY ALL")
+def bm25_index(spark, d):
+    return index(spark, d).postings.select("term", "doc_id", "tf", "dl")
+
+
+@query("bm25_index_terms", f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({sql_tokens('text')}) AS term FROM documents) GROUP BY term")
+def bm25_index_terms(spark, d):
+    return index(spark, d).terms.select("term", "df")
 
 
 SQL_CAND_BM25 = f"""{CANDIDATES},
@@ -153,7 +162,7 @@ SQL_HYBRID = f"""{QUESTIONS}, {sql_keyword_top(30)}, {SQL_DENSE}, fs AS (SELECT
 
 
 def hybrid(spark, d):
-    return S.fuse(dense(spark, d), S.keyword_top_k(questions(spark, d), table(spark, d, "documents"), 30), 30)
+    return S.fuse(dense(spark, d), S.keyword_top_k(questions(spark, d), index(spark, d), 30), 30)
 
 
 @query("hybrid_rrf", f"WITH {SQL_HYBRID} SELECT query_id, doc_id, score, rank FROM hy")
@@ -188,7 +197,7 @@ def multi_query_variants(spark, d):
     SELECT query_id, doc_id, score, variant_no::BIGINT AS variant_no, row_number() OVER (PARTITION BY query_id ORDER BY variant_no, rank) AS ord FROM o""")
 def multi_query_merge(spark, d):
     v = query_variants(spark, d).withColumn("query_id", F.col("query_id") * 10 + F.col("variant_no"))
-    found = S.keyword_top_k(v, table(spark, d, "documents"), 10)
+    found = S.keyword_top_k(v, index(spark, d), 10)
     named = found.withColumn("variant_no", F.col("query_id") % 10).withColumn("query_id", F.floor(F.col("query_id") / 10))
     return S.merge_variants(named).select("query_id", "doc_id", V.score(F.col("score")).alias("score"), "variant_no", "ord")
 
@@ -418,12 +427,16 @@ def knowledge(spark, d):
     return docs(spark, d).withColumn("chunk_id", F.col("doc_id").cast("string")).withColumn("chunk_index", F.lit(0))
 
 
+def chunk_index(spark, d):
+    return index(spark, d).keyed("chunk_id", F.col("doc_id").cast("string"))
+
+
 @query("retrieve_pipeline")
 def retrieve_pipeline(spark, d):
     from loomwork.config import Retrieval
     from loomwork.plans.pipeline import retrieve
 
-    out = retrieve(questions(spark, d), knowledge(spark, d), Retrieval(rerank="rrf", mmr=True), term_vectors, today=today())
+    out = retrieve(questions(spark, d), knowledge(spark, d), Retrieval(rerank="rrf", mmr=True), term_vectors, today=today(), index=chunk_index(spark, d))
     return out.select("query_id", "chunk_id", "ord", V.score(F.col("score")).alias("score"))
 
 
