@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator, Sequence
@@ -13,45 +12,30 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.sources.tables import file_system, read_table, shared_dir
+
+table = read_table
+
 #: White space of the word and line contracts.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is read from spark.checkpoint.dir. Where that is unset, a local master gets a folder of its own (driver and
-    executors are then one process) and any other master gets a folder below the warehouse.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        found = f"file://{tempfile.mkdtemp(prefix='loomwork-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def scratch(df: DataFrame, tag: str, *sort: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
 def drop_scratch(df: DataFrame) -> None:
     """Delete a table of scratch() that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = file_system(df.sparkSession, df._scratch_path)
+    fs.delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
