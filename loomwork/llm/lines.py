@@ -1,16 +1,21 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-The state is a set of runs: Parquet tables (line_key, n_docs), each sorted by key within its partitions, whose keys are
-MD5 digests of lines stripped of white space and lower-cased (A-Z). A batch of documents is added so:
+The state is a folder of runs: Parquet tables (line_key, n_docs, total) whose keys are MD5 digests of lines stripped of white
+space and lower-cased (A-Z). Each is bucketed by key and sorted within its buckets, all alike, so that runs are merged with
+each other, and a batch with the runs, without moving a row of them. n_docs counts the documents that the run adds, total
+those of all runs up to then. A batch of documents is added so:
 
 1. count in how many documents of the batch each key stands (each document names a key once, partial sums before the
    shuffle);
-2. merge-anti-join the runs' keys that have reached the limit: those lines are known to be frequent and need no count;
-3. write the rest as a new sorted run of level 0.
+2. merge the counts with the runs, one after the other, and leave out keys whose total has reached the limit there: those
+   lines are known to be frequent and need no count;
+3. write the rest, with their totals, as a new sorted run of level 0.
 
 When a level holds `fan_in` runs, they are merged into one run of the next level, adding up counts. A key is frequent
-once its counts over all runs reach the limit. The lines of the documents are then joined to the frequent keys, and each
-document keeps its other lines in order.
+once its total reaches the limit; from then on it is left out, so it is marked in one run alone. A manifest names the runs.
+It is written after them and replaced as a whole, so a job that dies leaves the state as it was, and a later job opens it
+and adds its own batches. The lines of the documents are then looked up among the frequent keys, and each document keeps
+its other lines in order.
 
 Defined cases: null or empty text is one empty line; lines without a character after stripping are never dropped;
 repeated rows are documents of their own in counts; null doc_id is allowed; a table without rows gives none; other
@@ -19,12 +24,16 @@ columns are not read, or carried through by clean().
 
 from __future__ import annotations
 
+import functools
+import json
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import SPACE, ascii_lower, drop_scratch, fresh, join_keyed, only, scratch, unknown, without_columns
+from loomwork.llm.common import SPACE, ascii_lower, fresh, join_keyed, only, scratch, unknown, without_columns
+from loomwork.sources.tables import file_system, shared_dir
 
 #: A line in so many documents is boilerplate.
 LEAST_DOCS = 10
@@ -32,6 +41,8 @@ BATCHES = 4
 FAN_IN = 2
 #: Frequent keys (33 bytes each) that are sent to every task; more are joined.
 MOST_LOOKUP = 50_000
+#: Of the names that the catalogue has for the tables of the state.
+PREFIX = "loomwork_line_"
 
 
 def lines_of(text: Column) -> Column:
@@ -49,64 +60,133 @@ def key_of(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs of line keys in the shared folder."""
+    """Levelled runs of line keys in a folder that the driver and the executors share; an existing one is opened."""
 
-    def __init__(self, spark: SparkSession, least_docs: int = LEAST_DOCS, fan_in: int = FAN_IN):
+    def __init__(self, spark: SparkSession, folder: str | None = None, least_docs: int = LEAST_DOCS, fan_in: int = FAN_IN):
         self.spark, self.least_docs, self.fan_in = spark, least_docs, fan_in
-        self.levels: dict[int, list[DataFrame]] = defaultdict(list)
+        self.folder = (folder or f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}").rstrip("/")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: dict[int, list[str]] = defaultdict(list)
+        self.version = 0
+        done = self._manifests()
+        if done:
+            state = json.loads(spark.read.text(f"{self.folder}/{done[-1]}").first()[0])
+            if state["least_docs"] != least_docs:
+                raise ValueError(f"the runs were made for lines of {state['least_docs']} documents")
+            self.buckets, self.version = state["buckets"], int(done[-1].rpartition("-")[2])
+            self.levels.update({int(k): v for k, v in state["levels"].items()})
+
+    def _manifests(self) -> list[str]:
+        fs, p = file_system(self.spark, self.folder)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(n for n in names if n.startswith("manifest-") and fs.exists(file_system(self.spark, f"{self.folder}/{n}/_SUCCESS")[1]))
+
+    def _commit(self, gone: list[str]) -> None:
+        """Write the next manifest, then delete what it doesn't name."""
+        before = self._manifests()
+        self.version += 1
+        state = {"least_docs": self.least_docs, "buckets": self.buckets, "levels": {k: v for k, v in self.levels.items() if v}}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.folder}/manifest-{self.version:08d}")
+        for name in [*gone, *before]:
+            self.drop(name)
+
+    def drop(self, name: str) -> None:
+        if not name.startswith("manifest-"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {PREFIX}{name}")
+        fs, p = file_system(self.spark, f"{self.folder}/{name}")
+        fs.delete(p, True)
+
+    def delete(self) -> None:
+        fs, p = file_system(self.spark, self.folder)
+        for name in (n for level in self.levels.values() for n in level):
+            self.drop(name)
+        fs.delete(p, True)
+
+    def read(self, name: str) -> DataFrame:
+        """A table of the state. The catalogue of a new session doesn't know it yet, nor that it is bucketed."""
+        place = f"{self.folder}/{name}".replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {PREFIX}{name} (line_key BINARY, n_docs BIGINT, total BIGINT) USING parquet CLUSTERED BY (line_key) SORTED BY (line_key) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+        return self.spark.table(f"{PREFIX}{name}")
+
+    def write(self, df: DataFrame) -> str:
+        """df, dealt out by line_key, as a table of the state."""
+        name = f"run_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(self.buckets, "line_key").sortBy("line_key").option("path", f"{self.folder}/{name}").saveAsTable(f"{PREFIX}{name}")
+        return name
 
     def runs(self) -> list[DataFrame]:
-        return [r for level in sorted(self.levels) for r in self.levels[level]]
+        return [self.read(r) for level in sorted(self.levels) for r in self.levels[level]]
 
     def totals(self) -> DataFrame | None:
-        """line_key, n_docs over all runs."""
-        merged = None
-        for r in self.runs():
-            merged = r if merged is None else merged.unionByName(r)
-        return None if merged is None else merged.groupBy("line_key").agg(F.sum("n_docs").alias("n_docs"))
+        """line_key, n_docs, total over all runs."""
+        return functools.reduce(merged, self.runs()) if self.runs() else None
 
     def frequent(self) -> DataFrame | None:
-        t = self.totals()
-        return None if t is None else t.filter(F.col("n_docs") >= self.least_docs).select("line_key")
-
-    def add(self, counts: DataFrame) -> None:
-        """Add a batch given as (line_key, n_docs) with each key once."""
-        known = self.frequent()
-        if known is not None:
-            counts = counts.join(known.hint("merge"), "line_key", "left_anti")
-        self.levels[0].append(scratch(counts, "line-run", "line_key"))
-        self.compact()
-
-    def compact(self) -> None:
-        level = 0
+        """The frequent keys, each once."""
+        runs = [r.filter(F.col("total") >= self.least_docs).select("line_key") for r in self.runs()]
+        return functools.reduce(DataFrame.unionByName, runs) if runs else None
+
+    def fresh(self, counts: DataFrame) -> DataFrame:
+        """line_key, n_docs, total of the keys of a batch that are not known to be frequent."""
+        out, seen = counts.select("line_key", "n_docs", F.col("n_docs").alias("total")), F.lit(0)
+        for r in self.runs():
+            known = r.select("line_key", F.col("n_docs").alias("_n"), F.col("total").alias("_t"))
+            both = out.join(known.hint("merge"), "line_key", "left")
+            out = both.filter(F.coalesce("_t", seen) < self.least_docs).select("line_key", "n_docs", (F.col("total") + F.coalesce("_n", seen)).alias("total"))
+        return out
+
+    def add(self, counts: DataFrame, dealt: bool = False) -> None:
+        """Add a batch given as (line_key, n_docs) with each key once; dealt says that it is bucketed like the runs."""
+        if not dealt:
+            counts = counts.repartition(self.buckets, "line_key")
+        self.levels[0].append(self.write(self.fresh(counts)))
+        self._commit(self.compact())
+
+    def compact(self) -> list[str]:
+        """Merge full levels, two runs at a time; the names of the runs that are no longer needed."""
+        level, gone = 0, []
         while len(self.levels[level]) >= self.fan_in:
             old, self.levels[level] = self.levels[level], []
-            merged = old[0]
-            for r in old[1:]:
-                merged = merged.unionByName(r)
-            merged = merged.groupBy("line_key").agg(F.sum("n_docs").alias("n_docs"))
-            self.levels[level + 1].append(scratch(merged, "line-run", "line_key"))
-            for r in old:
-                drop_scratch(r)
+            one = old[0]
+            for other in old[1:]:
+                gone += [one, other]
+                one = self.write(merged(self.read(one), self.read(other)))
+            self.levels[level + 1].append(one)
             level += 1
+        return gone
+
+
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs as one, by a merge join. (A union and a group-by of bucketed tables is no way: in Spark 4.1 the plan counts on
+    the buckets while the scans may be planned without them, and keys come out twice.)"""
+    zero = F.lit(0).cast("long")
+    other = b.select("line_key", F.col("n_docs").alias("_n"), F.col("total").alias("_t"))
+    both = a.join(other.hint("merge"), "line_key", "full")
+    return both.select("line_key", (F.coalesce("n_docs", zero) + F.coalesce("_n", zero)).alias("n_docs"), F.greatest("total", "_t").alias("total"))
 
 
 def batch_counts(df: DataFrame, batches: int) -> DataFrame:
-    """batch, line_key, n_docs. A row's batch comes from the hash of its text; one pass serves all batches."""
+    """line_key and, for each batch, the documents with it. A row's batch comes from the hash of its text; one pass over the
+    texts, with partial sums, serves all batches."""
     keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), key_of), lambda k: k.isNotNull()))
     rows = only(df, "text").select(F.pmod(F.xxhash64("text"), F.lit(batches)).cast("int").alias("batch"), F.explode(keys).alias("line_key"))
-    return rows.groupBy("batch", "line_key").agg(F.count(F.lit(1)).alias("n_docs"))
+    return rows.groupBy("line_key").agg(*(F.count(F.when(F.col("batch") == b, 1)).alias(f"n_{b}") for b in range(batches)))
+
 
+def frequent_keys(df: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fan_in: int = FAN_IN, state: str | None = None) -> DataFrame:
+    """The keys of lines in at least least_docs documents, by adding the documents to the runs batch by batch.
 
-def frequent_keys(df: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
-    """The keys of lines in at least least_docs documents, by adding the documents to the runs batch by batch."""
-    runs = LineRuns(df.sparkSession, least_docs, fan_in)
-    loaded = scratch(batch_counts(df, batches), "line-counts", "batch", "line_key")
+    state is a folder whose runs count too and stay, with these documents in them; without one the runs are deleted.
+    """
+    runs = LineRuns(df.sparkSession, state, least_docs, fan_in)
+    loaded = runs.write(batch_counts(df, batches))
+    every = df.sparkSession.table(f"{PREFIX}{loaded}")
     for b in range(batches):
-        runs.add(loaded.filter(F.col("batch") == b).select("line_key", "n_docs"))
-    found = scratch(runs.frequent(), "line-frequent", "line_key")
-    for r in [loaded, *runs.runs()]:
-        drop_scratch(r)
+        runs.add(every.filter(F.col(f"n_{b}") > 0).select("line_key", F.col(f"n_{b}").alias("n_docs")), dealt=True)
+    runs.drop(loaded)
+    found = scratch(runs.frequent(), "line-frequent")
+    if state is None:
+        runs.delete()
     return found
 
 
@@ -123,15 +203,17 @@ def lookup(hot: DataFrame) -> tuple[Column, int]:
     return F.split(F.lit(";".join(",".join(b) for b in buckets)), ";"), len(buckets)
 
 
-def clean(df: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, most_lookup: int = MOST_LOOKUP) -> DataFrame:
+def clean(df: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, most_lookup: int = MOST_LOOKUP, state: str | None = None) -> DataFrame:
     """df with text less the frequent lines, and the numbers of lines before and of those dropped as _n_lines, _n_dropped.
 
+    state is the folder of earlier documents' runs, whose lines count too and to which these are added.
+
     The frequent keys are counted. Up to most_lookup of them go to all tasks as a table of buckets, and no text is
     shuffled. Beyond that, lines are joined to keys and the numbers of the dropped lines to the documents; a document is
     then known by (doc_id, digest of text), so that rows that share a doc_id don't mix.
     """
     unknown(df, ["doc_id", "text"])
-    hot = frequent_keys(df, least_docs, batches)
+    hot = frequent_keys(df, least_docs, batches, state=state)
     df = without_columns(df, "_n_lines", "_n_dropped")
     every, rest, digest, id_, of, drops = fresh(df, "_all", "_rest", "_digest", "_id", "_of", "_drops")
     split = df.withColumn(every, lines_of(F.col("text")))
