@@ -9,7 +9,8 @@ The decoder reads constant, verbatim, fixed and LPC subframes of one channel of
 bits and escaped partitions; it checks CRC-8 of each header, CRC-16 of each frame and the MD5 of the whole. Frames are
 decoded many at a time: one step handles the next sample of every frame.
 
-Work is done in parts of about PART bytes of text (a longer text is a part of its own), so memory follows the longest text.
+Texts are taken some PART bytes at a time (a longer text by itself) and frames some AT_ONCE bytes at a time, so memory is a few
+times the longest text.
 Encoding uses integers, and floating point only element by element, so equal texts give equal streams.
 
 Defined cases: null or empty text is stored as PAD bytes 0; repeated rows give equal rows; a table without rows gives
@@ -36,6 +37,8 @@ PARTS = 8  # Rice partitions of a frame the encoder writes; PAD / PARTS samples
 LPC_ORDER = 4
 PRECISION = 12
 PART = 2_000_000
+#: Bytes of samples, or of frames, that are coded or decoded at once; about 100 bytes of memory each.
+AT_ONCE = 2_000_000
 #: Coefficients of the fixed predictors by order. Fixed values.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -146,13 +149,55 @@ def lpc(x: np.ndarray, t: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
 
 
 def encode(payloads: list[np.ndarray]) -> list[bytes]:
-    """A FLAC stream for each payload (uint8, a positive multiple of PAD long)."""
-    x = np.concatenate(payloads).astype(np.int32) - 128
+    """A FLAC stream for each payload (uint8, a positive multiple of PAD long). Frames are coded some AT_ONCE bytes at a time."""
     sizes = np.array([len(p) for p in payloads])
     frames_of = -(-sizes // BLOCK)
     doc = np.repeat(np.arange(len(payloads)), frames_of)
     number = np.arange(len(doc)) - np.repeat(np.cumsum(frames_of) - frames_of, frames_of)
     n = np.minimum(BLOCK, sizes[doc] - number * BLOCK)
+    coded, sizes_of = [], []
+    for f, g in parts(n, AT_ONCE):
+        some = [payloads[d][k * BLOCK : k * BLOCK + m] for d, k, m in zip(doc[f:g].tolist(), number[f:g].tolist(), n[f:g].tolist(), strict=True)]
+        data, each = encode_frames(np.concatenate(some), number[f:g], n[f:g])
+        coded.append(data)
+        sizes_of.append(each)
+    whole, frame_bytes = b"".join(coded), np.concatenate(sizes_of)
+    del coded
+    frame_at = np.cumsum(frame_bytes) - frame_bytes
+    streams, f = [], 0
+    for p, many in zip(payloads, frames_of.tolist(), strict=True):
+        a, b = int(frame_at[f]), int(frame_at[f + many - 1] + frame_bytes[f + many - 1])
+        sizes_b = frame_bytes[f : f + many]
+        fixed = BLOCK if many > 1 else min(BLOCK, len(p))
+        stream = fixed.to_bytes(2, "big") * 2 + int(sizes_b.min()).to_bytes(3, "big") + int(sizes_b.max()).to_bytes(3, "big")
+        stream += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + md5_of(p)
+        points = b"".join(int(number[i] * BLOCK).to_bytes(8, "big") + int(frame_at[i] - a).to_bytes(8, "big") + int(n[i]).to_bytes(2, "big") for i in range(f, f + many))
+        streams.append(b"".join([b"fLaC\x00", len(stream).to_bytes(3, "big"), stream, b"\x83", len(points).to_bytes(3, "big"), points, whole[a:b]]))
+        f += many
+    return streams
+
+
+def parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs (first, end) of neighbours of about `most` in all, or one where one is larger."""
+    upto = np.append(0, np.cumsum(sizes))
+    f = 0
+    while f < len(sizes):
+        g = max(f + 1, int(np.searchsorted(upto, upto[f] + most, side="right")) - 1)
+        yield f, g
+        f = g
+
+
+def md5_of(payload: np.ndarray) -> bytes:
+    """MD5 of the signed samples of a payload."""
+    md5 = hashlib.md5()
+    for a in range(0, len(payload), AT_ONCE):
+        md5.update(payload[a : a + AT_ONCE] ^ 128)
+    return md5.digest()
+
+
+def encode_frames(payload: np.ndarray, number: np.ndarray, n: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The frames with these numbers and numbers of samples, one after the other, and the bytes of each."""
+    x = payload.astype(np.int32) - 128
     starts = np.cumsum(n) - n
     t = (np.arange(len(x)) - np.repeat(starts, n)).astype(np.int32)
     coef, shift = lpc(x, t, starts)
@@ -253,19 +298,7 @@ def encode(payloads: list[np.ndarray]) -> list[bytes]:
     crc = crc16(out, frame_at, frame_at + frame_bytes - 2)
     out[frame_at + frame_bytes - 2], out[frame_at + frame_bytes - 1] = crc >> 8, crc & 255
 
-    streams, f = [], 0
-    whole = out.tobytes()
-    for p, many in zip(payloads, frames_of.tolist(), strict=True):
-        a, b = int(frame_at[f]), int(frame_at[f + many - 1] + frame_bytes[f + many - 1])
-        sizes_b = frame_bytes[f : f + many]
-        md5 = hashlib.md5((p ^ 128).tobytes()).digest()
-        fixed = BLOCK if many > 1 else min(BLOCK, len(p))
-        stream = fixed.to_bytes(2, "big") * 2 + int(sizes_b.min()).to_bytes(3, "big") + int(sizes_b.max()).to_bytes(3, "big")
-        stream += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + md5
-        points = b"".join(int(number[i] * BLOCK).to_bytes(8, "big") + int(frame_at[i] - a).to_bytes(8, "big") + int(n[i]).to_bytes(2, "big") for i in range(f, f + many))
-        streams.append(b"fLaC\x00" + len(stream).to_bytes(3, "big") + stream + b"\x83" + len(points).to_bytes(3, "big") + points + whole[a:b])
-        f += many
-    return streams
+    return out.tobytes(), frame_bytes
 
 
 # --- decoding
@@ -291,7 +324,7 @@ def parse(stream: bytes) -> Info:
                 raise FlacError("not one channel of 8 bits")
             info = (packed & (1 << 36) - 1, body[18:34])
         elif kind == 3:
-            points = [(int.from_bytes(body[i : i + 8], "big"), int.from_bytes(body[i + 8 : i + 16], "big"), int.from_bytes(body[i + 16 : i + 18], "big")) for i in range(0, len(body), 18)]
+            points += [(int.from_bytes(body[i : i + 8], "big"), int.from_bytes(body[i + 8 : i + 16], "big"), int.from_bytes(body[i + 16 : i + 18], "big")) for i in range(0, len(body), 18)]
         at += 4 + size
         if last:
             break
@@ -481,8 +514,15 @@ def decode(streams: list[bytes]) -> tuple[list[np.ndarray], list[list[tuple[int,
         at += places
         owner += [i] * len(places)
         base += len(s)
-    out, n, ends, kinds = decode_frames(data, at)
-    payload = (out + 128).astype(np.uint8)
+    edges = np.append(np.array(at, np.int64), len(data))
+    found = []
+    for f, g in parts(np.diff(edges), AT_ONCE):
+        low = int(edges[f])
+        out, n, ends, kinds = decode_frames(data[low : int(edges[g])], (edges[f:g] - low).tolist())
+        found.append(((out + 128).astype(np.uint8), n, ends + low, kinds))
+    payload, n, ends = (np.concatenate([x[i] for x in found] or [np.empty(0, np.int64)]) for i in range(3))
+    kinds = [k for x in found for k in x[3]]
+    del found
     owner = np.array(owner)
     bounds = np.cumsum(n) - n
     results, blocks, kinds_of, f, base = [], [], [], 0, 0
@@ -498,7 +538,7 @@ def decode(streams: list[bytes]) -> tuple[list[np.ndarray], list[list[tuple[int,
         follows = [*at[f + 1 : g], base]
         if total != info.samples or [int(x) for x in ends[f:g]] != follows:
             raise FlacError("frames don't make up the stream")
-        if hashlib.md5((p ^ 128).tobytes()).digest() != info.md5:
+        if md5_of(p) != info.md5:
             raise FlacError("bad MD5 of the samples")
         first = np.cumsum(n[f:g]) - n[f:g]
         results.append(p)
@@ -509,12 +549,24 @@ def decode(streams: list[bytes]) -> tuple[list[np.ndarray], list[list[tuple[int,
 
 
 def walk_frames(stream: bytes, info: Info, base: int) -> list[int]:
-    """Places of the frames of a stream without seek points: each begins where the one before ends."""
+    """Places of the frames of a stream without seek points: each begins where the one before ends.
+
+    A frame is looked for in as many bytes as its samples would take plain, and in twice as many as often as it is cut short.
+    """
     places, at = [], info.frames_at
     while at < len(stream):
         places.append(base + at)
-        _, _, end, _ = decode_frames(stream, [at])
-        at = int(end[0])
+        size = header(stream, at)[0] + 64
+        while True:
+            part = stream[at : at + size]
+            try:
+                end = int(decode_frames(part, [0])[2][0])
+                break
+            except (FlacError, IndexError):
+                if at + size >= len(stream):
+                    raise
+                size *= 2
+        at += end
     return places
 
 
@@ -567,10 +619,14 @@ def pcm_blocks(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 def feature(samples: np.ndarray, kinds: list[str]) -> str:
     """Frames by kind, mean and root mean square of the samples to four digits, sign changes."""
-    s = samples.astype(np.int64) - 128
+    total = squares = changes = 0
+    for a in range(0, len(samples), AT_ONCE):
+        s = samples[max(0, a - 1) : a + AT_ONCE].astype(np.int64) - 128  # with the sample before, for its sign
+        changes += int((np.signbit(s[1:]) != np.signbit(s[:-1])).sum())
+        own = s[min(a, 1) :]
+        total, squares = total + int(own.sum()), squares + int((own * own).sum())
     count = ",".join(f"{k}={kinds.count(k)}" for k in ("constant", "verbatim", "fixed", "lpc"))
-    changes = int((np.signbit(s[1:]) != np.signbit(s[:-1])).sum())
-    return f"{count},mean={int(s.sum()) / len(s):.4f},rms={(int((s * s).sum()) / len(s)) ** 0.5:.4f},changes={changes}"
+    return f"{count},mean={total / len(samples):.4f},rms={(squares / len(samples)) ** 0.5:.4f},changes={changes}"
 
 
 def report(df: DataFrame) -> DataFrame:
