@@ -8,7 +8,7 @@ probability of their own.
 
 The sample for fitting is bounded: at most SAMPLE_ROWS labelled documents, those with the least hashes of their ids. Of a
 clean text of more than SAMPLE_WORDS words, sentences of as many words are taken by hash; a longer toxic text is left out, as
-a part of it need not be toxic. Words count as features if they stand in at least LEAST_ROWS documents of
+a part of it need not be toxic. Of all these, texts in the order of a hash are taken until they have SAMPLE_TOTAL words. Words count as features if they stand in at least LEAST_ROWS documents of
 the sample and the log-likelihood ratio of word and label there is at least LEAST_RATIO (rare words else learn the noise
 of single labels), at most MOST_FEATURES of them. Scores are given to every whole text.
 
@@ -29,13 +29,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import fresh, only, slices, texts, unknown
+from loomwork.llm.common import drop_scratch, fresh, only, scratch, slices, texts, unknown
 
 SAMPLE_ROWS = 6_000
 SAMPLE_WORDS = 20_000
+SAMPLE_TOTAL = 4_000_000
 LEAST_ROWS = 3
 LEAST_RATIO = 20.0
 MOST_FEATURES = 50_000
@@ -174,7 +175,7 @@ def part_of(bag: list[list[str]], most_words: int) -> list[list[str]]:
     return [bag[i] for i in sorted(chosen)]
 
 
-def train(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_words: int = SAMPLE_WORDS) -> Model:
+def train(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_words: int = SAMPLE_WORDS, total_words: int = SAMPLE_TOTAL) -> Model:
     """Fit to a bounded sample of labelled documents. Sentences are cut into words on the executors."""
     unknown(df, ["doc_id", "text"])
     unknown(labels, ["doc_id", "toxic"])
@@ -190,7 +191,14 @@ def train(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_words:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column("toxic")], ["bag", "toxic"])
 
     chosen = sample(df, labels, rows)
-    found = chosen.mapInArrow(cut, f"bag string, toxic {chosen.schema['toxic'].dataType.simpleString()}").filter(F.col("bag").isNotNull()).toArrow()
+    bags = chosen.mapInArrow(cut, f"bag string, toxic {chosen.schema['toxic'].dataType.simpleString()}").filter(F.col("bag").isNotNull())
+    # the sample is cut once, written, and measured before any of it is sent to the driver
+    bags = scratch(bags.withColumn("n", F.size(F.split("bag", "[ \n]")).cast("long")).withColumn("h", F.xxhash64("bag")), "toxicity-sample")
+    sizes = bags.groupBy("h").agg(F.sum("n").alias("n"))  # at most `rows` of them
+    upto = sizes.withColumn("upto", F.sum("n").over(Window.orderBy("h")))
+    last = upto.filter(F.col("upto") <= total_words).agg(F.max("h")).first()[0]
+    found = bags.filter(F.col("h") <= (last if last is not None else -(1 << 63))).select("bag", "toxic").toArrow()
+    drop_scratch(bags)
     pairs = sorted(zip(found.column("bag").to_pylist(), found.column("toxic").to_pylist(), strict=True))  # sums then add up alike
     bags = [[[intern(w) for w in s.split(" ")] if s else [] for s in x.split("\n")] for x, _ in pairs]
     return fit(bags, np.array([y for _, y in pairs], np.float64))
@@ -227,10 +235,40 @@ def locate(df: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     return only(df, "doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, sentence bigint, start bigint, end bigint, score double")
 
 
+def judged(df: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score, n_offending, worst_start, worst_end: the score of each whole text and where a toxic one offends.
+
+    Offending sentences are those with a probability of their own of at least a half. The worst sentence is the most
+    probable, the first of equals, in code points; it is null in texts that score below a half, and so it is where no
+    sentence could be judged.
+    """
+    unknown(df, ["doc_id", "text"])
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def one(m: Model, text: str) -> tuple[float, int, int | None, int | None]:
+        score = m.score(text)
+        if score < 0.5 or m.constant is not None:
+            return score, 0, None, None
+        found = m.sentences(text)
+        start, end, _ = max(found, key=lambda s: (s[2], -s[0]))
+        return score, sum(z >= 0 for _, _, z in found), start, end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value.ready()
+        for whole in batches:
+            for b in slices(whole):
+                cols = list(zip(*(one(m, t) for t in texts(b)), strict=True))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, (pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True))], ["doc_id", "score", "n_offending", "worst_start", "worst_end"])
+
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return only(df, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, n_offending bigint, worst_start bigint, worst_end bigint")
+
+
 def judge(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    out = scored(df, train(df, labels))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+    """doc_id, held_out, score, predicted, n_offending, worst_start, worst_end."""
+    out = judged(df, train(df, labels))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted, "n_offending", "worst_start", "worst_end")
 
 
 def keep_clean(df: DataFrame, labels: DataFrame) -> DataFrame:
