@@ -42,6 +42,10 @@ SEED = 42
 SHINGLE = 3
 #: Fingerprints of one subtree that a task may hold; larger subtrees are cut.
 NODE_ROWS = 500_000
+#: Fingerprints, each counted once for each block, behind a task, which holds them in memory (about 100 bytes each).
+TASK_ROWS = 1_000_000
+#: Edges from which on the joins of a round are salted, and over how many tasks a node's edges then go.
+SALT_FROM, SALTS = 2_000_000, 32
 #: Node pairs that are walked at once.
 FRONT = 400_000
 #: A-Z to a-z; no byte of a longer UTF-8 sequence is among them.
@@ -255,8 +259,9 @@ def masks(depth: int, budget: int = BUDGET) -> list[int]:
     return sorted(found)
 
 
-def link_tasks(fps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
-    """block, value, depth, lo, hi, fp: each distinct fingerprint in every subtree or pair of children it belongs to."""
+def link_tasks(fps: DataFrame, node_rows: int = NODE_ROWS) -> tuple[DataFrame, int]:
+    """block, value, depth, lo, hi, fp: each distinct fingerprint in every subtree or pair of children it belongs to; and in
+    how many that is about, at most (those cut more than once are few)."""
     blocks = F.explode(F.array(*(F.lit(i) for i in range(BUDGET + 1))))
     rows = fps.select("fp", blocks.alias("block")).withColumn("value", block_value(F.col("fp"), F.col("block")))
     sizes = rows.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -264,7 +269,7 @@ def link_tasks(fps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     flat = lambda df: df.select("block", "value", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), "fp")
     if not large.head(1):
         drop_scratch(large)
-        return flat(rows)
+        return flat(rows), BUDGET + 1
     # At most (BUDGET + 1) * rows / node_rows subtrees are large. They are cut four bits deeper at a time.
     parts = [flat(rows.join(large, ["block", "value"], "left_anti"))]
     rest, depth = scratch(rows.join(large, ["block", "value"], "left_semi"), "trie-rest"), 0
@@ -285,11 +290,11 @@ def link_tasks(fps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out, (BUDGET + 1) * len(masks(4))
 
 
-def links(fps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
-    """u, v (u > v unsigned-blind, as longs): a spanning forest of the links between distinct fingerprints."""
+def links(fps: DataFrame, rows: int, node_rows: int = NODE_ROWS) -> DataFrame:
+    """u, v (u > v unsigned-blind, as longs): a spanning forest of the links between distinct fingerprints, at most `rows` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -304,8 +309,9 @@ def links(fps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
         for a in range(0, len(u), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)[a : a + 100_000]), pa.array(np.minimum(u, v)[a : a + 100_000])], ["u", "v"])
 
-    tasks = link_tasks(fps, node_rows)
-    return tasks.repartition("block", "value", "lo", "hi").mapInArrow(run, "u bigint, v bigint")
+    tasks, times = link_tasks(fps, node_rows)
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows * times // TASK_ROWS))
+    return tasks.repartition(parts, "block", "value", "lo", "hi").mapInArrow(run, "u bigint, v bigint")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -325,9 +331,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         last = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = of_node(both.filter(F.col("v") > F.col("u")), least, state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        told = large.join(down, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        told = of_node(large, down, state[0]).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch(told.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
         drop_scratch(now)
         now = new
@@ -336,10 +342,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def of_node(edges: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """The n edges joined to what is known of their node u. A node may hold a large part of many edges, so these are salted."""
+    if n < SALT_FROM:
+        return edges.join(known, "u")
+    salts = F.explode(F.array(*(F.lit(i) for i in range(SALTS))))
+    spread = edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return spread.join(known.withColumn("_salt", salts), ["u", "_salt"]).drop("_salt")
+
+
 def grouped(fps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     """fp, root, component_id of each distinct fingerprint of (doc_id, fp); root is the least fingerprint it can reach."""
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = components(links(least.select("fp"), node_rows))
+    labels = components(links(least.select("fp"), fps.count(), node_rows))
     named = least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return named.join(of_root, "root").select("fp", "root", "component_id")
