@@ -36,27 +36,41 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson(u: Column, mean: Column) -> Column:
-    """How many of the values P(X <= 0), P(X <= 1), ... are at most u."""
+def steps(mean: Column) -> Column:
+    """P(X <= 0), P(X <= 1), ... as far as they rise and are below 1: an array that is made once for each source."""
     first = F.exp(-mean)
-    start = F.struct(first.alias("p"), first.alias("upto"), F.lit(0).alias("n"))
+    start = F.struct(first.alias("p"), F.array(first).alias("upto"))
 
     def step(a: Column, k: Column) -> Column:
         p = a["p"] * mean / k
-        return F.struct(p.alias("p"), (a["upto"] + p).alias("upto"), (a["n"] + F.when(a["upto"] <= u, 1).otherwise(0)).alias("n"))
+        return F.struct(p.alias("p"), F.concat(a["upto"], F.array(F.element_at(a["upto"], -1) + p)).alias("upto"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda a: a["n"])
+    every = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda a: a["upto"])
+    return F.filter(F.array_distinct(every), lambda x: x < 1.0)
 
 
-def copies(doc_id: Column, mean: Column, seed: int) -> Column:
+def parts_of(mean: Column) -> Column:
+    return F.greatest(F.ceil(mean / PART), F.lit(1)).cast("int")
+
+
+def inverted(doc_id: Column, parts: Column, steps_: Column, seed: int) -> Column:
+    """How many of the steps are at most the row's number, added up over the parts."""
     name = F.coalesce(doc_id.cast("string"), F.lit(""))
-    parts = F.greatest(F.ceil(mean / PART), F.lit(1)).cast("int")
-    each = lambda j: poisson(uniform(str(seed), name, j.cast("string")), mean / parts)
+
+    def each(j: Column) -> Column:
+        # the number is made once for all steps
+        return F.element_at(F.transform(F.array(uniform(str(seed), name, j.cast("string"))), lambda u: F.size(F.filter(steps_, lambda x: x <= u))), 1)
+
     return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, j: n + each(j))
 
 
+def copies(doc_id: Column, mean: Column, seed: int) -> Column:
+    parts = parts_of(mean)
+    return inverted(doc_id, parts, steps(mean / parts), seed)
+
+
 def rates(df: DataFrame, weights: DataFrame | None = None, by: str = "source", power: float = POWER) -> DataFrame:
-    """_key, mean: each source's mean repetition. weights has (_by, weight) and adds up to 1; by
+    """_key, parts, steps: in how many parts each source's mean repetition is drawn, and the steps of a part. weights has (_by, weight) and adds up to 1; by
     default a weight is the source's share to the given power, scaled. All rows are counted, with partial sums first.
     """
     n = df.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))
@@ -66,7 +80,8 @@ def rates(df: DataFrame, weights: DataFrame | None = None, by: str = "source", p
         n = n.withColumn("weight", F.pow("_n", F.lit(power)) / F.col("_sum"))
     else:
         n = n.join(weights.withColumnRenamed("_by", "_name"), F.col("_by").eqNullSafe(F.col("_name")))
-    return n.select(name_of(F.col("_by")).alias("_key"), (F.col("weight") * F.col("_total") / F.col("_n")).alias("mean"))
+    mean = n.select(name_of(F.col("_by")).alias("_key"), (F.col("weight") * F.col("_total") / F.col("_n")).alias("mean")).filter("mean > 0")
+    return mean.select("_key", parts_of(F.col("mean")).alias("parts"), steps(F.col("mean") / parts_of(F.col("mean"))).alias("steps"))
 
 
 def name_of(c: Column) -> Column:
@@ -78,10 +93,11 @@ def mix(df: DataFrame, weights: DataFrame | None = None, by: str = "source", see
     """The columns of df with _copy (1..n), _copies (n) and _mix (the key of the shuffle), one row for each copy."""
     unknown(df, ["doc_id", by])
     df = without_columns(df, "_copy", "_copies", "_mix")
-    key, mean = fresh(df, "_key", "_mean")
-    rate = scratch(rates(only(df, by), weights, by, power), "mix-rates").toDF(key, mean)
+    key, parts, steps_ = fresh(df, "_key", "_parts", "_steps")
+    rate = scratch(rates(only(df, by), weights, by, power), "mix-rates").toDF(key, parts, steps_)
     rated = join_keyed(df.withColumn(key, name_of(F.col(by))), rate, key).drop(key)
-    counted = rated.withColumn("_copies", copies(F.col("doc_id"), F.col(mean), seed)).drop(mean).filter(F.col("_copies") > 0)
-    each = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    # each explode is a step of its own in the plan, so that the number of copies is worked out once a row
+    counted = rated.withColumn("_copies", F.explode(F.array(inverted(F.col("doc_id"), F.col(parts), F.col(steps_), seed)))).drop(parts, steps_)
+    each = counted.withColumn("_copy", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))))
     dealt = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_copy").cast("string"), F.lit("mix")).cast("binary"))
     return each.withColumn("_mix", dealt).repartition("_mix").sortWithinPartitions("_mix")
