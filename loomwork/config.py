@@ -33,14 +33,25 @@ class Retrieval:
 class Ingestion:
     pii: bool = False
     strategy: str | None = None
+    classify: bool = False  # ask the classifier where no strategy is configured
     enrich: bool = False
     keywords: int = 5
 
 
 @dataclass(frozen=True)
 class Generation:
+    mode: str = "MANUAL"  # or ADVISOR: vector search above a threshold, no judges
     top_k: int = 5
     guard: bool = True
     judge: bool = True
-    block_message: str = "Your request was blocked by the safety policy."
+    sufficiency: bool = True
+    citations: bool = True
+    memory: int = 10  # messages of a conversation that are put before its question
+    advisor_threshold: float = 0.7
+    sensitive_words: tuple[str, ...] = ()
+    cache_similarity: float = 0.95
+    # What is said instead of an answer.
+    block_message: str = "Your request contains disallowed instructions and cannot be processed."
+    insufficient_answer: str = "I don't have enough information in the available context to answer that question."
+    sensitive_answer: str = "I'm unable to respond to that due to sensitive content. Could we rephrase or discuss something else?"
     retrieval: Retrieval = field(default_factory=Retrieval)

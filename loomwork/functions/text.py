@@ -1,11 +1,12 @@
-"""Text functions, Column to Column: normalising, redacting, guarding, tokenising. All run inside the JVM."""
+"""Text functions, Column to Column: normalising, redacting, guarding, tokenising. All but NFKC run inside the JVM."""
 
 from __future__ import annotations
 
-import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,15 +87,16 @@ def normalize(c: Column, pii: bool = False) -> Column:
 
 
 def normalize_nfkc(df: DataFrame, column: str, pii: bool = False) -> DataFrame:
-    """df with the column in NFKC and then normalised. Only texts beyond ASCII pass through Python, in Arrow batches."""
-    @F.pandas_udf("string")
-    def nfkc(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
-
-    c = F.col(column)
-    plain = df.filter(c.isNull() | (F.length(c) == F.octet_length(c)))
-    rest = df.filter(F.length(c) != F.octet_length(c)).withColumn(column, nfkc(column))
-    return plain.unionByName(rest).withColumn(column, normalize(c, pii))
+    """df with the column in NFKC and then normalised. Batches pass through Arrow's own normaliser, no text becomes a Python object."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            plain = pc.utf8_normalize(b.column(column).cast(pa.string()), form="NFKC")
+            yield pa.RecordBatch.from_arrays([plain if n == column else b.column(n) for n in names], names)
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+    return df.mapInArrow(run, kinds).withColumn(column, normalize(F.col(column), pii))
 
 
 def injected(c: Column, patterns: tuple[str, ...] = INJECTION_PATTERNS) -> Column:

@@ -21,6 +21,7 @@ TOKENS = 800
 SEMANTIC = (0.8, 1500)
 BOUNDARY = (500, 100)
 DELIMITER = "---CHUNK---"
+HEADING = r"\n(?=#+\s)"
 
 
 def finish(df: DataFrame, segments: Column, strategy: str) -> DataFrame:
@@ -54,15 +55,19 @@ def pdf_pages(df: DataFrame) -> DataFrame:
 
 def token_windows(df: DataFrame, size: int = TOKENS) -> DataFrame:
     """Windows of so many tokens, joined by blanks."""
-    t = tokens(F.col("content"))
+    return finish(df, token_segments(F.col("content"), size), "token")
+
+
+def token_segments(text: Column, size: int = TOKENS) -> Column:
+    t = tokens(text)
     n = F.size(t)
     starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return finish(df, F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(size)), " ")), "token")
+    return F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(size)), " "))
 
 
 def markdown(df: DataFrame, label: str = "markdown") -> DataFrame:
     """Sections: split before each heading."""
-    return finish(df, F.split("content", r"\n(?=#+\s)"), label)
+    return finish(df, F.split("content", HEADING), label)
 
 
 def wiki_sections(df: DataFrame) -> DataFrame:
@@ -207,14 +212,50 @@ def route(source: Column, configured: Column | None = None, classified: Column |
     return F.coalesce(F.lower(configured), by_source) if configured is not None else by_source
 
 
+#: Strategies that cut with Python, by name.
+GREEDY: dict[str, Callable[[str], list[str]]] = {"recursive": split_recursively, "semantic": split_semantically, "boundary": split_at_boundaries}
+
+
 def chunk(df: DataFrame, configured: Column | None = None, classified: Column | None = None) -> DataFrame:
-    """Every document by its strategy. Branches read the same input; each keeps only its documents."""
-    routed = df.withColumn("_route", route(F.col("source"), configured, classified))
-    out = None
-    for name in ("fixed", "recursive", "token", "semantic", "markdown", "db", "boundary"):
-        part = STRATEGIES[name](routed.filter(F.col("_route") == name)).drop("_route")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every document by its strategy, in one pass over df.
+
+    Documents of a greedy strategy are cut in Arrow batches, which the others pass through; theirs are expressions of which
+    a row evaluates its own alone. A document with an unknown strategy gives no chunks.
+    """
+    names = [c for c in df.columns if c != "content"]
+    routed = df.select(*names, "content", route(F.col("source"), configured, classified).alias("_route"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [GREEDY[r](t or "") if r in GREEDY else None for r, t in zip(b.column("_route").to_pylist(), b.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cut, pa.list_(pa.string()))], [*b.schema.names, "_segments"])
+
+    kinds = ", ".join(f"`{c}` {routed.schema[c].dataType.simpleString()}" for c in routed.columns)
+    made = routed.mapInArrow(run, f"{kinds}, _segments array<string>")
+    text, way = F.col("content"), F.col("_route")
+    plain = F.coalesce(text, F.lit(""))
+    segments = (
+        F.when(way.isin(*GREEDY), F.col("_segments"))
+        .when(way == "fixed", windows(plain, *FIXED))
+        .when(way == "token", token_segments(text))
+        .when(way == "markdown", F.split(text, HEADING))
+    )
+    kept = F.when(way == "db", F.array(text)).otherwise(F.filter(F.transform(segments, strip), lambda x: x != ""))
+    out = made.select(*names, F.posexplode(kept).alias("chunk_index", "content"), way.alias("chunk_strategy"))
+    return out.select(*names, "chunk_index", "content", "chunk_strategy")
+
+
+def classified_strategy(text: Column) -> Column:
+    """A deterministic classifier of strategies: headings ask for sections, long prose for recursive cuts, many short lines
+    for windows of a fixed size, the rest for tokens. Blank texts have none, like a model that fails."""
+    lines, chars = F.size(F.split(text, "\n")), F.length(text)
+    chosen = F.when(text.rlike(r"(?m)^#{1,6}\s"), "markdown").when(chars / lines < 40, "fixed").when(chars > 2000, "recursive").otherwise("token")
+    return F.when(~is_blank(text), chosen)
+
+
+def summary(text: Column, most: int = 160) -> Column:
+    """A deterministic section summary: the first sentence, cut to `most` characters."""
+    return F.substring(strip(F.regexp_extract(text, r"(?s)\A\s*(.*?(?:[.!?](?=\s|\z)|\z))", 1)), 1, most)
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:
@@ -235,6 +276,6 @@ def top_terms(chunks: DataFrame, key: str = "chunk_id", text: str = "content", k
     return ranked.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "term"))), lambda x: x["term"]), ",").alias("keywords"))
 
 
-def enrich(chunks: DataFrame, enabled: bool = True, k: int = 5) -> DataFrame:
-    """chunks with keywords; unchanged when disabled, and null for a chunk without terms."""
-    return chunks.join(top_terms(chunks, k=k), "chunk_id", "left") if enabled else chunks
+def enrich(chunks: DataFrame, enabled: bool = True, k: int = 5, summarize: Callable[[Column], Column] = summary) -> DataFrame:
+    """chunks with keywords and section_summary; unchanged when disabled. Keywords are null for a chunk without terms."""
+    return chunks.join(top_terms(chunks, k=k), "chunk_id", "left").withColumn("section_summary", summarize(F.col("content"))) if enabled else chunks

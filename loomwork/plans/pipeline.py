@@ -11,6 +11,7 @@ from loomwork import models
 from loomwork.config import Generation, Ingestion, Retrieval
 from loomwork.functions import text as T
 from loomwork.functions.vectors import score as rounded
+from loomwork.operators import evaluate as E
 from loomwork.operators import chunking, graph, lexical, lifecycle, postprocess, prompt, query_transforms, rerank, search
 from loomwork.sources.tables import join_small
 
@@ -27,10 +28,10 @@ def ingest(documents: DataFrame, store: DataFrame | None = None, cfg: Ingestion
 
     Stages that are switched off add no node to the plan.
     """
-    text = T.normalize(F.col("content"), cfg.pii)
-    named = documents.withColumn("content", text).filter(F.col("content") != "")
+    named = T.normalize_nfkc(documents, "content", cfg.pii).filter(F.col("content") != "")
     configured = strategy if strategy is not None else (F.lit(cfg.strategy) if cfg.strategy else None)
-    chunks = chunking.with_ids(chunking.chunk(named, configured))
+    classified = chunking.classified_strategy(F.col("content")) if cfg.classify else None
+    chunks = chunking.with_ids(chunking.chunk(named, configured, classified))
     if store is not None:
         base = [c for c in chunks.columns if c in store.columns]
         chunks = lifecycle.incremental(store.select(*base), chunks.select(*base))
@@ -93,21 +94,87 @@ def cite(found: DataFrame) -> DataFrame:
     return postprocess.citations(found, keys=keys)
 
 
-def generate(queries: DataFrame, chunks: DataFrame, cfg: Generation = Generation(), embed: Embed | None = None, answer=models.answer, judge=models.judge) -> DataFrame:
-    """query_id, answer, context, faithful, blocked. Blocked queries get the policy's message and no search."""
-    unsafe = T.injected(F.col("query")) if cfg.guard else F.lit(False)
-    asked = queries.withColumn("blocked", unsafe)
-    r = cfg.retrieval
-    found = retrieve(asked.filter(~F.col("blocked")).select("query_id", "query"), chunks, Retrieval(**{**r.__dict__, "top_k": cfg.top_k}), embed)
+def generate(
+    queries: DataFrame,
+    chunks: DataFrame,
+    cfg: Generation = Generation(),
+    embed: Embed | None = None,
+    answer=models.answer,
+    judge=models.judge,
+    enough=models.enough,
+    cache: DataFrame | None = None,
+    turns: DataFrame | None = None,
+    now: Column | None = None,
+    index: lexical.Index | None = None,
+) -> DataFrame:
+    """query_id, answer, context, faithful, blocked, from_cache, insufficient, citations, history.
+
+    queries (query_id, query and, for a memory, conv_id). The steps, each only for the queries that are left:
+
+    1. unsafe queries get the policy's message, those with a sensitive word another;
+    2. queries close enough to one in cache (entry_id, embedding, answer, expires_at) get its answer;
+    3. passages are retrieved, unsafe ones left out, and numbered into a context;
+    4. where the context doesn't suffice by the judge, a canned answer says so;
+    5. the others are answered from the context and judged for faithfulness; history has the last messages of the
+       conversation from turns (conv_id, turn, role, text), for a model that reads them.
+
+    citations are "identity" or "identity, p.N" in order, for answered queries. In ADVISOR mode passages come from vector
+    search above a threshold and there are no judges.
+    """
+    q = queries.withColumn("blocked", T.injected(F.col("query")) if cfg.guard else F.lit(False))
+    q = q.withColumn("_sensitive", T.has_word(F.col("query"), list(cfg.sensitive_words)) if cfg.sensitive_words else F.lit(False))
+    known = None
+    if cache is not None and embed is not None:
+        vectors = embed(q.filter(~F.col("blocked")), "query_id", "query")
+        known = search.similar_queries(vectors, cache, now, cfg.cache_similarity).select("query_id", F.col("answer").alias("_cached"))
+    q = q.join(known, "query_id", "left") if known is not None else q.withColumn("_cached", F.lit(None).cast("string"))
+    todo = q.filter(~F.col("blocked") & ~F.col("_sensitive") & F.col("_cached").isNull()).select("query_id", "query")
+    r = Retrieval(**{**cfg.retrieval.__dict__, "top_k": cfg.top_k})
+    if cfg.mode == "ADVISOR":
+        r = Retrieval(top_k=cfg.top_k, mode="VECTOR", threshold=cfg.advisor_threshold, dedup=False)
+    found = retrieve(todo, chunks, r, embed, index=index)
     if cfg.guard:
         found = found.filter(~T.injected(F.col("content")))
-    for c in ("file_name", "page", "source"):
+    for c in ("file_name", "page", "source", "identity"):
         if c not in found.columns:
             found = found.withColumn(c, F.lit(None).cast("string"))
-    ctx = prompt.contexts(asked.filter(~F.col("blocked")).select("query_id"), found, order="ord")
-    said = ctx.withColumn("answer", answer(F.col("context")))
-    said = said.withColumn("faithful", judge(F.col("answer"), F.col("context")) if cfg.judge else F.lit(None).cast("boolean"))
-    return asked.select("query_id", "blocked").join(said, "query_id", "left").withColumn("answer", F.when(F.col("blocked"), F.lit(cfg.block_message)).otherwise(F.col("answer")))
+    ctx = prompt.contexts(todo, found, order="ord").join(todo, "query_id").withColumn("_found", F.col("context") != prompt.NO_CONTEXT)
+    judged = cfg.mode != "ADVISOR"
+    few = ~E.sufficient(F.when(F.col("_found"), F.col("context")), enough(F.col("query"), F.col("context"))) if judged and cfg.sufficiency else F.lit(False)
+    said = ctx.withColumn("insufficient", few).withColumn("_said", F.when(~F.col("insufficient"), answer(F.col("context"))))
+    said = said.withColumn("faithful", F.when(~F.col("insufficient"), judge(F.col("_said"), F.col("context"))) if judged and cfg.judge else F.lit(None).cast("boolean"))
+    if cfg.citations:
+        page = F.when(F.col("page").try_cast("int").isNotNull(), F.concat(F.lit(", p."), F.col("page").try_cast("int").cast("string"))).otherwise(F.lit(""))
+        named = cite(found).select("query_id", F.struct("citation_no", F.concat(F.coalesce("identity", F.lit("")), page).alias("name")).alias("_c"))
+        lists = named.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("_c")), lambda x: x["name"]).alias("_cited"))
+        said = said.join(lists, "query_id", "left")
+    else:
+        said = said.withColumn("_cited", F.lit(None).cast("array<string>"))
+    out = q.join(said.drop("query"), "query_id", "left")
+    if turns is not None and "conv_id" in queries.columns:
+        last = prompt.chat_window(turns.join(queries.select("conv_id").distinct(), "conv_id", "left_semi"), cfg.memory)
+        line = F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))
+        memory = last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("history"))
+        out = out.join(memory, "conv_id", "left")
+    else:
+        out = out.withColumn("history", F.lit(None).cast("string"))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    text = (
+        F.when(F.col("blocked"), F.lit(cfg.block_message))
+        .when(F.col("_sensitive"), F.lit(cfg.sensitive_answer))
+        .when(F.col("_cached").isNotNull(), F.col("_cached"))
+        .when(no(F.col("insufficient")), F.lit(cfg.insufficient_answer))
+        .otherwise(F.col("_said"))
+    )
+    cited = F.when(F.col("_said").isNotNull() & F.col("_cited").isNotNull(), F.col("_cited")).otherwise(F.array().cast("array<string>"))
+    hit = ~F.col("blocked") & ~F.col("_sensitive") & F.col("_cached").isNotNull()
+    return out.select("query_id", text.alias("answer"), "context", "faithful", "blocked", hit.alias("from_cache"), no(F.col("insufficient")).alias("insufficient"), cited.alias("citations"), "history")
+
+
+def token_stream(answers: DataFrame, qid: str = "query_id", text: str = "answer") -> DataFrame:
+    """qid, token_no, token: an answer piece by piece, each word with the white space before it; together they are the answer."""
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\s*\S+|\s+)"), 1)
+    return answers.select(qid, F.posexplode(pieces).alias("token_no", "token"))
 
 
 def graph_answer(questions: DataFrame, nodes: DataFrame, edges: DataFrame, answer=models.answer) -> DataFrame:

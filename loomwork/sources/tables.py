@@ -17,8 +17,13 @@ MOST_SENT = 50_000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The Parquet table <folder>/<name>.parquet; a table of texts in fewer files than there are cores is dealt out over all."""
-    df = spark.read.parquet(table_path(folder, name))
+    """The Parquet table <folder>/<name>.parquet."""
+    return spark.read.parquet(table_path(folder, name))
+
+
+def read_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """read_table() for work that outweighs moving a row: a table of texts in fewer files than cores is dealt out over all."""
+    df = read_table(spark, folder, name)
     return spread(df) if name in TEXTS else df
 
 
