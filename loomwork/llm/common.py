@@ -12,9 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.sources.tables import file_system, read_table, shared_dir
-
-table = read_table
+from loomwork.sources.tables import file_system, shared_dir
+from loomwork.sources.tables import read_spread as table
 
 #: White space of the word and line contracts.
 SPACE = " \t\n\x0b\x0c\r"
