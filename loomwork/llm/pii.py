@@ -7,8 +7,9 @@ Viterbi under the CRF's transitions, and its spans are reconciled over the whole
 middle it begins, spans of one kind that overlap are joined, and of spans that clash the base span or else the earlier and
 longer one stays. A decoded span must also look like its kind (enough digits, dots or an @).
 
-The sample for training is bounded: the windows with spans or digits of at most SAMPLE_ROWS documents, those with the least
-hashes of their ids, and at most SAMPLE_WINDOWS of them. Decoding covers all texts.
+The sample for training is bounded: of at most SAMPLE_ROWS documents, those with the least hashes of their ids, all windows with
+a digit or an @ and one that a hash picks are candidates; SAMPLE_WINDOWS with such a mark and a third as many without are
+taken, those with the least hashes. Decoding covers all texts.
 
 Defined cases: null text counts as empty; an empty text has no spans, and base_sha256 is then the digest of the empty
 string; repeated rows are tagged alike; a table without rows gives none; other columns are not read.
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -149,82 +152,96 @@ class Tagger:
             self.p |= {f"x{d}": w(width, 4 * hidden), f"h{d}": w(hidden, 4 * hidden), f"c{d}": np.zeros(4 * hidden, np.float32)}
             self.p[f"c{d}"][hidden : 2 * hidden] = 1
 
-    def lstm(self, x: np.ndarray, d: str, keep: bool):
-        """Hidden states over time (time, batch, hidden) and, if kept, what the way back needs."""
-        n, h_n = x.shape[1], self.hidden
-        order = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
-        pre = x @ self.p[f"x{d}"] + self.p[f"c{d}"]
-        wh = self.p[f"h{d}"]
-        h = c = np.zeros((n, h_n), np.float32)
-        out, kept = np.empty((len(x), n, h_n), np.float32), {}
-        for t in order:
-            z = pre[t] + h @ wh
-            i, f, o = np.split(sigmoid(z[:, : 3 * h_n]), 3, axis=1)
-            g = np.tanh(z[:, 3 * h_n :])
+    def lstm(self, x: np.ndarray, keep: bool):
+        """Hidden states of both directions (time, batch, 2 * hidden) and, if kept, what the way back needs.
+
+        The second direction reads the time backwards; both go through the same steps at once.
+        """
+        steps, n, k = len(x), x.shape[1], self.hidden
+        both = np.stack([x, x[::-1]])
+        pre = np.matmul(both.reshape(2, steps * n, -1), self.both("x")).reshape(2, steps, n, 4 * k) + self.both("c")[:, None, None]
+        wh = self.both("h")
+        h = c = np.zeros((2, n, k), np.float32)
+        out, kept = np.empty((2, steps, n, k), np.float32), []
+        for t in range(steps):
+            z = pre[:, t] + np.matmul(h, wh)
+            gates = sigmoid(z[..., : 3 * k])
+            i, f, o = gates[..., :k], gates[..., k : 2 * k], gates[..., 2 * k :]
+            g = np.tanh(z[..., 3 * k :])
             c_new = f * c + i * g
             tc = np.tanh(c_new)
             if keep:
-                kept[t] = (i, f, o, g, c, tc, h)
+                kept.append((gates, g, c, tc, h))
             h, c = o * tc, c_new
-            out[t] = h
-        return out, kept
+            out[:, t] = h
+        return np.concatenate([out[0], out[1, ::-1]], axis=2), (both, kept)
+
+    def both(self, name: str) -> np.ndarray:
+        return np.stack([self.p[f"{name}f"], self.p[f"{name}b"]])
 
     def emissions(self, chars: np.ndarray, keep: bool = False):
-        x = self.p["embed"][chars.T]
-        (hf, kf), (hb, kb) = self.lstm(x, "f", keep), self.lstm(x, "b", keep)
-        h = np.concatenate([hf, hb], axis=2)
-        return h @ self.p["out"] + self.p["bias"], (x, h, kf, kb)
+        h, kept = self.lstm(self.p["embed"][chars.T], keep)
+        return h @ self.p["out"] + self.p["bias"], (h, kept)
 
     def loss(self, chars: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the gold tags and its gradient."""
-        e, (x, h, kf, kb) = self.emissions(chars, True)
+        e, (h, kept) = self.emissions(chars, True)
         steps, n = e.shape[:2]
         y = gold.T
         trans, first = self.p["step"] + BARRED, self.p["first"]
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = first + e[0]
+        # the CRF's sums from the left, with the first tag's score, and from the right, each with its own emission
+        sums = np.empty((2, steps, n, TAGS), e.dtype)
+        sums[0, 0], sums[1, 0] = first + e[0], e[-1]
+        moves = np.exp(np.stack([trans, trans.T]))
+        back = e[::-1]
         for t in range(1, steps):
-            alpha[t] = logsumexp(alpha[t - 1][:, :, None] + trans, 1) + e[t]
-        for t in range(steps - 2, -1, -1):
-            beta[t] = logsumexp(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
+            top = sums[:, t - 1].max(axis=-1, keepdims=True)
+            some = np.log(np.maximum(np.matmul(np.exp(sums[:, t - 1] - top), moves), 1e-37)) + top
+            sums[0, t], sums[1, t] = some[0] + e[t], some[1] + back[t]
+        alpha, right = sums[0], sums[1, ::-1]
         z = logsumexp(alpha[-1], 1)
         rows = np.arange(n)
-        gold_score = first[y[0]] + e[0, rows, y[0]]
-        for t in range(1, steps):
-            gold_score = gold_score + trans[y[t - 1], y[t]] + e[t, rows, y[t]]
-        de = np.exp(alpha + beta - z[:, None])
-        dtrans = np.zeros((TAGS, TAGS), np.float32)
-        for t in range(1, steps):
-            dtrans += np.exp(alpha[t - 1][:, :, None] + trans + (e[t] + beta[t])[:, None, :] - z[:, None, None]).sum(axis=0)
+        picked = np.take_along_axis(e, y[:, :, None], 2)[:, :, 0]
+        gold_score = first[y[0]] + picked.sum(axis=0) + trans[y[:-1], y[1:]].sum(axis=0)
+        de = np.exp(alpha + right - e - z[:, None])
+        # expected moves: the products of both sides' sums, added up over all steps by one product of matrices
+        top_a, top_b = alpha[:-1].max(axis=2, keepdims=True), right[1:].max(axis=2, keepdims=True)
+        left = np.exp(alpha[:-1] - top_a + np.minimum(top_a + top_b - z[:, None], 80))
+        dtrans = moves[0] * (left.reshape(-1, TAGS).T @ np.exp(right[1:] - top_b).reshape(-1, TAGS))
         np.add.at(dtrans, (y[:-1].ravel(), y[1:].ravel()), -1)
         de[np.arange(steps)[:, None], rows, y] -= 1
         de /= n
         g = {"step": dtrans / n, "first": de[0].sum(axis=0), "bias": de.sum(axis=(0, 1)), "out": h.reshape(-1, h.shape[2]).T @ de.reshape(-1, TAGS)}
-        dh = de @ self.p["out"].T
-        dx = np.zeros_like(x)
-        for d, kept, part in (("f", kf, dh[:, :, : self.hidden]), ("b", kb, dh[:, :, self.hidden :])):
-            dz = self.lstm_back(d, kept, part, x, g)
-            dx += dz @ self.p[f"x{d}"].T
+        dx = self.lstm_back(kept, de @ self.p["out"].T, g)
         g["embed"] = np.zeros_like(self.p["embed"])
         np.add.at(g["embed"], chars.T.ravel(), dx.reshape(-1, dx.shape[2]))
         return float((z - gold_score).mean()), g
 
-    def lstm_back(self, d: str, kept: dict, dh: np.ndarray, x: np.ndarray, g: dict) -> np.ndarray:
-        wh, steps = self.p[f"h{d}"], len(dh)
-        order = range(steps - 1, -1, -1) if d == "f" else range(steps)
-        dz = np.empty((*dh.shape[:2], 4 * self.hidden), np.float32)
-        gh = np.zeros_like(wh)
-        back_h = back_c = np.zeros(dh.shape[1:], np.float32)
-        for t in order:
-            i, f, o, gg, c, tc, h = kept[t]
-            total = dh[t] + back_h
+    def lstm_back(self, kept: tuple, dh: np.ndarray, g: dict) -> np.ndarray:
+        """Adds the LSTMs' gradients to g; returns that of their input."""
+        both, steps_kept = kept
+        k, steps, n = self.hidden, len(dh), dh.shape[1]
+        d = np.stack([dh[:, :, :k], dh[::-1, :, k:]])
+        back = np.ascontiguousarray(self.both("h").transpose(0, 2, 1))
+        dz, before = np.empty((2, steps, n, 4 * k), dh.dtype), np.empty((2, steps, n, k), dh.dtype)
+        back_h = back_c = np.zeros((2, n, k), dh.dtype)
+        for t in range(steps - 1, -1, -1):
+            gates, gg, c, tc, h_before = steps_kept[t]
+            before[:, t] = h_before
+            i, f, o = gates[..., :k], gates[..., k : 2 * k], gates[..., 2 * k :]
+            total = d[:, t] + back_h
             dc = back_c + total * o * (1 - tc * tc)
-            dz[t] = np.concatenate([dc * gg * i * (1 - i), dc * c * f * (1 - f), total * tc * o * (1 - o), dc * i * (1 - gg * gg)], axis=1)
-            gh += h.T @ dz[t]
-            back_h, back_c = dz[t] @ wh.T, dc * f
-        flat = dz.reshape(-1, dz.shape[2])
-        g[f"h{d}"], g[f"x{d}"], g[f"c{d}"] = gh, x.reshape(-1, x.shape[2]).T @ flat, flat.sum(axis=0)
-        return dz
+            now = dz[:, t]
+            now[..., :k], now[..., k : 2 * k], now[..., 2 * k : 3 * k] = dc * gg, dc * c, total * tc
+            now[..., : 3 * k] *= gates * (1 - gates)
+            now[..., 3 * k :] = dc * i * (1 - gg * gg)
+            back_h, back_c = np.matmul(now, back), dc * f
+        flat = dz.reshape(2, steps * n, 4 * k)
+        gh, gx = np.matmul(before.reshape(2, -1, k).transpose(0, 2, 1), flat), np.matmul(both.reshape(2, steps * n, -1).transpose(0, 2, 1), flat)
+        for j, name in enumerate("fb"):
+            g[f"h{name}"], g[f"x{name}"], g[f"c{name}"] = gh[j], gx[j], flat[j].sum(axis=0)
+        dx = np.matmul(flat, self.both("x").transpose(0, 2, 1)).reshape(both.shape)
+        return dx[0] + dx[1, ::-1]
 
     def fit(self, chars: np.ndarray, gold: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 1) -> list[float]:
         """Adam with gradients clipped by norm and a rate that falls to a tenth."""
@@ -320,15 +337,29 @@ def reconcile(text: str, found: list[tuple[int, Span]], base: list[Span]) -> lis
             else:
                 joined.append((k, a, b))
             end = max(end, b)
-    taken = sorted((a, b) for _, a, b in base)
-    out = list(base)
+    taken, ends = union([(a, b) for _, a, b in base])  # disjoint, so both are in order
+    out, last = list(base), 0
     for k, a, b in sorted(joined, key=lambda s: (s[1], s[1] - s[2])):
-        if plausible(k, text[a:b]) and all(b <= x or y <= a for x, y in taken):
+        at = bisect_right(ends, a)  # the first base span that ends behind the start
+        if a >= last and (at == len(taken) or b <= taken[at]) and plausible(k, text[a:b]):
             out.append((k, a, b))
-            taken.append((a, b))
+            last = b
     return ordered(out)
 
 
+def union(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def tag_texts(model: Tagger | None, batch: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text."""
     base = [base_spans(t) for t in batch]
@@ -395,15 +426,19 @@ def examples(windows: list[str], made: int = MADE_WINDOWS, seed: int = 7) -> tup
     return codes([t for t, _ in rows]), np.stack([tags(s) for _, s in rows])
 
 
+def plain_window(text: str) -> int:
+    """Start of a window, anywhere in a text, that a hash of the text picks."""
+    return zlib.crc32(text.encode()) % (max(0, len(text) - WINDOW) // STRIDE + 1) * STRIDE
+
+
 def train(df: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_WINDOWS, made: int = MADE_WINDOWS) -> Tagger:
     """A tagger trained on a bounded sample; the executors cut the windows."""
     unknown(df, ["doc_id", "text"])
     chosen = df.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
-    each = 8
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [t[s : s + WINDOW] for t in texts(b) for s in (window_starts(t)[:each] or [0])]
+            out = [t[s : s + WINDOW] for t in texts(b) for s in (*window_starts(t), plain_window(t))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["window"])
 
     found = only(df, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(cut, "window string")
