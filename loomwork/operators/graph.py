@@ -7,12 +7,13 @@ Every limited result has a total order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import keywords
 from loomwork.functions.vectors import score as rounded
 from loomwork.operators.lexical import idf
+from loomwork.sources.tables import built_once, join_small
 
 PATH_LIMIT = 10
 FULLTEXT_LIMIT = 30
@@ -43,7 +44,7 @@ def search(nodes: DataFrame, label: str, kw: str) -> DataFrame:
 def search_many(nodes: DataFrame, kws: DataFrame, kw: str = "keyword") -> DataFrame:
     """Nodes that any keyword hits, each once. Keywords come from questions and are few; nodes stay where they are."""
     found = kws.select(F.col(kw).alias("_kw")).distinct()
-    return nodes.join(F.broadcast(found), mentions(F.col("fields"), F.col("_kw")) | mentions(F.col("skills"), F.col("_kw")), "left_semi")
+    return join_small(nodes, found, mentions(F.col("fields"), F.col("_kw")) | mentions(F.col("skills"), F.col("_kw")), "left_semi")
 
 
 def ends(edges: DataFrame, rel: str, a: str, b: str, *more: str) -> DataFrame:
@@ -110,15 +111,24 @@ def limited(df: DataFrame, order: list, limit: int = PATH_LIMIT) -> DataFrame:
     return df.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit)
 
 
+def hits(nodes: DataFrame, label: str, as_id: str, kws: DataFrame, skills: bool = False) -> DataFrame:
+    """keyword, as_id: nodes of a label whose name (or a skill) has a keyword. Keywords are compared with nodes, never with paths."""
+    k = F.col("keyword")
+    found = has(F.col("name"), k) | mentions(F.col("skills"), k) if skills else has(F.col("name"), k)
+    return join_small(nodes.filter(F.col("label") == label), kws, found).select("keyword", F.col("id").alias(as_id)).distinct()
+
+
 def hierarchy_paths(nodes: DataFrame, edges: DataFrame, kws: DataFrame) -> DataFrame:
     """keyword, n, line: company to employee, where a name below the company or a skill has the keyword."""
-    c = names(nodes, "Company", "c", "company").join(ends(edges, "HAS_DEPARTMENT", "c", "d"), "c")
-    d = c.join(names(nodes, "Department", "d", "department"), "d").join(ends(edges, "HAS_TEAM", "d", "t"), "d")
-    t = d.join(names(nodes, "Team", "t", "team"), "t").join(ends(edges, "HAS_MEMBER", "t", "e"), "t")
-    paths = t.join(names(nodes, "Employee", "e", "employee", "skills"), "e")
-    k = F.col("keyword")
-    hit = has(F.col("department"), k) | has(F.col("team"), k) | has(F.col("employee"), k) | mentions(F.col("skills"), k)
-    found = limited(paths.join(F.broadcast(kws), hit), ["company", "department", "team", "employee"])
+    dt, te = ends(edges, "HAS_TEAM", "d", "t"), ends(edges, "HAS_MEMBER", "t", "e")
+    # from the nodes that are hit to the members below or the teams above, then up to the company
+    below = hits(nodes, "Department", "d", kws).join(dt, "d").join(te, "t").select("keyword", "d", "t", "e")
+    teams = hits(nodes, "Team", "t", kws).join(te, "t").join(dt, "t").select("keyword", "d", "t", "e")
+    own = hits(nodes, "Employee", "e", kws, skills=True).join(te, "e").join(dt, "t").select("keyword", "d", "t", "e")
+    some = below.unionByName(teams).unionByName(own).distinct()
+    up = some.join(ends(edges, "HAS_DEPARTMENT", "c", "d"), "d").join(names(nodes, "Company", "c", "company"), "c")
+    named = up.join(names(nodes, "Department", "d", "department"), "d").join(names(nodes, "Team", "t", "team"), "t").join(names(nodes, "Employee", "e", "employee"), "e")
+    found = limited(named, ["company", "department", "team", "employee"])
     return found.select("keyword", "n", F.concat_ws(" → ", "company", "department", "team", "employee").alias("line"))
 
 
@@ -127,31 +137,47 @@ def project_paths(nodes: DataFrame, edges: DataFrame, kws: DataFrame) -> DataFra
 
     A keyword on a technology keeps only such technologies, one on the employee or project keeps all.
     """
-    w = ends(edges, "WORKS_ON", "e", "p", "role").join(names(nodes, "Employee", "e", "employee"), "e").join(names(nodes, "Project", "p", "project"), "p")
-    u = ends(edges, "USES_TECHNOLOGY", "p", "k").join(names(nodes, "Technology", "k", "technology"), "k")
-    k = F.col("keyword")
-    rows = w.join(u, "p").join(F.broadcast(kws), has(F.col("employee"), k) | has(F.col("project"), k) | has(F.col("technology"), k))
+    w, u = ends(edges, "WORKS_ON", "e", "p", "role"), ends(edges, "USES_TECHNOLOGY", "p", "k")
+    columns = ("keyword", "e", "p", "role", "k")
+    whole = hits(nodes, "Employee", "e", kws).join(w, "e").select("keyword", "e", "p", "role").unionByName(hits(nodes, "Project", "p", kws).join(w, "p").select("keyword", "e", "p", "role")).distinct()
+    part = hits(nodes, "Technology", "k", kws).join(u, "k").join(w, "p").select(*columns)
+    some = whole.join(u, "p").select(*columns).unionByName(part).distinct()
+    rows = some.join(names(nodes, "Employee", "e", "employee"), "e").join(names(nodes, "Project", "p", "project"), "p").join(names(nodes, "Technology", "k", "technology"), "k")
     grouped = rows.groupBy("keyword", "employee", "role", "project").agg(F.sort_array(F.collect_set("technology")).alias("technologies"))
     found = limited(grouped, ["employee", "project", "role"])
     return found.select("keyword", "n", F.format_string("%s works on %s as %s using %s", "employee", "project", "role", F.array_join("technologies", ", ")).alias("line"))
 
 
-def management_pairs(edges: DataFrame, hops: int = 3) -> DataFrame:
-    """employee id, manager id, depth of trails of 1 to `hops` REPORTS_TO edges; no trail uses an edge twice, so cycles end."""
+def trails(edges: DataFrame, hops: int, seeds: DataFrame | None = None, up: bool = True) -> DataFrame:
+    """a, b, depth, steps (and seeds' columns): trails of 1 to `hops` REPORTS_TO edges; none uses an edge twice, so cycles end.
+
+    seeds (id and more) are where trails start (up) or end; without them all trails are listed.
+    """
     e = edges.filter(F.col("rel") == "REPORTS_TO").select(F.col("src").alias("a"), F.col("dst").alias("b")).withColumn("step", F.concat_ws("→", "a", "b"))
-    trail = e.select("a", "b", F.array("step").alias("steps"), F.lit(1).alias("depth"))
+    end, other = ("b", "a") if up else ("a", "b")
+    first = e if seeds is None else e.join(seeds.withColumnRenamed("id", other), other)
+    trail = first.withColumn("steps", F.array("step")).drop("step").withColumn("depth", F.lit(1))
     out = trail
     for depth in range(2, hops + 1):
-        nxt = e.select(F.col("a").alias("b"), F.col("b").alias("c"), "step")
-        trail = trail.join(nxt, "b").filter(~F.array_contains("steps", F.col("step"))).select("a", F.col("c").alias("b"), F.concat("steps", F.array("step")).alias("steps"), F.lit(depth).alias("depth"))
+        nxt = e.select(F.col(other).alias(end), F.col(end).alias("_next"), "step")
+        longer = trail.join(nxt, end).filter(~F.array_contains("steps", F.col("step"))).drop(end).withColumnRenamed("_next", end)
+        one = F.array("step")
+        trail = longer.withColumn("steps", F.concat("steps", one) if up else F.concat(one, "steps")).drop("step").withColumn("depth", F.lit(depth))
         out = out.unionByName(trail)
-    return out.select("a", "b", "depth")
+    return out
+
+
+def management_pairs(edges: DataFrame, hops: int = 3) -> DataFrame:
+    """employee id, manager id, depth of all trails."""
+    return trails(edges, hops).select("a", "b", "depth")
 
 
 def management_chain(nodes: DataFrame, edges: DataFrame, kws: DataFrame, hops: int = 3) -> DataFrame:
-    a, b = names(nodes, "Employee", "a", "employee"), names(nodes, "Employee", "b", "manager")
-    k = F.col("keyword")
-    rows = management_pairs(edges, hops).join(a, "a").join(b, "b").join(F.broadcast(kws), has(F.col("employee"), k) | has(F.col("manager"), k))
+    """keyword, n, line of trails whose first or last employee has the keyword: they are followed from the nodes that are hit."""
+    seeds = hits(nodes, "Employee", "id", kws)
+    both = trails(edges, hops, seeds, True).unionByName(trails(edges, hops, seeds, False))
+    once = both.dropDuplicates(["keyword", "steps"])
+    rows = once.join(names(nodes, "Employee", "a", "employee"), "a").join(names(nodes, "Employee", "b", "manager"), "b")
     found = limited(rows, ["depth", "employee", "manager"])
     return found.select("keyword", "n", F.format_string("%s reports to %s (chain depth %s)", "employee", "manager", F.col("depth").cast("string")).alias("line"))
 
@@ -159,7 +185,7 @@ def management_chain(nodes: DataFrame, edges: DataFrame, kws: DataFrame, hops: i
 def collaborations(nodes: DataFrame, edges: DataFrame, kws: DataFrame) -> DataFrame:
     a, b = names(nodes, "Department", "a", "left"), names(nodes, "Department", "b", "right")
     k = F.col("keyword")
-    rows = ends(edges, "COLLABORATES_WITH", "a", "b").join(a, "a").join(b, "b").join(F.broadcast(kws), has(F.col("left"), k) | has(F.col("right"), k))
+    rows = join_small(ends(edges, "COLLABORATES_WITH", "a", "b").join(a, "a").join(b, "b"), kws, has(F.col("left"), k) | has(F.col("right"), k))
     return limited(rows, ["left", "right"]).select("keyword", "n", F.format_string("Department %s collaborates with %s", "left", "right").alias("line"))
 
 
@@ -169,17 +195,30 @@ STRATEGIES = (hierarchy_paths, project_paths, management_chain, collaborations)
 # --- full text and context
 
 
-def full_text(nodes: DataFrame, kws: DataFrame, qid: str = "qid", limit: int = FULLTEXT_LIMIT) -> DataFrame:
+def word_index(nodes: DataFrame) -> DataFrame:
+    """word, id, name, label: the distinct words of the nodes' text fields."""
+    words = F.array_distinct(F.flatten(F.transform("fields", lambda x: F.split(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+"))))
+    return nodes.select(F.explode(words).alias("word"), "id", "name", "label").filter(F.col("word") != "")
+
+
+def stored_index(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
+    """word_index() kept at path, sorted by word, which the first call builds; a search reads the row groups of its words."""
+    return built_once(spark, path, lambda: word_index(nodes).repartitionByRange("word", "id").sortWithinPartitions("word", "id"))
+
+
+def full_text(nodes: DataFrame, kws: DataFrame, qid: str = "qid", limit: int = FULLTEXT_LIMIT, index: DataFrame | None = None) -> DataFrame:
     """qid, id, name, label, score, n: nodes whose field words begin with a keyword, by idf summed over keywords hit.
 
     An external index scores as it likes; ours is defined as sum of idf(keyword) over matched keywords, ties by name and id.
     """
-    words = nodes.select("id", "name", "label", F.explode(F.array_distinct(F.flatten(F.transform("fields", lambda x: F.split(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+"))))).alias("word")).filter(F.col("word") != "")
-    plain = kws.select(qid, F.regexp_replace("keyword", "[^a-zA-Z0-9]", "").alias("kw")).filter(F.col("kw") != "").distinct()
-    hits = words.join(F.broadcast(plain), F.startswith(F.col("word"), F.lower("kw"))).select(qid, "kw", "id", "name", "label").distinct()
+    words = word_index(nodes) if index is None else index
+    plain = kws.select(qid, F.lower(F.regexp_replace("keyword", "[^a-zA-Z0-9]", "")).alias("kw")).filter(F.col("kw") != "").distinct()
+    each = plain.select("kw").distinct()
+    # words are compared with the distinct keywords alone; who asked for them is joined to what was found
+    found = join_small(words, each, F.startswith(F.col("word"), F.col("kw"))).select("kw", "id", "name", "label").distinct()
     n = nodes.agg(F.count(F.lit(1)).alias("_n"))
-    df = hits.groupBy(qid, "kw").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(n)).select(qid, "kw", idf(F.col("_n"), F.col("_df")).alias("w"))
-    scored = hits.join(df, [qid, "kw"]).groupBy(qid, "id", "name", "label").agg(F.sum("w").alias("score")).withColumn("score", rounded(F.col("score")))
+    df = found.groupBy("kw").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(n)).select("kw", idf(F.col("_n"), F.col("_df")).alias("w"))
+    scored = found.join(df, "kw").join(plain, "kw").groupBy(qid, "id", "name", "label").agg(F.sum("w").alias("score")).withColumn("score", rounded(F.col("score")))
     w = Window.partitionBy(qid).orderBy(F.col("score").desc(), "name", "id")
     return scored.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit)
 
@@ -196,7 +235,7 @@ def context_lines(nodes: DataFrame, edges: DataFrame, kws: DataFrame, qid: str =
     hit = mentions(F.col("fields"), F.col("keyword")) | mentions(F.col("skills"), F.col("keyword"))
 
     def matched(label: str) -> DataFrame:
-        return nodes.filter(F.col("label") == label).join(F.broadcast(kws), hit).groupBy(qid, "id", "name", "props", "skills").agg(F.min("kw_no"))
+        return join_small(nodes.filter(F.col("label") == label), kws, hit).groupBy(qid, "id", "name", "props", "skills").agg(F.min("kw_no"))
 
     def gathered(rel: str, label: str, out: bool, text: Column, *more: str) -> DataFrame:
         a, b = ("src", "dst") if out else ("dst", "src")
@@ -225,7 +264,7 @@ def context_lines(nodes: DataFrame, edges: DataFrame, kws: DataFrame, qid: str =
         out = out.unionByName(df.select(qid, F.lit(stage).alias("stage"), F.col("id").alias("ord"), "line"))
     each = kws.select("keyword").distinct()
     for stage, strategy in enumerate(strategies, 6):
-        lines = strategy(nodes, edges, each).join(F.broadcast(kws), "keyword")
+        lines = strategy(nodes, edges, each).join(kws, "keyword")
         out = out.unionByName(lines.select(qid, F.lit(6).alias("stage"), F.format_string("%08d %02d %08d", "kw_no", F.lit(stage), "n").alias("ord"), "line"))
     return out
 
@@ -254,3 +293,39 @@ def export(nodes: DataFrame, edges: DataFrame, most_nodes: int = 2000, most_link
     n = nodes.filter(F.col("id").isNotNull() & F.col("name").isNotNull()).select("id", "label", "name").orderBy("label", "id").limit(most_nodes)
     links = edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("rel").alias("type")).orderBy("type", "source", "target").limit(most_links)
     return n, links
+
+
+# --- a small company to try things on
+
+
+def seed(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a made-up company: 37 nodes (1 company, 3 departments, 6 teams, 10 employees, 5 projects,
+    12 technologies) and 74 edges, by rule."""
+    labels = {"Company": 1, "Department": 3, "Team": 6, "Employee": 10, "Project": 5, "Technology": 12}
+    letter = dict(zip(labels, "CDTEPK"))
+    nodes = []
+    for label, n in labels.items():
+        for i in range(n):
+            name = f"{label} {i + 1}"
+            skills = [f"Technology {k % 12 + 1}" for k in (i, i + 3)] if label == "Employee" else []
+            nodes.append((f"{letter[label]}{i}", label, name, [name, f"{name} of the company"], skills, {"title": f"Role {i % 4}"} if label == "Employee" else {}))
+    edges = [("C0", f"D{i}", "HAS_DEPARTMENT") for i in range(3)] + [(f"D{i % 3}", f"T{i}", "HAS_TEAM") for i in range(6)]
+    edges += [(f"T{i % 6}", f"E{i % 10}", "HAS_MEMBER") for i in range(11)]  # one employee is in two teams
+    edges += [(f"E{i + 1}", f"E{i // 2}", "REPORTS_TO") for i in range(8)] + [(f"D{i % 3}", f"P{i}", "OWNS_PROJECT") for i in range(5)]
+    edges += [(f"E{i % 10}", f"P{(i + i // 10) % 5}", "WORKS_ON") for i in range(19)]
+    edges += [(f"D{i % 3}", f"D{(i + 1 + i // 3) % 3}", "COLLABORATES_WITH") for i in range(5)]
+    edges += [(f"P{i % 5}", f"K{i % 12}", "USES_TECHNOLOGY") for i in range(17)]
+    rows = [(a, b, rel, "Contributor" if rel == "WORKS_ON" else None, None, 10 * (i % 10) if rel == "WORKS_ON" else None) for i, (a, b, rel) in enumerate(edges)]
+    return (
+        spark.createDataFrame(nodes, "id string, label string, name string, fields array<string>, skills array<string>, props map<string,string>"),
+        spark.createDataFrame(rows, "src string, dst string, rel string, role string, since string, allocation_pct int"),
+    )
+
+
+def save(old: tuple[DataFrame, DataFrame] | None, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph after saving nodes and edges with all that belongs to them: known ids and known edges are replaced."""
+    if old is None:
+        return nodes.dropDuplicates(["id"]), edges.dropDuplicates(["src", "dst", "rel"])
+    key = ["src", "dst", "rel"]
+    n, e = nodes.dropDuplicates(["id"]), edges.dropDuplicates(key)
+    return old[0].join(n.select("id"), "id", "left_anti").unionByName(n), old[1].join(e.select(*key), key, "left_anti").unionByName(e)

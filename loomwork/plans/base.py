@@ -40,6 +40,10 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(to[t]).alias(c) if t in to else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
+def states(spark: SparkSession, d: str, *names: str) -> str:
+    return "-".join(state_of(spark, table_path(d, n))[:10] for n in names)
+
+
 def index(spark: SparkSession, d: str, tokenize=T.tokens) -> Index:
     """The BM25 index of documents, kept in the shared folder and built when a query first asks for it; another state of the
     table has an index of its own."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.text import QUESTION_STOP_WORDS
 from loomwork.operators import graph as G
-from loomwork.plans.base import query, sql_round, table
+from loomwork.plans.base import query, shared_dir, sql_round, states, table
 
 
 def graph(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -174,6 +174,33 @@ def asked(spark):
     return spark.createDataFrame(QUESTIONS, "qid int, question string")
 
 
+def words(spark, d, nodes):
+    """The graph's full-text index, kept in the shared folder as long as its tables stay as they are."""
+    return G.stored_index(spark, f"{shared_dir(spark)}/graph-words-{states(spark, d, 'region', 'nation', 'customer', 'orders', 'part')}", nodes)
+
+
+SQL_WORDS = """nd AS (SELECT 'C' || r_regionkey AS id, 'Company' AS label, r_name AS name, r_name AS f FROM region UNION ALL SELECT 'D' || n_nationkey, 'Department', n_name, n_name FROM nation
+    UNION ALL SELECT DISTINCT 'T' || c_nationkey || '-' || c_mktsegment, 'Team', n_name || ' ' || c_mktsegment, n_name || ' ' || c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'E' || c_custkey, 'Employee', c_name, c_name FROM customer
+    UNION ALL SELECT 'P' || o_orderkey, 'Project', 'Order#' || o_orderkey, 'Order#' || o_orderkey FROM orders UNION ALL SELECT 'K' || p_partkey, 'Technology', p_name || ' ' || p_partkey, p_name || ' ' || p_partkey || ' ' || p_brand FROM part),
+    wd AS (SELECT DISTINCT id, name, label, unnest(regexp_split_to_array(lower(f), '[^a-z0-9]+')) AS word FROM nd)"""
+
+
+@query("graph_index", f"WITH {SQL_WORDS} SELECT word, id, name, label FROM wd WHERE word <> ''")
+def graph_index(spark, d):
+    n, _ = graph(spark, d)
+    return words(spark, d, n)
+
+
+@query("graph_seed", """SELECT * FROM (VALUES ('Company', 1), ('Department', 3), ('Team', 6), ('Employee', 10), ('Project', 5), ('Technology', 12), ('HAS_DEPARTMENT', 3), ('HAS_TEAM', 6), ('HAS_MEMBER', 11), ('REPORTS_TO', 8),
+    ('OWNS_PROJECT', 5), ('WORKS_ON', 19), ('COLLABORATES_WITH', 5), ('USES_TECHNOLOGY', 17)) t(kind, n)""")
+def graph_seed(spark, d):
+    """Nodes and edges of the seeded company by kind, saved twice: a save of what is known changes nothing."""
+    once = G.save(None, *G.seed(spark))
+    n, e = G.save(once, *G.seed(spark))
+    counted = lambda df, c: df.groupBy(F.col(c).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return counted(n, "label").unionByName(counted(e, "rel"))
+
+
 @query("graph_fulltext", f"""WITH {SQL_QS}, {SQL_KWS}, nd AS (SELECT 'C' || r_regionkey AS id, 'Company' AS label, r_name AS name, r_name AS f FROM region UNION ALL SELECT 'D' || n_nationkey, 'Department', n_name, n_name FROM nation
     UNION ALL SELECT DISTINCT 'T' || c_nationkey || '-' || c_mktsegment, 'Team', n_name || ' ' || c_mktsegment, n_name || ' ' || c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'E' || c_custkey, 'Employee', c_name, c_name FROM customer
     UNION ALL SELECT 'P' || o_orderkey, 'Project', 'Order#' || o_orderkey, 'Order#' || o_orderkey FROM orders UNION ALL SELECT 'K' || p_partkey, 'Technology', p_name || ' ' || p_partkey, p_name || ' ' || p_partkey || ' ' || p_brand FROM part),
@@ -182,7 +209,7 @@ def asked(spark):
     SELECT qid::BIGINT AS qid, id, name, label, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, name, id) AS n FROM sc QUALIFY n <= 30""")
 def graph_fulltext(spark, d):
     n, _ = graph(spark, d)
-    return G.full_text(n, G.question_keywords(asked(spark)))
+    return G.full_text(n, G.question_keywords(asked(spark)), index=words(spark, d, n))
 
 
 @query("graph_context")

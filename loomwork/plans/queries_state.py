@@ -65,11 +65,24 @@ def client_key(spark, d):
     return events(spark, d).select("event_id", S.client_key(auth, fwd, F.lit("9.9.9.9")).alias("key"))
 
 
-@query("token_bucket")
+#: Events in the order in which a key's fold goes through them.
+SQL_FOLD = f"e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS s, coalesce({FAILED}, FALSE) AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"
+
+
+@query("token_bucket", f"""WITH RECURSIVE {SQL_FOLD}, r AS (SELECT user_id, rn, event_id, s, 1.0::DOUBLE AS held, TRUE AS allowed FROM e WHERE rn = 1
+    UNION ALL SELECT user_id, rn, event_id, s, CASE WHEN h >= 1 THEN h - 1 ELSE h END, h >= 1 FROM (SELECT e.*, least(2.0::DOUBLE, r.held + (e.s - r.s) * (1.0::DOUBLE / 240 / 60)) AS h FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+    SELECT event_id, allowed FROM r""")
 def token_bucket(spark, d):
     return S.token_bucket(events(spark, d), capacity=2, per_minute=1 / 240).select("event_id", "allowed")
 
 
-@query("circuit_breaker")
+SQL_BREAKER = """CASE WHEN open AND s - opened < 86400 THEN 'rejected' WHEN NOT f THEN 'passed' ELSE 'failed' END"""
+
+
+@query("circuit_breaker", f"""WITH RECURSIVE {SQL_FOLD}, r AS (SELECT user_id, rn, event_id, CASE WHEN f THEN 'failed' ELSE 'passed' END AS outcome, f::INTEGER AS failures, FALSE AS open, 0.0::DOUBLE AS opened FROM e WHERE rn = 1
+    UNION ALL SELECT user_id, rn, event_id, o, CASE o WHEN 'rejected' THEN failures WHEN 'passed' THEN 0 ELSE failures + 1 END, CASE o WHEN 'rejected' THEN open WHEN 'passed' THEN FALSE ELSE failures + 1 >= 3 END,
+        CASE WHEN o = 'failed' AND failures + 1 >= 3 THEN s WHEN o = 'rejected' THEN opened ELSE 0.0 END
+        FROM (SELECT *, {SQL_BREAKER} AS o FROM (SELECT e.user_id, e.rn, e.event_id, e.s, e.f, r.failures, r.open, r.opened FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)))
+    SELECT event_id, outcome FROM r""")
 def circuit_breaker(spark, d):
     return S.circuit_breaker(events(spark, d), failed(), cooldown=86_400).select("event_id", "outcome")

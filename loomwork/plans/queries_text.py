@@ -161,7 +161,7 @@ def latin_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.latin1(F.col("text")).alias("content"))
 
 
-@query("wrap_lines")
+@query("wrap_lines", r"""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(text, '[^\x20-\x7E\n\r\t]', '?', 'g'), chr(10)), lambda l: regexp_replace(l, '([^\n]{1,90})( +|$)', '\1' || chr(10), 'g')), chr(10)), '\n+', chr(10), 'g'), '\n$', '') AS content FROM documents""")
 def wrap_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", T.wrap(T.latin1(F.col("text"))).alias("content"))
 
@@ -207,11 +207,15 @@ def chunked(df):
     return df.select("doc_id", F.col("chunk_index").cast("long"), "content", "chunk_strategy")
 
 
+def sql_strip(t: str) -> str:
+    return f"regexp_replace({t}, {STRIP}, '', 'g')"
+
+
 def sql_finish(segments: str, strategy: str, source: str = "documents") -> str:
     """Segments made in SQL, stripped, blanks dropped, numbered from 0."""
     return f"""WITH s AS (SELECT doc_id, {segments} AS segs FROM {source}),
         u AS (SELECT doc_id, unnest(segs) AS seg, generate_subscripts(segs, 1) AS i FROM s),
-        t AS (SELECT doc_id, i, regexp_replace(seg, {STRIP}, '', 'g') AS content FROM u)
+        t AS (SELECT doc_id, i, {sql_strip("seg")} AS content FROM u)
         SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS chunk_index, content, '{strategy}' AS chunk_strategy FROM t WHERE content <> ''"""
 
 
@@ -287,6 +291,17 @@ def chunk_keywords(spark, d):
     return C.top_terms(docs(spark, d), "doc_id")
 
 
+@query("chunk_classify", r"""SELECT doc_id, CASE WHEN NOT regexp_matches(coalesce(text, ''), '\S') THEN NULL WHEN regexp_matches(text, '(?m)^#{1,6}\s') THEN 'markdown'
+    WHEN length(text) / len(string_split(text, chr(10))) < 40 THEN 'fixed' WHEN length(text) > 2000 THEN 'recursive' ELSE 'token' END AS strategy FROM documents""")
+def chunk_classify(spark, d):
+    return docs(spark, d).select("doc_id", C.classified_strategy(F.col("content")).alias("strategy"))
+
+
+@query("chunk_summary", rf"""SELECT doc_id, substr({sql_strip(r"regexp_extract(text, '(?s)\A\s*(.*?(?:[.!?](?:\s|\z)|\z))', 1)")}, 1, 160) AS section_summary FROM documents""")
+def chunk_summary(spark, d):
+    return docs(spark, d).select("doc_id", C.summary(F.col("content")).alias("section_summary"))
+
+
 @query("chunk_recursive")
 def chunk_recursive(spark, d):
     return chunked(C.recursive(docs(spark, d)))
@@ -297,7 +312,16 @@ def chunk_semantic(spark, d):
     return chunked(C.semantic(docs(spark, d)))
 
 
-@query("chunk_boundary")
+def sql_last_of(t: str) -> str:
+    """Place, from 0, of the last period or line end in a text; -1 without one."""
+    return rf"(length(regexp_extract({t}, '(?s)\A.*[.\n]')) - 1)"
+
+
+@query("chunk_boundary", f"""WITH RECURSIVE x AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+    w AS (SELECT doc_id, t, n, 0 AS i, 0::BIGINT AS a, 0::BIGINT AS b, FALSE AS done FROM x
+        UNION ALL SELECT doc_id, t, n, i + 1, a2, e, e - 100 <= a2 FROM (SELECT *, CASE WHEN e0 < n AND cut > a2 + 250 THEN cut + 1 ELSE e0 END AS e FROM (SELECT *, {sql_last_of("substr(t, 1, (e0 + 1)::BIGINT)")} AS cut FROM (SELECT *, least(a2 + 500, n) AS e0 FROM (SELECT *, CASE WHEN i = 0 THEN 0 ELSE b - 100 END AS a2 FROM w WHERE NOT done) WHERE a2 < n)))),
+    s AS (SELECT doc_id, i, {sql_strip("substr(t, a + 1, b - a)")} AS content FROM w WHERE i > 0)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS chunk_index, content, 'boundary' AS chunk_strategy FROM s WHERE content <> ''""")
 def chunk_boundary(spark, d):
     return chunked(C.boundary(docs(spark, d)))
 
@@ -359,7 +383,10 @@ def write_batches(spark, d):
     return L.write_batches(table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
-@query("token_batches")
+@query("token_batches", f"""WITH RECURSIVE {DOCS}, c AS ({sql_finish(sql_windows(1000, 150), 'fixed')}), t AS (SELECT identity, chunk_index, len({sql_tokens('c.content')})::BIGINT AS n, row_number() OVER (PARTITION BY identity ORDER BY chunk_index) AS rn FROM c JOIN docs USING (doc_id)),
+    r AS (SELECT identity, chunk_index, n, rn, n AS used, 0::BIGINT AS batch_no FROM t WHERE rn = 1
+        UNION ALL SELECT t.identity, t.chunk_index, t.n, t.rn, CASE WHEN r.used > 0 AND r.used + t.n > 600 THEN t.n ELSE r.used + t.n END, CASE WHEN r.used > 0 AND r.used + t.n > 600 THEN r.batch_no + 1 ELSE r.batch_no END FROM r JOIN t ON t.identity = r.identity AND t.rn = r.rn + 1)
+    SELECT identity, chunk_index, n AS n_tokens, batch_no FROM r""")
 def token_batches(spark, d):
     c = C.fixed(docs(spark, d)).withColumn("n_tokens", F.size(T.tokens(F.col("content"))).cast("long"))
     return L.token_batches(c.select("identity", "chunk_index", "n_tokens"), budget=600)

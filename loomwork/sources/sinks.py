@@ -1,75 +1,145 @@
-"""The chunk store: a Parquet table partitioned by a hash of the identity, replaced a version at a time."""
+"""The chunk store: a Parquet table in parts by a hash of the identity, of which a write replaces only those it touches."""
 
 from __future__ import annotations
 
 import json
 import time
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.operators import lifecycle
+from loomwork.operators.caches import stamped
+from loomwork.plans.jobs import with_retry
+from loomwork.sources.tables import file_system
+
+#: Rows behind a part of a new table.
+PART_ROWS = 200_000
 
 
 class ChunkStore:
-    """Versions of one table below a folder; the last that is complete is the table.
+    """Versions of one table below a folder; the manifest that is complete and last names the files of the table.
 
-    A write makes a new version beside the old one, so a reader never sees half of it and a job that dies leaves the table
-    as it was. Old versions are removed after `keep` newer ones.
+    A write puts the parts it touches beside the old ones and then a new manifest, so a reader never sees half of it and a
+    job that dies leaves the table as it was. An identity's rows are in one part, which is the index for lookups and deletes
+    by identity. Files that the last `keep` manifests don't name are removed. Commits are tried again when they fail.
     """
 
-    def __init__(self, spark: SparkSession, path: str, parts: int = 64, keep: int = 2):
-        self.spark, self.path, self.parts, self.keep = spark, path.rstrip("/"), parts, keep
+    def __init__(self, spark: SparkSession, path: str, parts: int | None = None, keep: int = 2, attempts: int = 3):
+        self.spark, self.path, self.parts, self.keep, self.attempts = spark, path.rstrip("/"), parts, keep, attempts
 
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def _names(self, start: str) -> list[str]:
+        fs, p = file_system(self.spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(n for n in names if n.startswith(start))
 
     def versions(self) -> list[str]:
-        fs, p = self._fs()
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(n for n in names if n.startswith("v") and fs.exists(done(f"{self.path}/{n}/_SUCCESS")))
+        """Complete manifests, the oldest first."""
+        return [n for n in self._names("manifest-") if file_system(self.spark, self.path)[0].exists(file_system(self.spark, f"{self.path}/{n}/_SUCCESS")[1])]
 
-    def read(self) -> DataFrame | None:
+    def _manifest(self, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/{name}").first()[0])
+
+    def _last(self) -> dict | None:
         v = self.versions()
-        if not v:
-            return None
-        # an empty version has no file that would tell its columns
-        shape = T.StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/shape-{v[-1]}").first()[0]))
-        return self.spark.read.schema(shape).parquet(f"{self.path}/{v[-1]}").drop("_part")
+        return self._manifest(v[-1]) if v else None
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """Replace the table. Rows of an identity share a partition folder, which keeps lookups and deletes narrow."""
+    def _read(self, state: dict, parts: list[int] | None = None) -> DataFrame:
+        shape = T.StructType.fromJson(state["shape"])
+        paths = [f"{self.path}/{v}/_part={k}" for k, v in sorted(state["parts"].items()) if parts is None or int(k) in parts]
+        return self.spark.read.schema(shape).parquet(*paths) if paths else self.spark.createDataFrame([], shape)
+
+    def read(self) -> DataFrame | None:
+        state = self._last()
+        return None if state is None else self._read(state)
+
+    def _part(self, n: int) -> Column:
+        return F.pmod(F.xxhash64("identity"), F.lit(n)).cast("int")
+
+    def _commit(self, rows: DataFrame, n: int, shape: T.StructType, old: dict | None, touched: list[int] | None) -> DataFrame:
+        """Write rows as the touched parts (all if None) and the manifest that names them and the old others."""
         name = f"v{time.time_ns():020d}"
-        part = F.pmod(F.xxhash64("identity"), F.lit(self.parts)).cast("int")
-        out = df.withColumn("_part", part)
-        self.spark.createDataFrame([(out.schema.json(),)], "value string").coalesce(1).write.text(f"{self.path}/shape-{name}")
-        out.repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{name}")
-        fs, _ = self._fs()
-        for old in self.versions()[: -self.keep]:
-            for gone in (old, f"shape-{old}"):
-                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{gone}"), True)
+
+        def put() -> None:
+            rows.withColumn("_part", self._part(n)).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{self.path}/{name}")
+
+        with_retry(put, self.attempts, name="chunk store write")
+        fs, p = file_system(self.spark, f"{self.path}/{name}")
+        written = {x.partition("=")[2]: name for x in (s.getPath().getName() for s in fs.listStatus(p)) if x.startswith("_part=")}
+        kept = {k: v for k, v in (old["parts"] if old and touched is not None else {}).items() if int(k) not in touched}
+        state = json.dumps({"n": n, "shape": json.loads(shape.json()), "parts": kept | written})
+        with_retry(lambda: self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest-{name}"), self.attempts, name="manifest")
+        self._sweep()
         return self.read()
 
+    def _sweep(self) -> None:
+        done = self.versions()
+        named = {v for m in done[-self.keep :] for v in self._manifest(m)["parts"].values()}
+        newest = done[-1].removeprefix("manifest-") if done else ""
+        for gone in [*done[: -self.keep], *(v for v in self._names("v") if v not in named and v < newest)]:
+            fs, p = file_system(self.spark, f"{self.path}/{gone}")
+            fs.delete(p, True)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Replace the table. The number of its parts follows from its rows unless it was given."""
+        n = self.parts or max(1, -(-df.count() // PART_ROWS))
+        return self._commit(df, n, df.schema, None, None)
+
+    def store(self, chunks: DataFrame, embed, model: str, now: Column) -> DataFrame:
+        """Upsert chunks with their vectors and the model's stamp: records and vectors are one table and one write."""
+        return self.upsert(stamped(chunks, embed(chunks, "chunk_id", "content"), model), now)
+
+    def _touched(self, keys: DataFrame, n: int) -> list[int]:
+        """Parts of the identities: at most as many numbers as there are parts."""
+        return [r[0] for r in keys.select(self._part(n).alias("k")).distinct().collect()]
+
     def upsert(self, chunks: DataFrame, now: Column) -> DataFrame:
-        old = self.read()
+        old = self._last()
         if old is None:
             return self.write(chunks.withColumns({"created_at": now, "updated_at": now}))
-        return self.write(lifecycle.upsert(old, chunks, "chunk_id", now))
+        parts = self._touched(chunks, old["n"])
+        rows = lifecycle.upsert(self._read(old, parts), chunks, "chunk_id", now)
+        return self._commit(rows, old["n"], rows.schema, old, parts)
 
     def find(self, ids: DataFrame) -> DataFrame:
         return lifecycle.find(self.read(), ids)
 
+    def of_identities(self, identities: DataFrame) -> DataFrame:
+        """The chunks of identities, read from their parts alone."""
+        state = self._last()
+        parts = self._touched(identities, state["n"])
+        return self._read(state, parts).join(identities.select("identity").distinct(), "identity", "left_semi")
+
     def delete(self, identities: DataFrame) -> DataFrame:
-        return self.write(lifecycle.delete(self.read(), identities))
+        old = self._last()
+        parts = self._touched(identities, old["n"])
+        rows = lifecycle.delete(self._read(old, parts), identities)
+        return self._commit(rows, old["n"], rows.schema, old, parts)
 
     def delete_all(self) -> DataFrame:
         return self.write(self.read().limit(0))
 
     def delete_where(self, condition: Column) -> DataFrame:
-        """Delete by a metadata filter (equality or a range, which reach the Parquet scan)."""
-        return self.write(self.read().filter(~F.coalesce(condition, F.lit(False))))
+        """Delete by a metadata filter (equality or a range, which reach the Parquet scan); parts without a hit stay."""
+        old = self._last()
+        parts = self._touched(self._read(old).filter(condition), old["n"])
+        rows = self._read(old, parts).filter(~F.coalesce(condition, F.lit(False)))
+        return self._commit(rows, old["n"], rows.schema, old, parts)
+
+    def rebuild(self, documents: DataFrame, ingest, now: Column) -> DataFrame:
+        """Replace everything by what ingest(documents) makes, without looking at what is known; one rebuild at a time."""
+        with self.alone("rebuild"):
+            return self.write(ingest(documents).withColumns({"created_at": now, "updated_at": now}))
+
+    @contextmanager
+    def alone(self, what: str):
+        """A lock file in the store's folder: whoever finds it there gets an error."""
+        fs, p = file_system(self.spark, f"{self.path}/.lock-{what}")
+        if not fs.createNewFile(p):
+            raise RuntimeError(f"another {what} is running")
+        try:
+            yield
+        finally:
+            fs.delete(p, False)
