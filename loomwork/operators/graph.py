@@ -322,6 +322,21 @@ def seed(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def stored(spark: SparkSession, path: str, make) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) kept at path, which the first call writes from make(): nodes in a folder for each label, sorted by name
+    in their files, edges in one for each kind. A lookup or a hop reads the folders and row groups that it asks for."""
+    made: list[tuple[DataFrame, DataFrame]] = []
+
+    def one(i: int) -> DataFrame:
+        if not made:
+            made.append(make())
+        return made[0][i].sortWithinPartitions(*(("label", "name") if i == 0 else ("rel", "src")))
+
+    n = built_once(spark, f"{path}/nodes", lambda: one(0), ("label",))
+    e = built_once(spark, f"{path}/edges", lambda: one(1), ("rel",))
+    return n.select("id", "label", "name", "fields", "skills", "props"), e.select("src", "dst", "rel", "role", "since", "allocation_pct")
+
+
 def save(old: tuple[DataFrame, DataFrame] | None, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph after saving nodes and edges with all that belongs to them: known ids and known edges are replaced."""
     if old is None:

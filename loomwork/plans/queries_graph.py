@@ -13,10 +13,18 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.text import QUESTION_STOP_WORDS
 from loomwork.operators import graph as G
-from loomwork.plans.base import query, shared_dir, sql_round, states, table
+from loomwork.plans.base import ORACLES, query, shared_dir, sql_round, states, table
 
 
 def graph(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The stored graph; it is made when a query first asks for it, and anew when one of its tables changes."""
+    return G.stored(spark, f"{shared_dir(spark)}/graph-{states(spark, d, *TABLES)}", lambda: made_graph(spark, d))
+
+
+TABLES = ("region", "nation", "customer", "orders", "part", "lineitem")
+
+
+def made_graph(spark, d) -> tuple[DataFrame, DataFrame]:
     t = lambda n: table(spark, d, n)
     r, n, c, o, p = t("region"), t("nation"), t("customer"), t("orders"), t("part")
     li = t("lineitem").select("l_orderkey", "l_partkey").distinct()
@@ -176,7 +184,7 @@ def asked(spark):
 
 def words(spark, d, nodes):
     """The graph's full-text index, kept in the shared folder as long as its tables stay as they are."""
-    return G.stored_index(spark, f"{shared_dir(spark)}/graph-words-{states(spark, d, 'region', 'nation', 'customer', 'orders', 'part')}", nodes)
+    return G.stored_index(spark, f"{shared_dir(spark)}/graph-words-{states(spark, d, *TABLES)}", nodes)
 
 
 SQL_WORDS = """nd AS (SELECT 'C' || r_regionkey AS id, 'Company' AS label, r_name AS name, r_name AS f FROM region UNION ALL SELECT 'D' || n_nationkey, 'Department', n_name, n_name FROM nation
@@ -212,11 +220,52 @@ def graph_fulltext(spark, d):
     return G.full_text(n, G.question_keywords(asked(spark)), index=words(spark, d, n))
 
 
-@query("graph_context")
+SQL_NUMBERED = rf"""kn AS (SELECT qid, w AS keyword, row_number() OVER (PARTITION BY qid ORDER BY i) - 1 AS kw_no FROM (SELECT qid, w, min(i) AS i FROM (SELECT qid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM
+    (SELECT qid, regexp_split_to_array(regexp_replace(lower(question), '[^a-z0-9 ]', ' ', 'g'), '\s+') AS ws FROM qs)) WHERE length(w) > 2 AND w NOT IN ({", ".join(f"'{w}'" for w in QUESTION_STOP_WORDS)}) GROUP BY ALL) QUALIFY kw_no < 8)"""
+
+
+def sql_lines(of: str) -> str:
+    """A path query's lines for the questions' keywords."""
+    return "(" + ORACLES[of].replace(KW, "kw AS (SELECT DISTINCT keyword FROM kn)") + ")"
+
+
+def sql_listed(what: str, tables: str, where: str, sep: str = ", ") -> str:
+    return f"(SELECT string_agg(x, '{sep}' ORDER BY x) FROM (SELECT DISTINCT {what} AS x FROM {tables} WHERE {where}))"
+
+
+SQL_CONTEXT = f"""WITH {SQL_QS}, {SQL_NUMBERED}, {SQL_KWS}, {SQL_WORDS}, {SKILLS}, mng AS (SELECT c_custkey AS a, CASE WHEN c_custkey = 0 THEN 1 ELSE c_custkey // 10 END AS b FROM customer),
+    ht AS (SELECT DISTINCT qid, keyword, id, name, label FROM wd JOIN kq ON starts_with(word, keyword)), df AS (SELECT qid, keyword, count(*) AS df FROM ht GROUP BY ALL),
+    sc AS (SELECT qid, id, name, label, {sql_round("sum(ln(((SELECT count(*) FROM nd) - df + 0.5) / (df + 0.5) + 1))")} AS score FROM ht JOIN df USING (qid, keyword) GROUP BY ALL),
+    ft AS (SELECT qid, name, label, row_number() OVER (PARTITION BY qid ORDER BY score DESC, name, id) AS n FROM sc QUALIFY n <= 30),
+    em AS (SELECT DISTINCT qid, c_custkey AS k, c_name, c_mktsegment FROM customer JOIN kn ON {sql_has('c_name')} OR c_custkey IN (SELECT o_custkey FROM sk WHERE {sql_has('p_type')})),
+    dp AS (SELECT DISTINCT qid, n_nationkey AS k, n_regionkey, n_name FROM nation JOIN kn ON {sql_has('n_name')}),
+    pj AS (SELECT DISTINCT qid, o_orderkey AS k, o_orderstatus FROM orders JOIN kn ON {sql_has("'Order#' || o_orderkey")}),
+    te AS (SELECT DISTINCT qid, p_partkey AS k, p_name, p_type, p_brand FROM part JOIN kn ON {sql_has("p_name || ' ' || p_partkey")} OR {sql_has('p_brand')}),
+    st AS (SELECT 6 AS no, * FROM {sql_lines('graph_hier_path')} UNION ALL SELECT 7, * FROM {sql_lines('graph_project_path')} UNION ALL SELECT 8, * FROM {sql_lines('graph_mgmt_chain')} UNION ALL SELECT 9, * FROM {sql_lines('graph_collab')}),
+    ln_ AS (SELECT qid, 1 AS stage, printf('%08d', n) AS ord, 'Found entity: ' || name || ' [' || label || ' ]' AS line FROM ft
+        UNION ALL SELECT qid, 2, 'E' || k, 'Employee ' || c_name || ' (' || c_mktsegment || ')' || coalesce(' reports to ' || {sql_listed('c_name', 'mng JOIN customer ON b = c_custkey', 'a = k')}, '') || coalesce('. Skills: ' || {sql_listed('p_type', 'sk', 'o_custkey = k')}, '')
+            || coalesce('. ' || {sql_listed("'Works on Order#' || o_orderkey || ' as ' || o_orderpriority || ' (' || o_orderkey % 100 || '% allocation)'", 'orders', 'o_custkey = k', '. ')}, '') FROM em
+        UNION ALL SELECT qid, 3, 'D' || k, 'Department ' || n_name || ' (' || (SELECT count(*) FROM customer WHERE c_nationkey = k) || ' headcount)' || coalesce('. Teams: ' || {sql_listed("dp.n_name || ' ' || c_mktsegment", 'customer', 'c_nationkey = k')}, '')
+            || coalesce('. Collaborates with: ' || {sql_listed('o.n_name', 'nation o', 'o.n_regionkey = dp.n_regionkey AND o.n_nationkey > k')}, '') || coalesce('. Owns projects: ' || {sql_listed("'Order#' || o_orderkey", 'orders JOIN customer ON o_custkey = c_custkey', 'c_nationkey = k')}, '') FROM dp
+        UNION ALL SELECT qid, 4, 'P' || k, 'Project Order#' || k || ' (status: ' || o_orderstatus || ')' || coalesce('. Uses technologies: ' || {sql_listed("p_name || ' ' || p_partkey", 'li JOIN part ON l_partkey = p_partkey', 'l_orderkey = k')}, '') FROM pj
+        UNION ALL SELECT qid, 5, 'K' || k, 'Technology ' || p_name || ' ' || k || ' (' || p_type || '): ' || p_brand FROM te
+        UNION ALL SELECT qid, 6, printf('%08d %02d %08d', kw_no, no, n), line FROM st JOIN kn USING (keyword)),
+    un AS (SELECT qid, line, min({{'stage': stage, 'ord': ord}}) AS place FROM ln_ GROUP BY qid, line), nn AS (SELECT qid, line, row_number() OVER (PARTITION BY qid ORDER BY place, line) AS n FROM un QUALIFY n <= 60)
+    SELECT qid::BIGINT AS qid, CASE WHEN count(line) = 0 THEN '{G.NOTHING}' ELSE '{G.HEADER}' || chr(10) || string_agg('• ' || line, chr(10) ORDER BY n) || chr(10) || '{G.FOOTER}' END AS context, count(line)::BIGINT AS n_lines FROM qs LEFT JOIN nn USING (qid) GROUP BY qid"""
+
+
+@query("graph_context", SQL_CONTEXT)
 def graph_context(spark, d):
     return G.context(*graph(spark, d), asked(spark))
 
 
+@query("graph_answer", f"SELECT qid, FALSE AS blocked, n_lines FROM ({SQL_CONTEXT})")
+def graph_answer(spark, d):
+    from loomwork.plans.pipeline import graph_answer as answer
+
+    return answer(asked(spark), *graph(spark, d)).select("qid", "blocked", "n_lines")
+
+
 @query("graph_stats", f"""WITH {LI}, c AS (SELECT 'Company' AS label, count(*) AS n FROM region UNION ALL SELECT 'Department', count(*) FROM nation UNION ALL SELECT 'Team', count(DISTINCT (c_nationkey, c_mktsegment)) FROM customer
     UNION ALL SELECT 'Employee', count(*) FROM customer UNION ALL SELECT 'Project', count(*) FROM orders UNION ALL SELECT 'Technology', count(*) FROM part)
     SELECT label, n::BIGINT AS n FROM c UNION ALL SELECT 'nodes', sum(n)::BIGINT FROM c UNION ALL SELECT 'relationships', ((SELECT count(*) FROM nation) + (SELECT count(DISTINCT (c_nationkey, c_mktsegment)) FROM customer) + 2 * (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders)

@@ -66,8 +66,8 @@ def state_of(spark: SparkSession, path: str) -> str:
     return hashlib.sha256(repr((path, files)).encode()).hexdigest()[:24]
 
 
-def built_once(spark: SparkSession, path: str, make) -> DataFrame:
-    """The Parquet table at path; the first call writes it from make().
+def built_once(spark: SparkSession, path: str, make, by: tuple[str, ...] = ()) -> DataFrame:
+    """The Parquet table at path, in folders by some columns; the first call writes it from make().
 
     It is written beside and renamed when complete, so a job that dies leaves nothing that looks like the table, and of two
     that write it at once one wins.
@@ -75,7 +75,7 @@ def built_once(spark: SparkSession, path: str, make) -> DataFrame:
     fs, p = file_system(spark, path)
     if not fs.exists(p):
         beside = f"{path}-{uuid.uuid4().hex}"
-        make().write.parquet(beside)
+        make().write.partitionBy(*by).parquet(beside)
         other = spark._jvm.org.apache.hadoop.fs.Path(beside)
         if fs.exists(p) or not fs.rename(other, p):
             fs.delete(other, True)
