@@ -10,8 +10,8 @@ Rule for tokens that touch several sections: RULE "most" gives the token to the
 the earlier of equals; "first" and "last" give it to the section of its first or last character.
 
 Defined cases: a null field counts as empty and keeps its newline; null text counts as empty; an empty text is one line
-without characters, while a text that ends with a newline has no line after it; repeated rows are counted each by itself,
-so rows with one doc_id are told apart only by order; a table without rows gives none; other columns are not read.
+without characters, while a text that ends with a newline has no line after it; repeated rows are counted each by itself;
+rows that share a doc_id are told apart by record, the hash of the rendered record, unless they are equal; a table without rows gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from xxhash import xxh64_intdigest
 
 from loomwork.llm.bpe import ForcedBoundaryBPE
 from loomwork.llm.common import only, slices, unknown
@@ -70,7 +71,8 @@ def allocate(first: np.ndarray, last: np.ndarray, bounds: np.ndarray, rule: str
 
 
 def count(df: DataFrame, path: str, fields: Sequence[str] = FIELDS, rule: str = RULE) -> DataFrame:
-    """doc_id, section, kind (a field's name or line), start, end (characters of the rendered record), n_tokens, n_crossing."""
+    """doc_id, record (XXH64 of the rendered record), section, kind (a field's name or line), start, end (characters of the
+    rendered record), n_tokens, n_crossing."""
     unknown(df, ["doc_id", "text", *fields])
     names = list(fields)
 
@@ -80,9 +82,10 @@ def count(df: DataFrame, path: str, fields: Sequence[str] = FIELDS, rule: str =
         for whole in batches:
             for b in slices(whole, "text", 1_000_000):
                 values = [[(x or b"") for x in b.column(c).cast(pa.string()).cast(pa.binary()).to_pylist()] for c in [*names, "text"]]
-                rows, out = [], [[], [], [], [], []]
+                rows, out, records = [], [[], [], [], [], []], []
                 for i, record in enumerate(zip(*values, strict=True)):
                     data, starts = sections(record[:-1], record[-1])
+                    records.append(xxh64_intdigest(data) - (1 << 63))
                     raw = np.frombuffer(data, np.uint8)
                     char = np.append(characters(raw), len(data) and int(((raw & 0xC0) != 0x80).sum()))
                     bounds = char[starts]
@@ -95,8 +98,8 @@ def count(df: DataFrame, path: str, fields: Sequence[str] = FIELDS, rule: str =
                         c.append(x)
                 cols = [np.concatenate(c).astype(np.int64) for c in out]
                 kinds = pa.array([*names, "line"]).take(pa.array(np.minimum(cols[0], len(names))))
-                ids_ = b.column("doc_id").take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([ids_, pa.array(cols[0]), kinds, *(pa.array(c) for c in cols[1:])], ["doc_id", "section", "kind", "start", "end", "n_tokens", "n_crossing"])
+                of = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), pa.array(records, pa.int64()).take(of), pa.array(cols[0]), kinds, *(pa.array(c) for c in cols[1:])], ["doc_id", "record", "section", "kind", "start", "end", "n_tokens", "n_crossing"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return only(df, *dict.fromkeys(["doc_id", *fields, "text"])).mapInArrow(run, f"doc_id {kind}, section bigint, kind string, start bigint, end bigint, n_tokens bigint, n_crossing bigint")
+    return only(df, *dict.fromkeys(["doc_id", *fields, "text"])).mapInArrow(run, f"doc_id {kind}, record bigint, section bigint, kind string, start bigint, end bigint, n_tokens bigint, n_crossing bigint")
