@@ -111,20 +111,20 @@ def limited(df: DataFrame, order: list, limit: int = PATH_LIMIT) -> DataFrame:
     return df.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit)
 
 
-def hits(nodes: DataFrame, label: str, as_id: str, kws: DataFrame, skills: bool = False) -> DataFrame:
+def hits(nodes: DataFrame, label: str, as_id: str, kws: DataFrame, skills: bool = False, rows: int | None = None) -> DataFrame:
     """keyword, as_id: nodes of a label whose name (or a skill) has a keyword. Keywords are compared with nodes, never with paths."""
     k = F.col("keyword")
     found = has(F.col("name"), k) | mentions(F.col("skills"), k) if skills else has(F.col("name"), k)
-    return join_small(nodes.filter(F.col("label") == label), kws, found).select("keyword", F.col("id").alias(as_id)).distinct()
+    return join_small(nodes.filter(F.col("label") == label), kws, found, rows=rows).select("keyword", F.col("id").alias(as_id)).distinct()
 
 
-def hierarchy_paths(nodes: DataFrame, edges: DataFrame, kws: DataFrame) -> DataFrame:
+def hierarchy_paths(nodes: DataFrame, edges: DataFrame, kws: DataFrame, rows: int | None = None) -> DataFrame:
     """keyword, n, line: company to employee, where a name below the company or a skill has the keyword."""
     dt, te = ends(edges, "HAS_TEAM", "d", "t"), ends(edges, "HAS_MEMBER", "t", "e")
     # from the nodes that are hit to the members below or the teams above, then up to the company
-    below = hits(nodes, "Department", "d", kws).join(dt, "d").join(te, "t").select("keyword", "d", "t", "e")
-    teams = hits(nodes, "Team", "t", kws).join(te, "t").join(dt, "t").select("keyword", "d", "t", "e")
-    own = hits(nodes, "Employee", "e", kws, skills=True).join(te, "e").join(dt, "t").select("keyword", "d", "t", "e")
+    below = hits(nodes, "Department", "d", kws, rows=rows).join(dt, "d").join(te, "t").select("keyword", "d", "t", "e")
+    teams = hits(nodes, "Team", "t", kws, rows=rows).join(te, "t").join(dt, "t").select("keyword", "d", "t", "e")
+    own = hits(nodes, "Employee", "e", kws, skills=True, rows=rows).join(te, "e").join(dt, "t").select("keyword", "d", "t", "e")
     some = below.unionByName(teams).unionByName(own).distinct()
     up = some.join(ends(edges, "HAS_DEPARTMENT", "c", "d"), "d").join(names(nodes, "Company", "c", "company"), "c")
     named = up.join(names(nodes, "Department", "d", "department"), "d").join(names(nodes, "Team", "t", "team"), "t").join(names(nodes, "Employee", "e", "employee"), "e")
@@ -132,18 +132,18 @@ def hierarchy_paths(nodes: DataFrame, edges: DataFrame, kws: DataFrame) -> DataF
     return found.select("keyword", "n", F.concat_ws(" → ", "company", "department", "team", "employee").alias("line"))
 
 
-def project_paths(nodes: DataFrame, edges: DataFrame, kws: DataFrame) -> DataFrame:
+def project_paths(nodes: DataFrame, edges: DataFrame, kws: DataFrame, rows: int | None = None) -> DataFrame:
     """keyword, n, line: who works on what as which role using which technologies.
 
     A keyword on a technology keeps only such technologies, one on the employee or project keeps all.
     """
     w, u = ends(edges, "WORKS_ON", "e", "p", "role"), ends(edges, "USES_TECHNOLOGY", "p", "k")
     columns = ("keyword", "e", "p", "role", "k")
-    whole = hits(nodes, "Employee", "e", kws).join(w, "e").select("keyword", "e", "p", "role").unionByName(hits(nodes, "Project", "p", kws).join(w, "p").select("keyword", "e", "p", "role")).distinct()
-    part = hits(nodes, "Technology", "k", kws).join(u, "k").join(w, "p").select(*columns)
+    whole = hits(nodes, "Employee", "e", kws, rows=rows).join(w, "e").select("keyword", "e", "p", "role").unionByName(hits(nodes, "Project", "p", kws, rows=rows).join(w, "p").select("keyword", "e", "p", "role")).distinct()
+    part = hits(nodes, "Technology", "k", kws, rows=rows).join(u, "k").join(w, "p").select(*columns)
     some = whole.join(u, "p").select(*columns).unionByName(part).distinct()
-    rows = some.join(names(nodes, "Employee", "e", "employee"), "e").join(names(nodes, "Project", "p", "project"), "p").join(names(nodes, "Technology", "k", "technology"), "k")
-    grouped = rows.groupBy("keyword", "employee", "role", "project").agg(F.sort_array(F.collect_set("technology")).alias("technologies"))
+    named = some.join(names(nodes, "Employee", "e", "employee"), "e").join(names(nodes, "Project", "p", "project"), "p").join(names(nodes, "Technology", "k", "technology"), "k")
+    grouped = named.groupBy("keyword", "employee", "role", "project").agg(F.sort_array(F.collect_set("technology")).alias("technologies"))
     found = limited(grouped, ["employee", "project", "role"])
     return found.select("keyword", "n", F.format_string("%s works on %s as %s using %s", "employee", "project", "role", F.array_join("technologies", ", ")).alias("line"))
 
@@ -172,21 +172,21 @@ def management_pairs(edges: DataFrame, hops: int = 3) -> DataFrame:
     return trails(edges, hops).select("a", "b", "depth")
 
 
-def management_chain(nodes: DataFrame, edges: DataFrame, kws: DataFrame, hops: int = 3) -> DataFrame:
+def management_chain(nodes: DataFrame, edges: DataFrame, kws: DataFrame, rows: int | None = None, hops: int = 3) -> DataFrame:
     """keyword, n, line of trails whose first or last employee has the keyword: they are followed from the nodes that are hit."""
-    seeds = hits(nodes, "Employee", "id", kws)
+    seeds = hits(nodes, "Employee", "id", kws, rows=rows)
     both = trails(edges, hops, seeds, True).unionByName(trails(edges, hops, seeds, False))
     once = both.dropDuplicates(["keyword", "steps"])
-    rows = once.join(names(nodes, "Employee", "a", "employee"), "a").join(names(nodes, "Employee", "b", "manager"), "b")
-    found = limited(rows, ["depth", "employee", "manager"])
+    named = once.join(names(nodes, "Employee", "a", "employee"), "a").join(names(nodes, "Employee", "b", "manager"), "b")
+    found = limited(named, ["depth", "employee", "manager"])
     return found.select("keyword", "n", F.format_string("%s reports to %s (chain depth %s)", "employee", "manager", F.col("depth").cast("string")).alias("line"))
 
 
-def collaborations(nodes: DataFrame, edges: DataFrame, kws: DataFrame) -> DataFrame:
+def collaborations(nodes: DataFrame, edges: DataFrame, kws: DataFrame, rows: int | None = None) -> DataFrame:
     a, b = names(nodes, "Department", "a", "left"), names(nodes, "Department", "b", "right")
     k = F.col("keyword")
-    rows = join_small(ends(edges, "COLLABORATES_WITH", "a", "b").join(a, "a").join(b, "b"), kws, has(F.col("left"), k) | has(F.col("right"), k))
-    return limited(rows, ["left", "right"]).select("keyword", "n", F.format_string("Department %s collaborates with %s", "left", "right").alias("line"))
+    named = join_small(ends(edges, "COLLABORATES_WITH", "a", "b").join(a, "a").join(b, "b"), kws, has(F.col("left"), k) | has(F.col("right"), k), rows=rows)
+    return limited(named, ["left", "right"]).select("keyword", "n", F.format_string("Department %s collaborates with %s", "left", "right").alias("line"))
 
 
 STRATEGIES = (hierarchy_paths, project_paths, management_chain, collaborations)
@@ -206,7 +206,7 @@ def stored_index(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
     return built_once(spark, path, lambda: word_index(nodes).repartitionByRange("word", "id").sortWithinPartitions("word", "id"))
 
 
-def full_text(nodes: DataFrame, kws: DataFrame, qid: str = "qid", limit: int = FULLTEXT_LIMIT, index: DataFrame | None = None) -> DataFrame:
+def full_text(nodes: DataFrame, kws: DataFrame, qid: str = "qid", limit: int = FULLTEXT_LIMIT, index: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """qid, id, name, label, score, n: nodes whose field words begin with a keyword, by idf summed over keywords hit.
 
     An external index scores as it likes; ours is defined as sum of idf(keyword) over matched keywords, ties by name and id.
@@ -215,7 +215,7 @@ def full_text(nodes: DataFrame, kws: DataFrame, qid: str = "qid", limit: int = F
     plain = kws.select(qid, F.lower(F.regexp_replace("keyword", "[^a-zA-Z0-9]", "")).alias("kw")).filter(F.col("kw") != "").distinct()
     each = plain.select("kw").distinct()
     # words are compared with the distinct keywords alone; who asked for them is joined to what was found
-    found = join_small(words, each, F.startswith(F.col("word"), F.col("kw"))).select("kw", "id", "name", "label").distinct()
+    found = join_small(words, each, F.startswith(F.col("word"), F.col("kw")), rows=rows).select("kw", "id", "name", "label").distinct()
     n = nodes.agg(F.count(F.lit(1)).alias("_n"))
     df = found.groupBy("kw").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(n)).select("kw", idf(F.col("_n"), F.col("_df")).alias("w"))
     scored = found.join(df, "kw").join(plain, "kw").groupBy(qid, "id", "name", "label").agg(F.sum("w").alias("score")).withColumn("score", rounded(F.col("score")))
@@ -227,15 +227,16 @@ def question_keywords(questions: DataFrame, qid: str = "qid", text: str = "quest
     return questions.select(qid, F.posexplode(keywords(F.col(text))).alias("kw_no", "keyword"))
 
 
-def context_lines(nodes: DataFrame, edges: DataFrame, kws: DataFrame, qid: str = "qid", strategies=STRATEGIES) -> DataFrame:
+def context_lines(nodes: DataFrame, edges: DataFrame, kws: DataFrame, qid: str = "qid", strategies=STRATEGIES, index: DataFrame | None = None) -> DataFrame:
     """qid, stage, ord, line: the context's lines of each stage, in order.
 
     kws (qid, kw_no, keyword). Stages: full text, employees, departments, projects, technologies, then each strategy.
     """
     hit = mentions(F.col("fields"), F.col("keyword")) | mentions(F.col("skills"), F.col("keyword"))
+    n = kws.count()
 
     def matched(label: str) -> DataFrame:
-        return join_small(nodes.filter(F.col("label") == label), kws, hit).groupBy(qid, "id", "name", "props", "skills").agg(F.min("kw_no"))
+        return join_small(nodes.filter(F.col("label") == label), kws, hit, rows=n).groupBy(qid, "id", "name", "props", "skills").agg(F.min("kw_no"))
 
     def gathered(rel: str, label: str, out: bool, text: Column, *more: str) -> DataFrame:
         a, b = ("src", "dst") if out else ("dst", "src")
@@ -258,20 +259,20 @@ def context_lines(nodes: DataFrame, edges: DataFrame, kws: DataFrame, qid: str =
     proj = matched("Project").withColumn("line", F.concat(F.lit("Project "), "name", F.lit(" (status: "), prop("status"), F.lit(")")))
     proj = add(proj, gathered("USES_TECHNOLOGY", "Technology", True, F.col("_other")), ". Uses technologies: ")
     tech = matched("Technology").withColumn("line", F.concat(F.lit("Technology "), "name", F.lit(" ("), prop("category"), F.lit("): "), prop("description")))
-    first = full_text(nodes, kws, qid).select(qid, F.lit(1).alias("stage"), F.format_string("%08d", "n").alias("ord"), F.concat(F.lit("Found entity: "), "name", F.lit(" ["), "label", F.lit(" ]")).alias("line"))
+    first = full_text(nodes, kws, qid, index=index, rows=n).select(qid, F.lit(1).alias("stage"), F.format_string("%08d", "n").alias("ord"), F.concat(F.lit("Found entity: "), "name", F.lit(" ["), "label", F.lit(" ]")).alias("line"))
     out = first
     for stage, df in enumerate((emp, dept, proj, tech), 2):
         out = out.unionByName(df.select(qid, F.lit(stage).alias("stage"), F.col("id").alias("ord"), "line"))
     each = kws.select("keyword").distinct()
     for stage, strategy in enumerate(strategies, 6):
-        lines = strategy(nodes, edges, each).join(kws, "keyword")
+        lines = strategy(nodes, edges, each, n).join(kws, "keyword")
         out = out.unionByName(lines.select(qid, F.lit(6).alias("stage"), F.format_string("%08d %02d %08d", "kw_no", F.lit(stage), "n").alias("ord"), "line"))
     return out
 
 
-def context(nodes: DataFrame, edges: DataFrame, questions: DataFrame, qid: str = "qid", most: int = CONTEXT_NODES, strategies=STRATEGIES) -> DataFrame:
+def context(nodes: DataFrame, edges: DataFrame, questions: DataFrame, qid: str = "qid", most: int = CONTEXT_NODES, strategies=STRATEGIES, index: DataFrame | None = None) -> DataFrame:
     """qid, context, n_lines: distinct lines in order of appearance, at most 3 * most, between header and footer."""
-    lines = context_lines(nodes, edges, question_keywords(questions, qid), qid, strategies)
+    lines = context_lines(nodes, edges, question_keywords(questions, qid), qid, strategies, index)
     once = lines.groupBy(qid, "line").agg(F.min(F.struct("stage", "ord")).alias("at"))
     kept = once.withColumn("n", F.row_number().over(Window.partitionBy(qid).orderBy("at", "line"))).filter(F.col("n") <= 3 * most)
     body = kept.groupBy(qid).agg(F.count(F.lit(1)).alias("n_lines"), F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: F.concat(F.lit("• "), x["line"])).alias("b"))

@@ -256,7 +256,8 @@ SQL_CONTEXT = f"""WITH {SQL_QS}, {SQL_NUMBERED}, {SQL_KWS}, {SQL_WORDS}, {SKILLS
 
 @query("graph_context", SQL_CONTEXT)
 def graph_context(spark, d):
-    return G.context(*graph(spark, d), asked(spark))
+    n, e = graph(spark, d)
+    return G.context(n, e, asked(spark), index=words(spark, d, n))
 
 
 @query("graph_answer", f"SELECT qid, FALSE AS blocked, n_lines FROM ({SQL_CONTEXT})")
