@@ -1,0 +1,152 @@
+"""The text of plain PDF files, page by page: objects and object streams, Flate streams, text operators, ToUnicode maps.
+
+Enough for files whose text is text. Encrypted files and other filters are an error; glyphs of a font without a map are
+read as Latin-1. Lines follow the operators that move to a new line; the layout of columns is not looked at.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
+STREAM = re.compile(rb"stream\r?\n")
+REF = re.compile(rb"(\d+)\s+\d+\s+R\b")
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+#: Pieces of a content stream: strings, arrays' brackets, names, numbers and operators.
+TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]+|[-+.\d]+|[A-Za-z'\"*]+", re.S)
+
+
+class PdfError(ValueError):
+    pass
+
+
+def objects(data: bytes) -> dict[int, tuple[bytes, bytes | None]]:
+    """(dictionary or value, raw stream) of each object; a later one of the same number replaces an earlier."""
+    out: dict[int, tuple[bytes, bytes | None]] = {}
+    for m in OBJECT.finditer(data):
+        end = data.find(b"endobj", m.end())
+        body = data[m.end() : end if end >= 0 else len(data)]
+        s = STREAM.search(body)
+        if s:
+            stop = body.rfind(b"endstream")
+            out[int(m[1])] = (body[: s.start()], body[s.end() : stop if stop >= 0 else len(body)])
+        else:
+            out[int(m[1])] = (body, None)
+    for head, raw in list(out.values()):
+        if raw is not None and re.search(rb"/Type\s*/ObjStm", head):
+            inner = plain(head, raw)
+            n, first = (int(re.search(rb"/" + k + rb"\s+(\d+)", head)[1]) for k in (b"N", b"First"))
+            numbers = [int(x) for x in inner[:first].split()[: 2 * n]]
+            for i, at in zip(numbers[::2], numbers[1::2], strict=True):
+                follows = min((x for x in numbers[1::2] if x > at), default=len(inner) - first)
+                out.setdefault(i, (inner[first + at : first + follows], None))
+    return out
+
+
+def plain(head: bytes, raw: bytes) -> bytes:
+    if b"/Filter" not in head:
+        return raw
+    if not re.search(rb"/Filter\s*\[?\s*/FlateDecode\s*\]?", head):
+        raise PdfError("unknown filter")
+    return zlib.decompressobj().decompress(raw)
+
+
+def unescaped(s: bytes) -> bytes:
+    return re.sub(rb"\\(\r?\n|[0-7]{1,3}|.)", lambda m: b"" if m[1] in (b"\n", b"\r\n") else bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else ESCAPES.get(m[1], m[1]), s, flags=re.S)
+
+
+def unicode_map(cmap: bytes) -> tuple[int, dict[int, str]]:
+    """(bytes of a code, characters by code) of a ToUnicode map."""
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    out, width = {}, 1
+    for part in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
+            out[int(a, 16)], width = text(b), max(width, len(a) // 2)
+    for part in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for a, z, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
+            width = max(width, len(a) // 2)
+            for i in range(int(z, 16) - int(a, 16) + 1):
+                out[int(a, 16) + i] = text(format(int(b, 16) + i, f"0{len(b)}x").encode())
+    return width, out
+
+
+def shown(token: bytes, font: tuple[int, dict[int, str]] | None) -> str:
+    raw = bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode().ljust(2 * -(-len(re.sub(rb"\s", b"", token[1:-1])) // 2), "0")) if token[:1] == b"<" else unescaped(token[1:-1])
+    if not font or not font[1]:
+        return raw.decode("latin-1")
+    width, chars = font
+    return "".join(chars.get(int.from_bytes(raw[i : i + width], "big"), "") for i in range(0, len(raw), width))
+
+
+def text_of(content: bytes, fonts: dict[bytes, tuple[int, dict[int, str]]]) -> str:
+    """What the text operators of a content stream show."""
+    out: list[str] = []
+    held: list[bytes] = []
+    font = None
+    for m in TOKEN.finditer(content):
+        t = m[0]
+        if t[:1] in b"(<[]/" or t[:1] in b"+-.0123456789":
+            held.append(t)
+            continue
+        strings = [x for x in held if x[:1] in b"(<"]
+        if t == b"Tf":
+            font = next((fonts.get(x[1:]) for x in held if x[:1] == b"/"), None)
+        elif t == b"Tj" and strings:
+            out.append(shown(strings[-1], font))
+        elif t == b"TJ":
+            # a wide move between the pieces of an array is a blank
+            out += [shown(x, font) if x[:1] in b"(<" else " " for x in held if x[:1] in b"(<" or re.fullmatch(rb"-\d{3,}(\.\d+)?", x)]
+        elif t in (b"'", b'"') and strings:
+            out += ["\n", shown(strings[-1], font)]
+        elif t == b"T*" or t in (b"Td", b"TD") and len(held) >= 2 and float(held[-1] or 0) != 0 or t == b"Tm" and out:
+            out.append("\n")
+        held = []
+    return re.sub(r"[ \t]*\n\s*", "\n", "".join(out)).strip()
+
+
+def pdf_pages(data: bytes) -> list[tuple[int | None, str]]:
+    """(page from 1, text) of each page, in the order of the page tree."""
+    if not data.startswith(b"%PDF"):
+        raise PdfError("no PDF file")
+    if re.search(rb"/Encrypt\s+\d+", data):
+        raise PdfError("the file is encrypted")
+    found = objects(data)
+    refs = lambda head, key: [int(x) for x in REF.findall(m[1])] if (m := re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", head)) else []
+    head_of = lambda i: found.get(i, (b"", None))[0]
+
+    def leaves(i: int, seen: frozenset[int] = frozenset()) -> list[int]:
+        head = head_of(i)
+        if i in seen or not re.search(rb"/Type\s*/Pages\b", head):
+            return [i] if re.search(rb"/Type\s*/Page\b", head) else []
+        return [x for k in refs(head, b"Kids") for x in leaves(k, seen | {i})]
+
+    roots = [r for h, _ in found.values() if re.search(rb"/Type\s*/Catalog\b", h) for r in refs(h, b"Pages")]
+    pages = [p for r in dict.fromkeys(roots) for p in leaves(r)] or sorted(i for i, (h, _) in found.items() if re.search(rb"/Type\s*/Page\b", h))
+
+    if not pages:
+        raise PdfError("no page found")
+
+    def fonts_of(i: int) -> dict[bytes, tuple[int, dict[int, str]]]:
+        head = head_of(i)
+        if not re.search(rb"/Resources", head) and (up := refs(head, b"Parent")):
+            return fonts_of(up[0])
+        res = head + b"".join(head_of(r) for r in refs(head, b"Resources"))
+        listed = re.search(rb"/Font\s*<<(.*?)>>", res, re.S)
+        inner = listed[1] if listed else b"".join(head_of(r) for r in refs(res, b"Font"))
+        out = {}
+        for name, r in re.findall(rb"/([^\s/<>\[\]]+)\s+(\d+)\s+\d+\s+R", inner):
+            maps = refs(head_of(int(r)), b"ToUnicode")
+            out[name] = unicode_map(plain(*found[maps[0]])) if maps and found.get(maps[0], (b"", None))[1] is not None else (1, {})
+        return out
+
+    out = []
+    for n, p in enumerate(pages, 1):
+        content = b"\n".join(plain(*found[c]) for c in refs(head_of(p), b"Contents") if found.get(c, (b"", None))[1] is not None)
+        out.append((n, text_of(content, fonts_of(p))))
+    return out
+
+
+def paragraphs(data: bytes) -> list[tuple[int | None, str]]:
+    """(page, text) of each run of lines between blank ones or of each page's lines, for the finer granularity."""
+    return [(p, x.strip()) for p, t in pdf_pages(data) for x in re.split(r"\n{2,}|(?<=[.!?])\n", t) if x.strip()]

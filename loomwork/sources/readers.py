@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import html_to_text, is_blank, latin1
+from loomwork.sources.pdf import pdf_pages
 
 # File name endings and the kind of document they hold.
 KINDS = {
@@ -135,8 +136,9 @@ def html_pages(data: bytes) -> list[tuple[int | None, str]]:
     return [(None, re.sub(r"\s+", " ", html.unescape(text)).strip())]
 
 
-#: Parsers by file ending. PDF needs a library that isn't at hand: register one with parser(bytes) -> [(page, text)].
+#: Parsers by file ending; another is registered as parser(bytes) -> [(page, text)].
 PARSERS: dict[str, Callable[[bytes], list[tuple[int | None, str]]]] = {
+    "pdf": pdf_pages,
     "xlsx": xlsx_pages,
     "docx": lambda d: xml_text(d, r"word/document\.xml", "}p"),
     "pptx": lambda d: xml_text(d, r"ppt/slides/slide\d+\.xml", "}p"),
@@ -183,8 +185,15 @@ def files(spark: SparkSession, path: str, parsers: dict | None = None, glob: str
     return raw.mapInArrow(run, "identity string, source string, file_name string, page int, content string, metadata map<string,string>")
 
 
-def table_as_markdown(df: DataFrame, name: str, order: str) -> DataFrame:
-    """One row (content): a bounded table as Markdown, in the given order, all columns as text."""
+#: Rows of a table that are written as one text.
+MOST_ROWS = 100_000
+
+
+def table_as_markdown(df: DataFrame, name: str, order: str, most: int = MOST_ROWS) -> DataFrame:
+    """One row (content): a sheet-sized table as Markdown, in the given order, all columns as text. More than `most` rows,
+    which would be one text of one row, are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows in one text")
     cells = [F.trim(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))) for c in df.columns]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     head = f"## {name}\n\n| " + " | ".join(df.columns) + " |\n| " + " | ".join(["---"] * len(df.columns)) + " |"
