@@ -360,14 +360,15 @@ def length_band(spark, d):
 
 
 @query("near_dup_pairs", f"""WITH {CANDIDATES}, w AS (SELECT query_id, ord, term, count(*)::DOUBLE AS n FROM (SELECT query_id, ord, unnest({sql_tokens("content")}) AS term FROM cand) GROUP BY ALL),
-    nm AS (SELECT query_id, ord, sqrt(sum(n * n)) AS norm FROM w GROUP BY ALL), p AS (SELECT a.query_id, a.ord AS left_ord, b.ord AS right_ord, sum(a.n * b.n) AS s FROM w a JOIN w b ON a.query_id = b.query_id AND a.term = b.term AND b.ord = a.ord + 1 GROUP BY ALL)
-    SELECT c.query_id, c.ord AS left_ord, c.ord + 1 AS right_ord, {sql_round("coalesce(s / (x.norm * y.norm), 0)")} AS similarity FROM cand c JOIN cand e ON c.query_id = e.query_id AND e.ord = c.ord + 1
-    LEFT JOIN p ON p.query_id = c.query_id AND left_ord = c.ord LEFT JOIN nm x ON x.query_id = c.query_id AND x.ord = c.ord LEFT JOIN nm y ON y.query_id = c.query_id AND y.ord = c.ord + 1""")
+    nm AS (SELECT query_id, ord, sqrt(sum(n * n)) AS norm FROM w GROUP BY ALL), p AS (SELECT a.query_id, a.ord AS left_ord, b.ord AS right_ord, sum(a.n * b.n) AS s FROM w a JOIN w b ON a.query_id = b.query_id AND a.term = b.term AND b.ord > a.ord GROUP BY ALL)
+    SELECT c.query_id, c.ord AS left_ord, e.ord AS right_ord, {sql_round("coalesce(s / (x.norm * y.norm), 0)")} AS similarity FROM cand c JOIN cand e ON c.query_id = e.query_id AND e.ord > c.ord
+    LEFT JOIN p ON p.query_id = c.query_id AND left_ord = c.ord AND right_ord = e.ord LEFT JOIN nm x ON x.query_id = c.query_id AND x.ord = c.ord LEFT JOIN nm y ON y.query_id = c.query_id AND y.ord = e.ord""")
 def near_dup_pairs(spark, d):
-    """Similarity of each candidate to the next one of its query."""
+    """Similarity of all pairs of a query's candidates, which are bounded by the over-fetch."""
     c = candidates(spark, d)
-    other = F.lead("ord").over(Window.partitionBy("query_id").orderBy("ord"))
-    pairs = c.select("query_id", F.col("ord").alias("left_ord"), other.alias("right_ord")).filter(F.col("right_ord").isNotNull())
+    places = c.groupBy("query_id").agg(F.sort_array(F.collect_list("ord")).alias("_o"))
+    left = places.select("query_id", "_o", F.explode("_o").alias("left_ord"))
+    pairs = left.select("query_id", "left_ord", F.explode(F.filter("_o", lambda x: x > F.col("left_ord"))).alias("right_ord"))
     return P.similarities(c, pairs)
 
 
@@ -415,7 +416,16 @@ def near_dup_greedy(spark, d):
     return P.near_duplicates(candidates(spark, d)).select("query_id", "doc_id", "ord")
 
 
-@query("mmr")
+@query("mmr", f"""WITH RECURSIVE {CANDIDATES}, w AS (SELECT query_id, ord, term, count(*)::DOUBLE AS n FROM (SELECT query_id, ord, unnest({sql_tokens("content")}) AS term FROM cand) GROUP BY ALL), nm AS (SELECT query_id, ord, sum(n * n) AS n2 FROM w GROUP BY ALL),
+    sm AS (SELECT a.query_id, a.ord AS i, b.ord AS j, sum(a.n * b.n) / sqrt(any_value(x.n2) * any_value(y.n2)) AS similarity FROM w a JOIN w b ON a.query_id = b.query_id AND a.term = b.term JOIN nm x ON x.query_id = a.query_id AND x.ord = a.ord JOIN nm y ON y.query_id = b.query_id AND y.ord = b.ord GROUP BY ALL),
+    ls AS (SELECT query_id, count(*) AS n, list(score::DOUBLE ORDER BY ord) AS sc, list(doc_id ORDER BY ord) AS ids FROM cand GROUP BY query_id),
+    rw AS (SELECT c.query_id, c.ord, list(coalesce(similarity, 0) ORDER BY e.ord) AS sims FROM cand c JOIN cand e ON c.query_id = e.query_id LEFT JOIN sm ON sm.query_id = c.query_id AND i = c.ord AND j = e.ord GROUP BY ALL),
+    mt AS (SELECT query_id, list(sims ORDER BY ord) AS sim FROM rw GROUP BY query_id),
+    r AS (SELECT query_id, CASE WHEN n < 3 THEN range(1, n + 1) ELSE []::BIGINT[] END AS chosen FROM ls
+        UNION ALL SELECT query_id, list_append(chosen, best) FROM (SELECT r.query_id, chosen, list_sort(list_transform(list_filter(range(1, n + 1), lambda x: NOT list_contains(chosen, x)),
+            lambda x: {{'v': -(0.7::DOUBLE * sc[x] - (1 - 0.7::DOUBLE) * coalesce(list_max(list_transform(chosen, lambda y: sim[x][y])), 0)), 'i': x}}))[1].i AS best FROM r JOIN ls USING (query_id) JOIN mt USING (query_id) WHERE len(chosen) < n)),
+    f AS (SELECT query_id, ids, unnest(chosen) AS i, generate_subscripts(chosen, 1) AS place FROM r JOIN ls USING (query_id) WHERE len(chosen) = n)
+    SELECT query_id, ids[i] AS doc_id, place::BIGINT AS ord FROM f""")
 def mmr(spark, d):
     return P.diversify(candidates(spark, d)).select("query_id", "doc_id", "ord")
 
