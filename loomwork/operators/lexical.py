@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.text import tokens
 from loomwork.functions.vectors import score as rounded
-from loomwork.sources.tables import built_once
+from loomwork.sources.tables import built_once, kept
 
 K1 = 1.2
 B = 0.75
@@ -57,7 +57,8 @@ class Index:
         the row groups of its own terms.
         """
         made = Index.of(docs, key, text, tokenize)
-        p = built_once(spark, f"{path}/postings", lambda: made.postings.repartitionByRange("term", key).sortWithinPartitions("term", key))
+        # the ranges are taken from a sample, for which Spark makes its input a second time: so it reads what was written
+        p = built_once(spark, f"{path}/postings", lambda: kept(made.postings, "postings").repartitionByRange("term", key).sortWithinPartitions("term", key))
         t = built_once(spark, f"{path}/terms", lambda: p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term"))
         return Index(p, t, built_once(spark, f"{path}/statistics", lambda: made.statistics), key, True)
 

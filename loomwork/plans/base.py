@@ -13,7 +13,7 @@ from loomwork.functions.vectors import embed_terms
 from loomwork.operators.lexical import Index
 from loomwork.operators.search import keyword_top_k, over_fetch
 from loomwork.sources.tables import read_table as table
-from loomwork.sources.tables import join_small, read_spread, shared_dir, state_of, table_path
+from loomwork.sources.tables import join_small, kept, read_spread, shared_dir, state_of, table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,7 +139,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     q = questions(spark, d)
     found = keyword_top_k(q, index(spark, d), over_fetch()).withColumnRenamed("rank", "ord")
     n = q.count()
-    return join_small(join_small(docs(spark, d), found, "doc_id", rows=n * over_fetch(), most=MOST_HITS), q, "query_id", rows=n)
+    return kept(join_small(join_small(docs(spark, d), found, "doc_id", rows=n * over_fetch(), most=MOST_HITS), q, "query_id", rows=n), "candidates")
 
 
 CANDIDATES = f"""{QUESTIONS}, {DOCS}, {sql_keyword_top(30)},

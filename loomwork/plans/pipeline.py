@@ -13,7 +13,7 @@ from loomwork.functions import text as T
 from loomwork.functions.vectors import score as rounded
 from loomwork.operators import evaluate as E
 from loomwork.operators import chunking, graph, lexical, lifecycle, postprocess, prompt, query_transforms, rerank, search
-from loomwork.sources.tables import join_small
+from loomwork.sources.tables import join_small, kept
 
 #: Hits (ids and scores) of a batch of queries that are sent to the chunks; beyond that both sides are shuffled.
 MOST_HITS = 500_000
@@ -71,6 +71,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, cfg: Retrieval = Retrieval()
     columns = [c for c in chunks.columns if c in ATTRIBUTES or c in ("chunk_id", "content")]
     hits = variants.count() * search.over_fetch(cfg.top_k, cfg.over_fetch)
     out = join_small(join_small(chunks.select(*columns), found, "chunk_id", rows=hits, most=MOST_HITS), queries.select("query_id", "query"), "query_id")
+    out = kept(out, "candidates")  # few rows, which every later step reads, some of them several times
     if today is not None and {"table", "visibility", "effective_from", "effective_to"} <= set(out.columns):
         out = postprocess.business_rules(out, today)
     if cfg.min_chars or cfg.max_chars:

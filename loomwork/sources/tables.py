@@ -82,6 +82,15 @@ def built_once(spark: SparkSession, path: str, make, by: tuple[str, ...] = ()) -
     return spark.read.parquet(path)
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back, for rows that a plan uses several times over: they are made
+    once, and a lost executor takes nothing with it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def join_small(big: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "inner", most: int = MOST_SENT, rows: int | None = None) -> DataFrame:
     """big joined to small, such as the keywords of a batch of questions, which is counted first unless a bound is known (rows).
 
