@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, flac, lines, mixing, pii, rules, simhash, suffixes, tokens, toxicity
+from loomwork.llm import bpe, fim, flac, lines, mixing, pii, rules, simhash, suffixes, tokens, toxicity
 from loomwork.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_trie": op1_simhash_trie,
     "op3_flac_media": op3_flac_media,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_bpe_codec": op10_bpe_codec,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 STRIPPED = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -129,4 +134,15 @@ ORACLES: dict[str, str] = {
         e AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM x WHERE n_copies > 0)
         SELECT doc_id, text, lang, source, n_chars, copy_no, n_copies,
                md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || copy_no::VARCHAR || '|mix') AS mix_key FROM e""",
+    "op13_fill_in_middle": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+        u AS (SELECT doc_id, t, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(x, i, 8))::BIGINT) AS h,
+                     regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS k FROM d),
+        c AS (SELECT *, len(k)::BIGINT AS n, least(h[1] % (len(k) + 1), h[2] % (len(k) + 1)) AS a, greatest(h[1] % (len(k) + 1), h[2] % (len(k) + 1)) AS b FROM u),
+        p AS (SELECT doc_id, t, n, array_to_string(k[1:a], '') AS p, array_to_string(k[a + 1:b], '') AS m, array_to_string(k[b + 1:n], '') AS s,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= {fim.RATE} THEN 'plain'
+                          WHEN h[4] % 100 < {fim.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+               sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM p""",
 }
