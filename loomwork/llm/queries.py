@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, fim, flac, lines, mixing, pii, rules, simhash, suffixes, tokens, toxicity
+from loomwork.llm import bpe, fim, flac, lines, mixing, pii, rules, simhash, suffixes, tokens, toxicity, warc
 from loomwork.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_arc_to_warc": op11_arc_to_warc,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -134,6 +139,14 @@ ORACLES: dict[str, str] = {
         e AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM x WHERE n_copies > 0)
         SELECT doc_id, text, lang, source, n_chars, copy_no, n_copies,
                md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || copy_no::VARCHAR || '|mix') AS mix_key FROM e""",
+    "op11_arc_to_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+        h AS (SELECT page_id, octet_length(raw)::BIGINT AS payload_bytes, sha1(raw) AS x, row_number() OVER (PARTITION BY raw ORDER BY page_id NULLS LAST) AS n,
+                     first_value(page_id) OVER (PARTITION BY raw ORDER BY page_id NULLS LAST) AS first FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(x, (i // 4 * 5 + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+               CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN first END AS refers_to FROM h""",
     "op13_fill_in_middle": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
         u AS (SELECT doc_id, t, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(x, i, 8))::BIGINT) AS h,
