@@ -62,6 +62,21 @@ def join_keyed(big: DataFrame, small: DataFrame, key: str | list[str], how: str
     return spread.join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_counted(big: DataFrame, small: DataFrame, keys: str | list[str], broadcast_rows: int = 50_000, least_hot: int = 1_000) -> DataFrame:
+    """big joined to small, a table with one row for each key and the number of big's rows with it as _n, without a hot key.
+
+    Up to broadcast_rows rows small is sent to every task. Beyond that only the keys of many rows are: those above one
+    part in broadcast_rows of all, of which there can't be more than broadcast_rows. The others are left to a join by key.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    n, total = small.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if n <= broadcast_rows:
+        return big.join(F.broadcast(small.drop("_n")), keys)
+    hot = F.col("_n") > max(least_hot, total // max(broadcast_rows, 1))
+    frequent, rest = F.broadcast(small.filter(hot).drop("_n")), small.filter(~hot).drop("_n")
+    return big.join(frequent, keys).unionByName(big.join(F.broadcast(small.filter(hot).select(*keys)), keys, "left_anti").join(rest, keys))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. lower() does that by itself where each character is one byte."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

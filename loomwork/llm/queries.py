@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, fim, flac, lines, mixing, pii, rules, simhash, suffixes, tokens, toxicity, warc
+from loomwork.llm import bpe, fim, flac, lines, mixing, pii, rules, simhash, suffixes, tokens, toxicity, trie, warc
 from loomwork.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op11_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_bpe_codec": op10_bpe_codec,
     "op11_arc_to_warc": op11_arc_to_warc,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -147,6 +152,24 @@ ORACLES: dict[str, str] = {
                array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    1 + ((('0x' || substr(x, (i // 4 * 5 + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
                CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN first END AS refers_to FROM h""",
+    "op12_prefix_trie": """
+        WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS i,
+                     sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS x, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+                     lambda a, b: list_reduce(list_prepend(xor(a, b), [1::BIGINT, 1, 1, 1, 1, 1, 1, 1]), lambda v, z: xor(v >> 1, 3988292384 * (v & z)))), 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+        r AS (SELECT k.c, 0 AS side, b.i, b.x, b.chars FROM k JOIN t b ON b.c = k.c - k.c % 100 AND b.i < k.h
+              UNION ALL SELECT k.c, 1, t.i, t.x, t.chars FROM k JOIN t ON t.c = k.c AND t.i >= k.h),
+        p AS (SELECT c, list(x ORDER BY side, i) AS xs, list(chars ORDER BY side, i) AS cs FROM r GROUP BY c),
+        f AS (SELECT k.c, coalesce(xs, []) AS xs, coalesce(cs, []) AS cs FROM k LEFT JOIN p USING (c)),
+        m AS (SELECT c, d, array_to_string(xs[1:d], '') AS path, array_to_string(xs[1:d - 1], '') AS up, CASE WHEN d > 0 THEN cs[d] ELSE 0 END AS chars, len(xs) = d AS ends
+              FROM (SELECT *, unnest(range(0, len(xs) + 1)) AS d FROM f)),
+        n AS (SELECT path, min(c) AS conv_id, any_value(d) AS depth, any_value(up) AS up, count(*) AS n_convs, any_value(chars) AS chars,
+                     sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY path),
+        kids AS (SELECT up AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+        w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (path)),
+        s AS (SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.chars) AS saved_tokens FROM w a JOIN w b ON starts_with(b.path, a.path) GROUP BY a.path)
+        SELECT w.conv_id, w.depth::BIGINT AS depth, CASE WHEN w.depth > 0 THEN up.conv_id END AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+        FROM w JOIN s USING (path) LEFT JOIN n up ON up.path = w.up""",
     "op13_fill_in_middle": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
         u AS (SELECT doc_id, t, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(x, i, 8))::BIGINT) AS h,
