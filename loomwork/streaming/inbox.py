@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
+from loomwork.sources.commits import LOCK_AGE_S, Lock
 from loomwork.sources.tables import file_system
 
 MIN_AGE_S = 5.0
@@ -19,23 +20,21 @@ def target_of(fs, path_of: Callable[[str], object], folder: str, name: str, now_
     return at if not fs.exists(at) else path_of(f"{folder}/{now_ms}-{name}")
 
 
-def scan(spark: SparkSession, inbox: str, handle: Callable[[str], object], supported: Callable[[str], bool], min_age_s: float = MIN_AGE_S, now_ms: int | None = None) -> list[tuple[str, str]]:
+def scan(spark: SparkSession, inbox: str, handle: Callable[[str], object], supported: Callable[[str], bool], min_age_s: float = MIN_AGE_S, now_ms: int | None = None, lock_age_s: float = LOCK_AGE_S) -> list[tuple[str, str]]:
     """(file name, "processed" or "failed") of the files of one look at the folder.
 
     Files that changed less than min_age_s ago are still being written and wait. Unsupported files, and files whose
-    handle(path) raises, go to failed/. A lock file keeps a second scanner out; it then does nothing.
+    handle(path) raises, go to failed/. A lock keeps a second scanner out, which then does nothing; a dead scanner's is taken over
+    after lock_age_s.
     """
     now = now_ms if now_ms is not None else int(time.time() * 1000)
     fs, root = file_system(spark, inbox)
     path_of = spark._jvm.org.apache.hadoop.fs.Path
     for sub in ("processed", "failed"):
         fs.mkdirs(path_of(f"{inbox}/{sub}"))
-    lock = path_of(f"{inbox}/.scan-lock")
-    if not fs.createNewFile(lock):
-        return []
     done = []
-    try:
-        files = sorted((s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(root) if s.isFile())
+    with Lock(spark, inbox, "scan-lock", lock_age_s).held() as mine:
+        files = sorted((s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(root) if s.isFile()) if mine else []
         for name, changed in files:
             if name.startswith(".") or changed > now - min_age_s * 1000:
                 continue
@@ -48,8 +47,6 @@ def scan(spark: SparkSession, inbox: str, handle: Callable[[str], object], suppo
                 end = "failed"
             fs.rename(path_of(f"{inbox}/{name}"), target_of(fs, path_of, f"{inbox}/{end}", name, now))
             done.append((name, end))
-    finally:
-        fs.delete(lock, False)
     return done
 
 
