@@ -1,14 +1,15 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability is a logistic function of a weight for each of its words and
-of their beginnings (PREFIXES characters, so that unseen words of a known stem count); a run of sentences has the noisy-or 1 - prod(1 - p). Only documents have labels, and the weights are fitted to them through the
-noisy-or, by Adam over the whole sample in numpy. A document's score is the largest noisy-or of NEAR sentences in a row, or
-that of all its sentences if it has fewer: the bias of thousands of clean sentences doesn't add up to a toxic text. The sentences that make a document toxic are then those with a high
-probability of their own.
+of their beginnings (PREFIXES characters, so that unseen words of a known stem count); a run of sentences has the noisy-or
+1 - prod(1 - p). A document's probability, in the fit and in its score alike, is the largest noisy-or of up to NEAR sentences in a
+row: the bias of thousands of clean sentences doesn't add up to a toxic text, whatever the length. Only documents have labels,
+and the weights are fitted to them through that, by Adam over the whole sample in numpy; the run that counts is looked for anew
+in every step. The sentences that make a document toxic are then those with a high probability of their own.
 
 The sample for fitting is bounded: at most SAMPLE_ROWS labelled documents, those with the least hashes of their ids. Of a
-clean text of more than SAMPLE_WORDS words, sentences of as many words are taken by hash; a longer toxic text is left out, as
-a part of it need not be toxic. Of all these, texts in the order of a hash are taken until they have SAMPLE_TOTAL words. Words count as features if they stand in at least LEAST_ROWS documents of
+clean text of more than SAMPLE_WORDS words, a run of sentences of as many words is taken from a hashed place on, whose runs are runs of
+the text; a longer toxic text is left out, as a part of it need not be toxic. Of all these, texts in the order of a hash are taken until they have SAMPLE_TOTAL words. Words count as features if they stand in at least LEAST_ROWS documents of
 the sample and the log-likelihood ratio of word and label there is at least LEAST_RATIO (rare words else learn the noise
 of single labels), at most MOST_FEATURES of them. Scores are given to every whole text.
 
@@ -41,7 +42,7 @@ LEAST_ROWS = 3
 LEAST_RATIO = 20.0
 MOST_FEATURES = 50_000
 FOLDS = 5
-#: Sentences in a row that can make a text toxic together.
+#: Sentences in a row, at most, that make a text toxic together.
 NEAR = 128
 PREFIXES = (4, 5, 6, 7)
 #: Words whose weights a task remembers.
@@ -103,6 +104,33 @@ def most_in_a_row(x: list[float], near: int = NEAR) -> float:
     return float((upto[near:] - upto[:-near]).max())
 
 
+class Runs:
+    """The runs of `near` sentences of the documents that have more, to look for each one's largest sum again and again."""
+
+    def __init__(self, doc: np.ndarray, near: int):
+        self.near, n = near, len(doc)
+        starts = np.arange(max(n - near + 1, 0))
+        self.starts = starts[doc[starts] == doc[starts + near - 1]]
+        # documents of `near` sentences at least; those with more have several starts
+        of = doc[self.starts]
+        self.first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
+        self.counts = np.diff(np.append(self.first, len(of)))
+        self.inside = np.isin(doc, of)
+
+    def active(self, x: np.ndarray) -> np.ndarray:
+        """1 for the sentences in their document's run of the largest sum, the first of equals, and in documents of one run."""
+        if not len(self.starts):
+            return np.ones(len(x))
+        upto = np.append(0.0, np.cumsum(x))
+        sums = upto[self.starts + self.near] - upto[self.starts]
+        most = np.repeat(np.maximum.reduceat(sums, self.first), self.counts)
+        at = np.minimum.reduceat(np.where(sums >= most, self.starts, len(x)), self.first)
+        edge = np.zeros(len(x) + 1)
+        edge[at] += 1
+        edge[at + self.near] -= 1
+        return np.where(self.inside, np.cumsum(edge[:-1]), 1.0)
+
+
 def softplus(z: float) -> float:
     return max(z, 0.0) + math.log1p(math.exp(-abs(z)))
 
@@ -124,7 +152,7 @@ def likelihood_ratio(both: int, word: int, toxic: int, rows: int) -> float:
     return 2 * sum(n * math.log(n * rows / (a * b)) for n, a, b in cells if n)
 
 
-def fit(bags: list[list[list[str]]], y: np.ndarray, least_rows: int = LEAST_ROWS, least_ratio: float = LEAST_RATIO, steps: int = 300, rate: float = 0.1, decay: float = 1e-4, most_features: int = MOST_FEATURES) -> Model:
+def fit(bags: list[list[list[str]]], y: np.ndarray, least_rows: int = LEAST_ROWS, least_ratio: float = LEAST_RATIO, steps: int = 300, rate: float = 0.1, decay: float = 1e-4, most_features: int = MOST_FEATURES, near: int = NEAR) -> Model:
     """Fit weights to documents given as lists of sentences given as lists of words."""
     if not len(y) or y.min() == y.max():
         return Model(0.0, {}, float(y.mean()) if len(y) else 0.0)
@@ -147,15 +175,19 @@ def fit(bags: list[list[list[str]]], y: np.ndarray, least_rows: int = LEAST_ROWS
             docs.append(d)
     feat, sent, doc = np.array(feats, np.int64), np.array(sents, np.int64), np.array(docs, np.int64)
     n, m = len(y), len(names)
-    w, b = np.zeros(m), -math.log(max(2.0, 2.0 * len(doc) / max(1.0, y.sum())))
+    runs = Runs(doc, near)
+    counted = np.minimum(np.bincount(doc, minlength=n), near).sum()
+    w, b = np.zeros(m), -math.log(max(2.0, 2.0 * counted / max(1.0, y.sum())))
     mean, square = np.zeros(m + 1), np.zeros(m + 1)
     for step in range(1, steps + 1):
         z = b + np.bincount(sent, w[feat], minlength=len(doc))
         p = 1 / (1 + np.exp(-z))
-        quiet = -np.bincount(doc, np.logaddexp(0, z), minlength=n)  # log of the noisy-or's complement
+        loud = np.logaddexp(0, z)
+        active = runs.active(loud)
+        quiet = -np.bincount(doc, loud * active, minlength=n)  # log of the noisy-or's complement
         some = np.maximum(-np.expm1(quiet), 1e-12)
         by_doc = np.where(y > 0, -np.exp(quiet) / some, 1.0)
-        g = by_doc[doc] * p / n
+        g = by_doc[doc] * p * active / n
         grad = np.append(np.bincount(feat, g[sent], minlength=m) + decay * w, g.sum())
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad * grad
@@ -166,13 +198,14 @@ def fit(bags: list[list[list[str]]], y: np.ndarray, least_rows: int = LEAST_ROWS
 
 
 def part_of(bag: list[list[str]], most_words: int) -> list[list[str]]:
-    """Sentences of at most `most_words` words in all, those with the least hashes of their place and words, in their order."""
-    chosen, n = [], 0
-    for i in sorted(range(len(bag)), key=lambda i: (zlib.crc32(f"{i} {' '.join(bag[i])}".encode()), i)):
-        if n + len(bag[i]) <= most_words:
-            chosen.append(i)
-            n += len(bag[i])
-    return [bag[i] for i in sorted(chosen)]
+    """A run of sentences of at most `most_words` words in all, from a hashed place on; longer sentences are passed over."""
+    fits = [s for s in bag if len(s) <= most_words]
+    upto = np.append(0, np.cumsum([len(s) for s in fits]))
+    # from any of these places on there are enough words for a whole run
+    places = max(1, int(np.searchsorted(upto, upto[-1] - most_words, side="right")))
+    start = zlib.crc32(" ".join(w for s in fits[:100] for w in s).encode()) % places
+    end = int(np.searchsorted(upto, upto[start] + most_words, side="right")) - 1
+    return fits[start:end]
 
 
 def train(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_words: int = SAMPLE_WORDS, total_words: int = SAMPLE_TOTAL) -> Model:
@@ -239,8 +272,8 @@ def judged(df: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, n_offending, worst_start, worst_end: the score of each whole text and where a toxic one offends.
 
     Offending sentences are those with a probability of their own of at least a half. The worst sentence is the most
-    probable, the first of equals, in code points; it is null in texts that score below a half, and so it is where no
-    sentence could be judged.
+    probable of them, the first of equals, in code points; it is null in texts that score below a half, and so it is where none
+    offends by itself: such a text is toxic by several of its sentences together.
     """
     unknown(df, ["doc_id", "text"])
     sent = df.sparkSession.sparkContext.broadcast(model)
@@ -249,9 +282,9 @@ def judged(df: DataFrame, model: Model) -> DataFrame:
         score = m.score(text)
         if score < 0.5 or m.constant is not None:
             return score, 0, None, None
-        found = m.sentences(text)
-        start, end, _ = max(found, key=lambda s: (s[2], -s[0]))
-        return score, sum(z >= 0 for _, _, z in found), start, end
+        found = [s for s in m.sentences(text) if s[2] >= 0]
+        start, end, _ = max(found, key=lambda s: (s[2], -s[0])) if found else (None, None, None)
+        return score, len(found), start, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value.ready()
