@@ -2,18 +2,21 @@
 
 A pair of bytes that stands inside no vocabulary token can never be merged over, so the place between the two bytes is
 a certain cut for the merges. The tokenizer also cuts its input with a pattern before merging, and a fragment must be cut
-there as the whole text is. A pair is therefore used only where that holds too:
+there as the whole text is. A pair is therefore used only between two characters where that holds too:
 
-* letter or digit followed by a letter or digit: the pattern treats the rest of a run as a run;
-* letter, digit or sign followed by white space, and letter or digit against sign, either way: the pattern cuts there
+* letter or number followed by a letter or number: the pattern treats the rest of a run as a run;
+* letter, number or other sign followed by white space, and letter or number against a sign, either way: the pattern cuts there
   anyway, and from a cut on it looks only forward;
-* never after white space (its last character goes with what follows), never between two signs (an apostrophe may begin
-  a contraction) and, outside ASCII, only after the letters of Latin-1.
+* never after white space (its last character goes with what follows), never between two signs, never after an apostrophe or
+  between the letters of a contraction.
+
+What a character is follows from Unicode's categories, for those of the first plane that were the same in Unicode 3.2 and are now, so
+that no version of the pattern's own tables disagrees; others are never cut next to. Texts of any script are cut so.
 
 Each text is cut at all such places at once (a 65,536-entry table over neighbouring bytes), each distinct fragment is
-encoded once and the ids are concatenated. Fragments are remembered in a table of bounded size. Where the vocabulary's ids
-follow the order of its merges, fragments of Latin letters are merged by rank with a second library, which gives the same
-ids in less time; other fragments, and other vocabularies, go to the tokenizer itself.
+encoded once and the ids are concatenated. Fragments are remembered in a table of a bounded number of bytes; long ones are not
+remembered. Where the vocabulary's ids follow the order of its merges, fragments of Latin letters are merged by rank with a
+second library, which gives the same ids in less time; other fragments, and other vocabularies, go to the tokenizer itself.
 
 Defined cases: null text counts as empty; an empty text has no tokens; the strings of special tokens become their ids, as
 the library does by default; repeated rows and ids are each encoded; a table without rows gives none.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,8 +36,14 @@ from pyspark.sql import DataFrame
 
 from loomwork.llm.common import only, slices, unknown
 
-#: Entries of the fragment table; it is emptied when full.
-REMEMBERED = 250_000
+#: Bytes that the fragment table takes up, about; it is emptied when full.
+REMEMBERED = 96_000_000
+#: Bytes of a fragment that is remembered.
+SHORT = 64
+#: What an entry takes up besides its fragment, and what an id does.
+ENTRY, ID = 240, 40
+#: Characters that are looked at together, so that the numbers of a long text aren't all held at once.
+BLOCK = 1_000_000
 #: The published pattern that byte-level tokenizers of this kind cut with before merging. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -45,26 +55,52 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def classes() -> dict[str, np.ndarray]:
-    code = np.arange(256)
-    letter = ((code >= 65) & (code <= 90)) | ((code >= 97) & (code <= 122))
-    digit = (code >= 48) & (code <= 57)
-    space = np.isin(code, [9, 10, 11, 12, 13, 32])
-    sign = (code > 32) & (code < 127) & ~letter & ~digit
-    return {"letter": letter, "digit": digit, "space": space, "sign": sign}
+OTHER, LETTER, NUMBER, SPACE, SIGN, APOSTROPHE = range(6)
+
+
+def classes() -> np.ndarray:
+    """The class of each character of the first plane; OTHER for those whose category has changed, and one more entry for what lies
+    beyond."""
+    of = {"L": LETTER, "N": NUMBER, "Z": SPACE, "P": SIGN, "S": SIGN, "M": SIGN}
+    out = np.zeros(65_537, np.uint8)
+    for i in range(65_536):
+        now, then = unicodedata.category(chr(i))[0], unicodedata.ucd_3_2_0.category(chr(i))[0]
+        out[i] = of.get(now, OTHER) if now == then else OTHER
+    # white space by its property, not its category
+    out[[i for i in range(65_536) if out[i] == SPACE and not chr(i).isspace()]] = OTHER
+    out[[9, 10, 11, 12, 13]] = SPACE
+    out[ord("'")] = APOSTROPHE
+    return out
+
+
+def allowed() -> np.ndarray:
+    """Which classes may stand before and after a cut."""
+    out = np.zeros((6, 6), bool)
+    for a in (LETTER, NUMBER, SIGN):
+        out[a, SPACE] = True
+    for a in (LETTER, NUMBER):
+        out[a, [LETTER, NUMBER, SIGN, APOSTROPHE]] = True
+        out[SIGN, a] = True
+    out[APOSTROPHE, SPACE] = True
+    return out
 
 
 class Fragments(dict):
-    """The ids of each fragment, made when first asked for; emptied when full."""
+    """The ids of each fragment, made when first asked for. Short ones are kept; the table is emptied when it has taken up `most` bytes."""
 
     def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.held = encode, most, 0
 
     def __missing__(self, fragment: bytes) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        self[fragment] = ids = tuple(self.encode(fragment.decode()))
+        ids = tuple(self.encode(fragment.decode()))
+        if len(fragment) <= SHORT:
+            size = ENTRY + len(fragment) + ID * len(ids)
+            if self.held + size > self.most:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[fragment] = ids
         return ids
 
 
@@ -93,28 +129,43 @@ class ForcedBoundaryBPE:
                 never[a << 8 | b] = False
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
-        self.never = never
-        k = classes()
-        word = k["letter"] | k["digit"]
-        pairs = np.outer(word, word | k["sign"] | k["space"]) | np.outer(k["sign"], word | k["space"])
-        self.cut = never & pairs.ravel()
-        latin = np.zeros(256, bool)  # second byte of the Latin-1 letters that begin with 0xC3
-        latin[0x80:0xC0] = True
-        latin[[0x97, 0xB7]] = False
-        self.cut_latin = never & np.outer(latin, k["digit"] | k["sign"] | k["space"]).ravel()
+        for a, b in ("re", "ve", "ll"):
+            never[ord(a) << 8 | ord(b)] = False
+        self.never, self.classes, self.allowed = never, classes(), allowed()
+        own = self.classes[:128]
+        ascii_pairs = np.zeros((256, 256), bool)
+        ascii_pairs[:128, :128] = self.allowed[own[:, None], own[None, :]]
+        self.cut = never & ascii_pairs.ravel()
         self.known = Fragments(self.encoder(spec), remembered)
 
-    def cuts(self, data: np.ndarray) -> np.ndarray:
-        """Places inside data (as the index of the byte after it) where a cut is certain."""
-        if len(data) < 2:
-            return np.empty(0, np.int64)
-        pair = data[:-1].astype(np.uint16) << 8 | data[1:]
-        at = self.cut[pair]
-        at[1:] |= self.cut_latin[pair[1:]] & (data[:-2] == 0xC3)
-        return np.flatnonzero(at) + 1
+    def cuts(self, data: bytes) -> Iterator[int]:
+        """Places inside data (as the index of the byte after it) where a cut is certain, in order."""
+        if data.isascii():
+            for at in range(0, len(data), BLOCK):
+                raw = np.frombuffer(data, np.uint8, min(BLOCK + 1, len(data) - at), at)
+                yield from (np.flatnonzero(self.cut[raw[:-1].astype(np.uint16) << 8 | raw[1:]]) + (at + 1)).tolist()
+            return
+        text, start = data.decode(), 0
+        for at in range(0, len(text), BLOCK):
+            point = np.frombuffer(text[at : at + BLOCK + 1].encode("utf-32-le"), np.uint32)
+            width = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
+            begin = start + np.cumsum(width) - width
+            raw = np.frombuffer(data, np.uint8)
+            first, last = raw[begin[1:]], raw[begin[1:] - 1]
+            kind = self.classes[np.minimum(point, 65_536)]
+            fits = self.allowed[kind[:-1], kind[1:]] & self.never[last.astype(np.uint16) << 8 | first]
+            yield from begin[1:][fits].tolist()
+            start = int(begin[BLOCK]) if len(point) > BLOCK else start
+
+    def cut_places(self, data: bytes) -> list[int]:
+        """cuts() of bytes that may be no text, which have none."""
+        try:
+            return list(self.cuts(data))
+        except UnicodeDecodeError:
+            return []
 
     def fragments(self, data: bytes) -> list[bytes]:
-        at = [0, *self.cuts(np.frombuffer(data, np.uint8)).tolist(), len(data)]
+        at = [0, *self.cuts(data), len(data)]
         return [data[a:b] for a, b in zip(at, at[1:], strict=False)] if data else []
 
     def encoder(self, spec: dict):
