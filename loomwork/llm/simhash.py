@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import drop_scratch, fresh, only, scratch, slices, unknown
+from loomwork.llm.common import drop_scratch, fresh, join_counted, only, scratch, slices, unknown
 
 BUDGET = 3
 BITS = 64
@@ -352,18 +352,21 @@ def of_node(edges: DataFrame, known: DataFrame, n: int) -> DataFrame:
 
 
 def grouped(fps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
-    """fp, root, component_id of each distinct fingerprint of (doc_id, fp); root is the least fingerprint it can reach."""
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """fp, root, component_id, n of each distinct fingerprint of (doc_id, fp); root is the least fingerprint it can reach, n how many
+    rows have it."""
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     labels = components(links(least.select("fp"), fps.count(), node_rows))
-    named = least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(of_root, "root").select("fp", "root", "component_id")
+    named = scratch(least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "named")
+    # a giant component is a hot root
+    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    return join_counted(named, scratch(of_root, "roots"), "root").select("fp", "root", "component_id", "n")
 
 
 def near_duplicates(df: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, one row for each row of df."""
     fps = scratch(fingerprints(df), "fingerprints")
-    return fps.join(grouped(fps, node_rows).drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = scratch(grouped(fps, node_rows).select("fp", "component_id", F.col("n").alias("_n")), "components")
+    return join_counted(fps, groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
