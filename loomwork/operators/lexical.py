@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import tokens
 from loomwork.functions.vectors import score as rounded
-from loomwork.sources.tables import built_once, kept
+from loomwork.sources.tables import MOST_SENT, any_of, built_once, join_small, kept
 
 K1 = 1.2
 B = 0.75
 #: Distinct terms of a batch of queries that reach the scan of the postings as constants.
 MOST_TERMS = 2_000
+#: Documents of a part of the corpus, as a mean; a term's postings in a part are one block.
+PART_DOCS = 1_000
+#: Postings of a bucket of terms, as a mean, and how many buckets there are.
+BUCKET_POSTINGS = 2_000_000
+BUCKETS = (16, 4_096)
+#: Parts that are scored first for each query, those with the largest bounds.
+FIRST_PARTS = 8
+#: Scores are compared after rounding to six digits; a bound is kept if it is lower by less than this.
+SLACK = 2e-6
 
 
 def postings(docs: DataFrame, key: str, text: str, tokenize=tokens, within: list[str] | None = None) -> DataFrame:
@@ -34,13 +44,21 @@ def term_weight(tf: Column, dl: Column, avgdl: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """What BM25 needs of a corpus: postings (key, term, tf, dl), terms (term, df) and one row of statistics (n, avgdl)."""
+    """What BM25 needs of a corpus: postings (key, term, tf, dl), terms (term, df) and one row of statistics (n, avgdl).
+
+    A stored one has its postings in blocks: documents fall into parts by a hash of their key, and a block (term, part, most, keys, tfs,
+    dls) holds the postings of a term in a part, with the largest weight among them. Blocks are in folders by a hash of their term
+    and sorted by term within, so a search reads the folders, and in these the pages, of its own terms.
+    """
 
     postings: DataFrame
     terms: DataFrame
     statistics: DataFrame
     key: str
-    stored: bool = False
+    blocks: DataFrame | None = None
+    buckets: int = 0
+    parts: int = 0
+    value: Column | None = None
 
     @staticmethod
     def of(docs: DataFrame, key: str, text: str, tokenize=tokens) -> Index:
@@ -50,30 +68,86 @@ class Index:
         return Index(p, p.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats, key)
 
     @staticmethod
-    def at(spark: SparkSession, path: str, docs: DataFrame, key: str, text: str, tokenize=tokens) -> Index:
-        """The index stored at path; the first call builds it from docs.
-
-        Postings are sorted by term over ranges of (term, key), so a frequent term is spread over files, and a search reads
-        the row groups of its own terms.
-        """
-        made = Index.of(docs, key, text, tokenize)
-        # the ranges are taken from a sample, for which Spark makes its input a second time: so it reads what was written
-        p = built_once(spark, f"{path}/postings", lambda: kept(made.postings, "postings").repartitionByRange("term", key).sortWithinPartitions("term", key))
-        t = built_once(spark, f"{path}/terms", lambda: p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term"))
-        return Index(p, t, built_once(spark, f"{path}/statistics", lambda: made.statistics), key, True)
+    def at(spark: SparkSession, path: str, docs: DataFrame, key: str, text: str, tokenize=tokens, part_docs: int = PART_DOCS, buckets: int | None = None) -> Index:
+        """The index stored at path; the first call builds it from docs, whose texts it cuts into terms once."""
+        made: list[DataFrame] = []
+
+        def cut() -> DataFrame:
+            if not made:
+                made.append(kept(postings(docs, key, text, tokenize), "postings"))
+            return made[0]
+
+        def count() -> DataFrame:
+            sums = cut().agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_terms"), F.count(F.lit(1)).alias("_postings"))
+            n = F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))
+            most = F.lit(buckets) if buckets else F.least(F.greatest(F.ceil(F.col("_postings") / BUCKET_POSTINGS), F.lit(BUCKETS[0])), F.lit(BUCKETS[1]))
+            parts = F.greatest(F.ceil(F.col("n") / part_docs), F.lit(1))
+            return sums.crossJoin(n).select("n", (F.col("_terms") / F.col("n")).alias("avgdl"), most.cast("int").alias("buckets"), parts.cast("int").alias("parts"))
+
+        statistics = built_once(spark, f"{path}/statistics", count)
+        known = statistics.first()
+        terms = built_once(spark, f"{path}/terms", lambda: cut().groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term"))
+        blocks = built_once(spark, f"{path}/blocks", lambda: blocked(cut(), key, known["avgdl"], known["buckets"], known["parts"]), ("bucket",))
+        return Index(rows_of(blocks, key), terms, statistics.select("n", "avgdl"), key, blocks, known["buckets"], known["parts"])
+
+    @property
+    def stored(self) -> bool:
+        return self.blocks is not None
 
     def keyed(self, key: str, value: Column) -> Index:
         """The same index with another key, which must tell its documents apart too."""
         p = self.postings.select(value.alias(key), "term", "tf", "dl")
-        return Index(p, self.terms, self.statistics, key, self.stored)
+        return replace(self, postings=p, key=key, value=value)
+
+    def pages(self, wanted: DataFrame) -> tuple[Column, Column]:
+        """Conditions on bucket and term that the scans of blocks and terms can use, for the wanted terms (term, distinct)."""
+        some = wanted.select("term", bucket_of(F.col("term"), self.buckets).alias("b")).limit(MOST_TERMS + 1).collect()
+        if len(some) <= MOST_TERMS:
+            own = any_of("term", [r["term"] for r in some])
+            return F.col("bucket").isin(sorted({r["b"] for r in some})), own
+        asked = [r[0] for r in wanted.select(bucket_of(F.col("term"), self.buckets)).distinct().collect()]  # at most as many as there are folders
+        return F.col("bucket").isin(sorted(asked)), F.lit(True)
 
     def only(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Postings and terms of the wanted terms (term, distinct)."""
-        some = [r[0] for r in wanted.limit(MOST_TERMS + 1).collect()] if self.stored else None
-        if some is not None and len(some) <= MOST_TERMS:
-            keep = F.col("term").isin(some) if some else F.lit(False)
-            return self.postings.filter(keep), self.terms.filter(keep)
-        return self.postings.join(wanted, "term", "left_semi"), self.terms.join(wanted, "term", "left_semi")
+        if not self.stored:
+            return self.postings.join(wanted, "term", "left_semi"), self.terms.join(wanted, "term", "left_semi")
+        folder, own = self.pages(wanted)
+        return self.exploded(self.blocks.filter(folder & own).join(few(wanted), "term", "left_semi")), self.terms.filter(own).join(few(wanted), "term", "left_semi")
+
+    def exploded(self, blocks: DataFrame, *more: str) -> DataFrame:
+        """The postings of blocks, with the index's key."""
+        own = [c for c in self.blocks.columns if c not in ("term", "part", "most", "tfs", "dls", "bucket")][0]
+        rows = rows_of(blocks, own, *more)
+        return rows if self.value is None else rows.select(self.value.alias(self.key), "term", "tf", "dl", *more)
+
+
+def few(wanted: DataFrame) -> DataFrame:
+    """wanted, sent to every task if it is counted to be small."""
+    return F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts)).cast("int")
+
+
+def blocked(p: DataFrame, key: str, avgdl: float | None, buckets: int, parts: int) -> DataFrame:
+    """Postings as blocks. A block has a part's documents at most, so a frequent term is in many."""
+    weight = term_weight(F.col("tf"), F.col("dl"), F.lit(avgdl or 1.0))
+    held = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), "tf", "dl")))
+    by = p.groupBy("term", part_of(F.col(key), parts).alias("part")).agg(F.max(weight).alias("most"), held.alias("h"))
+    rows = by.select("term", "part", "most", F.col("h.k").alias(key), F.col("h.tf").alias("tfs"), F.col("h.dl").alias("dls"), bucket_of(F.col("term"), buckets).alias("bucket"))
+    return rows.repartitionByRange("bucket", "term", "part").sortWithinPartitions("bucket", "term", "part")
+
+
+def rows_of(blocks: DataFrame, key: str, *more: str) -> DataFrame:
+    """key, term, tf, dl of every posting of the blocks, and more of their columns."""
+    zipped = F.explode(F.arrays_zip(F.col(key).alias("k"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")))
+    return blocks.select("term", *more, zipped.alias("p")).select(F.col("p.k").alias(key), "term", F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"), *more)
 
 
 def query_terms(queries: DataFrame, qid: str, text: str, tokenize=tokens, distinct: bool = False) -> DataFrame:
@@ -82,17 +156,61 @@ def query_terms(queries: DataFrame, qid: str, text: str, tokenize=tokens, distin
     return t.groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf")).withColumn("qtf", F.lit(1) if distinct else F.col("qtf"))
 
 
+def weights(index: Index, queries: DataFrame, qid: str, qtext: str, tokenize, distinct: bool) -> tuple[DataFrame, DataFrame]:
+    """(qid, term, avgdl, w) of the queries' terms that the corpus has, and the distinct terms."""
+    terms = query_terms(queries, qid, qtext, tokenize, distinct)
+    wanted = kept(terms.select("term").distinct(), "terms-wanted") if index.stored else terms.select("term").distinct()
+    df = index.terms.filter(index.pages(wanted)[1]) if index.stored else index.only(wanted)[1]
+    weighted = terms.join(df, "term").crossJoin(F.broadcast(index.statistics)).select(qid, "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"))
+    return weighted, wanted
+
+
 def search(index: Index, queries: DataFrame, qid: str = "query_id", qtext: str = "query", tokenize=tokens, distinct: bool = False) -> DataFrame:
     """qid, key, score of the documents that share a term with a query, under corpus-wide statistics.
 
     The postings of a frequent term stay where they are read: weights of a query's terms are joined to them, and partial
     sums of a document's score are what is shuffled.
     """
-    terms = query_terms(queries, qid, qtext, tokenize, distinct)
-    p, df = index.only(terms.select("term").distinct())
-    weighted = terms.join(df, "term").crossJoin(F.broadcast(index.statistics)).select(qid, "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"))
+    weighted, wanted = weights(index, queries, qid, qtext, tokenize, distinct)
+    if index.stored:
+        folder, own = index.pages(wanted)
+        return added_up(index, join_small(index.blocks.filter(folder & own), kept(weighted, "terms-weighted"), "term"), qid)
     part = F.col("w") * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return p.join(weighted, "term").groupBy(qid, index.key).agg(F.sum(part).alias("score"))
+    return index.only(wanted)[0].join(weighted, "term").groupBy(qid, index.key).agg(F.sum(part).alias("score"))
+
+
+def added_up(index: Index, blocks: DataFrame, qid: str) -> DataFrame:
+    """qid, key, score from blocks that have the weights of queries beside them."""
+    part = F.col("w") * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    return index.exploded(blocks, qid, "w", "avgdl").groupBy(qid, index.key).agg(F.sum(part).alias("score"))
+
+
+def search_top(index: Index, queries: DataFrame, k: int, qid: str = "query_id", qtext: str = "query", tokenize=tokens, distinct: bool = False, digits: int = 6, first_parts: int = FIRST_PARTS) -> DataFrame:
+    """top_k() of search(), without scoring parts of the corpus that can't hold one of the k best.
+
+    A query's bound in a part is the sum, over its terms, of weight times the largest weight in the term's block there: no document of
+    the part scores more. The parts with the largest bounds are scored first. The k-th best of their documents is a score that the k
+    best have at least, so of the other parts only those are scored whose bound reaches it. Bounds are read from the blocks'
+    own columns; the lists of postings are neither read for them nor joined, exploded or shuffled in parts that are left out.
+    """
+    if not index.stored or index.parts <= 2 * first_parts:
+        return top_k(search(index, queries, qid, qtext, tokenize, distinct), k, qid, index.key, digits)
+    made, wanted = weights(index, queries, qid, qtext, tokenize, distinct)
+    weighted = kept(made, "terms-weighted")
+    folder, own = index.pages(wanted)
+    there = index.blocks.filter(folder & own)
+    bounds = join_small(there.select("term", "part", "most"), weighted, "term").groupBy(qid, "part").agg(F.sum(F.col("w") * F.col("most")).alias("bound"))
+    bounds = kept(bounds, "part-bounds")
+    best = Window.partitionBy(qid).orderBy(F.col("bound").desc(), "part")
+    first = bounds.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= first_parts).select(qid, "part")
+
+    def scored(parts: DataFrame) -> DataFrame:
+        return added_up(index, join_small(join_small(there, weighted, "term"), parts, [qid, "part"]), qid)
+
+    early = kept(scored(kept(first, "first-parts")), "first-scores")
+    least = top_k(early, k, qid, index.key, digits).filter(F.col("rank") == k).select(qid, F.col("score").alias("_least"))
+    late = bounds.join(first, [qid, "part"], "left_anti").join(least, qid, "left").filter(F.col("bound") + SLACK * 10 ** (6 - digits) >= F.coalesce("_least", F.lit(0.0))).select(qid, "part")
+    return top_k(early.unionByName(scored(kept(late, "later-parts"))), k, qid, index.key, digits)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", qid: str = "query_id", qtext: str = "query", tokenize=tokens, distinct: bool = False) -> DataFrame:

@@ -188,6 +188,6 @@ def graph_answer(questions: DataFrame, nodes: DataFrame, edges: DataFrame, answe
 def bm25_chat(queries: DataFrame, chunks: DataFrame, k: int = 5, answer=models.answer, index: lexical.Index | None = None) -> DataFrame:
     """query_id, context, answer: passages by BM25 alone. index is a stored one of the chunks' search_tokens(), by chunk_id."""
     known = index or lexical.Index.of(chunks, "chunk_id", "content", T.search_tokens)
-    found = lexical.top_k(lexical.search(known, queries, tokenize=T.search_tokens), k, tie="chunk_id")
+    found = lexical.search_top(known, queries, k, tokenize=T.search_tokens)
     scored = join_small(chunks.select("chunk_id", "content"), found.withColumn("score", rounded(F.col("score"), 3)), "chunk_id", rows=queries.count() * k, most=MOST_HITS)
     return prompt.passages(queries.select("query_id"), scored).withColumn("answer", answer(F.col("context")))

@@ -28,8 +28,8 @@ from loomwork.plans.base import (
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r)
     SELECT query_id, doc_id, floor(score * 1000 + 0.5) / 1000 AS score, rank FROM k WHERE rank <= 5""")
 def bm25_topk(spark, d):
-    scored = X.search(index(spark, d, T.search_tokens), questions(spark, d), tokenize=T.search_tokens)
-    return X.top_k(scored, 5).withColumn("score", V.score(F.col("score"), 3)).select("query_id", "doc_id", "score", "rank")
+    found = X.search_top(index(spark, d, T.search_tokens), questions(spark, d), 5, tokenize=T.search_tokens)
+    return found.withColumn("score", V.score(F.col("score"), 3)).select("query_id", "doc_id", "score", "rank")
 
 
 @query("keyword_topk_norm", f"WITH {QUESTIONS}, {sql_keyword_top(10)} SELECT query_id, doc_id, score, rank FROM kw")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Tables of texts, where the work on a row outweighs moving it.
 TEXTS = ("documents", "pages", "conversations")
+#: Values of which each reaches the pages of a Parquet scan; more are one condition of their least and largest there.
+MOST_ALONE = 300
 #: Rows of a side that is sent to every task.
 MOST_SENT = 50_000
 
@@ -91,6 +93,20 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def any_of(column: str, values: list) -> Column:
+    """column is one of the values. A scan prunes by each comparison of a disjunction, but not by a long list of values."""
+    if not values:
+        return F.lit(False)
+    return tree([F.col(column) == v for v in sorted(values)]) if len(values) <= MOST_ALONE else F.col(column).isin(values)
+
+
+def tree(conditions: list[Column]) -> Column:
+    """Their disjunction, no deeper than it must be."""
+    while len(conditions) > 1:
+        conditions = [a | b for a, b in zip(conditions[::2], conditions[1::2], strict=False)] + ([conditions[-1]] if len(conditions) % 2 else [])
+    return conditions[0]
+
+
 def join_small(big: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "inner", most: int = MOST_SENT, rows: int | None = None) -> DataFrame:
     """big joined to small, such as the keywords of a batch of questions, which is counted first unless a bound is known (rows).
 
