@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomwork.functions.text import keywords
 from loomwork.functions.vectors import score as rounded
 from loomwork.operators.lexical import idf
-from loomwork.sources.tables import built_once, join_small
+from loomwork.sources.tables import MOST_ALONE, built_once, join_small, tree
 
 PATH_LIMIT = 10
 FULLTEXT_LIMIT = 30
@@ -202,10 +202,28 @@ def word_index(nodes: DataFrame) -> DataFrame:
 
 
 def stored_index(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
-    """word_index() kept at path, sorted by word, which the first call builds; a search reads the row groups of its words."""
+    """word_index() kept at path, sorted by word, which the first call builds; a search reads the pages of its keywords' ranges."""
     return built_once(spark, path, lambda: word_index(nodes).repartitionByRange("word", "id").sortWithinPartitions("word", "id"))
 
 
+def ranges_of(keywords: list[str]) -> Column:
+    """word begins with one of the keywords, as ranges that a scan can prune by: [keyword, what comes after all that begin with it)."""
+    return tree([(F.col("word") >= k) & (F.col("word") < k[:-1] + chr(ord(k[-1]) + 1)) for k in sorted(keywords)]) if keywords else F.lit(False)
+
+
+def by_prefix(words: DataFrame, each: DataFrame, rows: int | None = None) -> DataFrame:
+    """words with kw, one row for each of the distinct keywords `each` (kw) that the word begins with.
+
+    A word is cut to the lengths that keywords have, of which there are few, and its beginnings are looked up by an equi-join. Up to
+    MOST_ALONE keywords are ranges of the sorted index too, so that their pages alone are read.
+    """
+    some = [r[0] for r in each.limit(MOST_ALONE + 1).collect()]
+    lengths = sorted({len(k) for k in some}) if len(some) <= MOST_ALONE else sorted(r[0] for r in each.select(F.length("kw")).distinct().collect())
+    near = words.filter(ranges_of(some)) if len(some) <= MOST_ALONE else words
+    begins = F.transform(F.array(*(F.lit(n) for n in lengths)) if lengths else F.array().cast("array<int>"), lambda n: F.when(F.length("word") >= n, F.substring("word", F.lit(1), n)))
+    return join_small(near.withColumn("kw", F.explode(begins)).filter(F.col("kw").isNotNull()), each, "kw", rows=rows)
+
+
 def full_text(nodes: DataFrame, kws: DataFrame, qid: str = "qid", limit: int = FULLTEXT_LIMIT, index: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """qid, id, name, label, score, n: nodes whose field words begin with a keyword, by idf summed over keywords hit.
 
@@ -214,10 +232,9 @@ def full_text(nodes: DataFrame, kws: DataFrame, qid: str = "qid", limit: int = F
     words = word_index(nodes) if index is None else index
     plain = kws.select(qid, F.lower(F.regexp_replace("keyword", "[^a-zA-Z0-9]", "")).alias("kw")).filter(F.col("kw") != "").distinct()
     each = plain.select("kw").distinct()
-    # words are compared with the distinct keywords alone; who asked for them is joined to what was found
-    found = join_small(words, each, F.startswith(F.col("word"), F.col("kw")), rows=rows).select("kw", "id", "name", "label").distinct()
-    n = nodes.agg(F.count(F.lit(1)).alias("_n"))
-    df = found.groupBy("kw").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(n)).select("kw", idf(F.col("_n"), F.col("_df")).alias("w"))
+    # words are looked up for the distinct keywords alone; who asked for them is joined to what was found
+    found = by_prefix(words, each, rows).select("kw", "id", "name", "label").distinct()
+    df = found.groupBy("kw").agg(F.count(F.lit(1)).alias("_df")).select("kw", idf(F.lit(nodes.count()), F.col("_df")).alias("w"))
     scored = found.join(df, "kw").join(plain, "kw").groupBy(qid, "id", "name", "label").agg(F.sum("w").alias("score")).withColumn("score", rounded(F.col("score")))
     w = Window.partitionBy(qid).orderBy(F.col("score").desc(), "name", "id")
     return scored.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit)

@@ -82,12 +82,12 @@ class Index:
             n = F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))
             most = F.lit(buckets) if buckets else F.least(F.greatest(F.ceil(F.col("_postings") / BUCKET_POSTINGS), F.lit(BUCKETS[0])), F.lit(BUCKETS[1]))
             parts = F.greatest(F.ceil(F.col("n") / part_docs), F.lit(1))
-            return sums.crossJoin(n).select("n", (F.col("_terms") / F.col("n")).alias("avgdl"), most.cast("int").alias("buckets"), parts.cast("int").alias("parts"))
+            return sums.crossJoin(n).select("n", F.try_divide("_terms", "n").alias("avgdl"), most.cast("int").alias("buckets"), parts.cast("int").alias("parts"))
 
         statistics = built_once(spark, f"{path}/statistics", count)
         known = statistics.first()
         terms = built_once(spark, f"{path}/terms", lambda: cut().groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term"))
-        blocks = built_once(spark, f"{path}/blocks", lambda: blocked(cut(), key, known["avgdl"], known["buckets"], known["parts"]), ("bucket",))
+        blocks = built_once(spark, f"{path}/blocks", lambda: blocked(cut(), key, known["avgdl"], known["buckets"], known["parts"]), ("bucket",), f"term string, part int, most double, `{key}` array<{docs.schema[key].dataType.simpleString()}>, tfs array<bigint>, dls array<bigint>, bucket int")
         return Index(rows_of(blocks, key), terms, statistics.select("n", "avgdl"), key, blocks, known["buckets"], known["parts"])
 
     @property

@@ -17,9 +17,11 @@ from loomwork.operators import prompt as G
 from loomwork.operators import query_transforms as Q
 from loomwork.operators import rerank as R
 from loomwork.operators import search as S
+from loomwork.operators.vector_index import VectorIndex
 from loomwork.plans.base import (
-    CANDIDATES, DOCS, QUESTIONS, TODAY, candidates, docs, index, query, questions, sql_bm25, sql_keyword_top, sql_round, sql_search_tokens, sql_term_vectors, sql_tokens, table, term_vectors, today,
+    CANDIDATES, DOCS, QUESTIONS, TODAY, candidates, docs, index, query, questions, sql_bm25, sql_keyword_top, sql_round, sql_search_tokens, sql_term_vectors, sql_tokens, states, table, term_vectors, today,
 )
+from loomwork.sources.tables import shared_dir
 
 # --- lexical
 
@@ -104,6 +106,25 @@ def vector_topk(spark, d):
     return S.vector_top_k(q, e, 10, key="vec_id")
 
 
+def vector_index(spark, d):
+    """The cells of the embeddings, kept in the shared folder."""
+    e = table(spark, d, "embeddings")
+    return VectorIndex.at(spark, f"{shared_dir(spark)}/cells-{states(spark, d, 'embeddings')}", e, "vec_id")
+
+
+@query("vector_ann_topk")
+def vector_ann_topk(spark, d):
+    return vector_index(spark, d).search(vectors(spark, d)[0], 10)
+
+
+@query("vector_ann_recall")
+def vector_ann_recall(spark, d):
+    """How many of the ten nearest vectors of each query the index finds."""
+    exact = vector_topk(spark, d).select("query_id", "vec_id")
+    found = vector_ann_topk(spark, d).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found"))
+
+
 @query("vector_threshold", f"WITH {sql_vector_top(5, 'score >= 0.7')} SELECT query_id, vec_id, score, rank FROM vt")
 def vector_threshold(spark, d):
     q, e = vectors(spark, d)

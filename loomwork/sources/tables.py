@@ -68,8 +68,9 @@ def state_of(spark: SparkSession, path: str) -> str:
     return hashlib.sha256(repr((path, files)).encode()).hexdigest()[:24]
 
 
-def built_once(spark: SparkSession, path: str, make, by: tuple[str, ...] = ()) -> DataFrame:
-    """The Parquet table at path, in folders by some columns; the first call writes it from make().
+def built_once(spark: SparkSession, path: str, make, by: tuple[str, ...] = (), shape: str | None = None) -> DataFrame:
+    """The Parquet table at path, in folders by some columns; the first call writes it from make(). shape is its schema, which a table in
+    folders needs where it may be without rows.
 
     It is written beside and renamed when complete, so a job that dies leaves nothing that looks like the table, and of two
     that write it at once one wins.
@@ -81,7 +82,7 @@ def built_once(spark: SparkSession, path: str, make, by: tuple[str, ...] = ()) -
         other = spark._jvm.org.apache.hadoop.fs.Path(beside)
         if fs.exists(p) or not fs.rename(other, p):
             fs.delete(other, True)
-    return spark.read.parquet(path)
+    return (spark.read.schema(shape) if shape else spark.read).parquet(path)
 
 
 def kept(df: DataFrame, tag: str) -> DataFrame:
