@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.text import is_blank
 from loomwork.operators.lifecycle import content_hash
+from loomwork.sources.tables import kept as keep
 
 MOST_ANSWERS = 500
 ANSWER_TTL = "30 minutes"
@@ -47,7 +48,7 @@ def embed_cached(texts: DataFrame, cache: DataFrame, now: Column, make, text: st
     hashed = texts.withColumn("hash", content_hash(F.col(text)))
     live = sweep(cache, now).select("hash", "embedding")
     missing = hashed.groupBy("hash").agg(F.first(text).alias(text)).join(live, "hash", "left_anti")
-    made = make(missing).select("hash", "embedding")
+    made = keep(make(missing).select("hash", "embedding"), "embeddings-made")  # both results use it
     found = hashed.join(live.unionByName(made), "hash", "left").drop("hash")
     start = cache.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_start"))
     ranked = made.orderBy(F.col("hash").desc()).limit(most).withColumn("_n", F.row_number().over(Window.orderBy("hash")))

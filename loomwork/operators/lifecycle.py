@@ -18,20 +18,14 @@ def content_hash(c: Column) -> Column:
 
 def first_seen(chunks: DataFrame, seen: DataFrame | None = None, now: Column | None = None, order: tuple[str, ...] = ("identity", "chunk_index"), text: str = "content") -> DataFrame:
     """chunks whose content comes first in the given order and isn't among `seen` (hash, expires_at) that are still live."""
-    hashed = chunks.withColumn("_h", content_hash(F.col(text)))
-    least = hashed.groupBy("_h").agg(F.min(F.struct(*order)).alias("_first"))
-    kept = hashed.join(least, "_h").filter(F.struct(*order) == F.col("_first")).dropDuplicates(["_h"])
+    # a content that very many chunks have, such as the blank one, is reduced before it is shuffled
+    row = F.struct(*(F.col(f"`{c}`") for c in chunks.columns))
+    first = chunks.groupBy(content_hash(F.col(text)).alias("_h")).agg(F.min_by(row, F.struct(*order)).alias("_row"))
+    kept = first.select("_h", "_row.*")
     if seen is not None:
         live = seen if now is None else seen.filter(F.col("expires_at") > now)
         kept = kept.join(live.select(F.col("hash").alias("_h")), "_h", "left_anti")
-    return kept.drop("_h", "_first")
-
-
-def group_key(identity: Column, order: Column) -> Column:
-    """The identity; a blank one becomes anon-N, counted over the documents without one."""
-    blank = F.trim(F.coalesce(identity, F.lit(""))) == ""
-    n = F.row_number().over(Window.partitionBy(blank).orderBy(order)) - 1
-    return F.when(blank, F.concat(F.lit("anon-"), n.cast("string"))).otherwise(identity)
+    return kept.drop("_h")
 
 
 def range_of(df: DataFrame, order: str, ranges: int) -> Column:
