@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import html_to_text, is_blank, latin1
-from loomwork.sources.pdf import pdf_pages
+from loomwork.sources.pdf import paragraphs, pdf_pages
 
 # File name endings and the kind of document they hold.
 KINDS = {
@@ -24,6 +24,7 @@ KINDS = {
     **{e: "FILE" for e in ("txt", "json", "xlsx", "xls", "docx", "doc", "pptx", "ppt", "html", "htm")},
 }
 COLUMNS = ["identity", "source", "file_name", "page", "content", "metadata"]
+DOCUMENT = "identity string, source string, file_name string, page int, content string, metadata map<string,string>"
 OCR_LEAST_CHARS = 40
 
 
@@ -149,40 +150,53 @@ PARSERS: dict[str, Callable[[bytes], list[tuple[int | None, str]]]] = {
 }
 
 
-def files(spark: SparkSession, path: str, parsers: dict | None = None, glob: str = "*", ocr: Callable[[bytes, int | None], str] | None = None, least_chars: int = OCR_LEAST_CHARS) -> DataFrame:
+def parsers_of(granularity: str = "page") -> dict[str, Callable[[bytes], list[tuple[int | None, str]]]]:
+    """The parsers by file ending; of PDF files a document is a page or a paragraph."""
+    if granularity not in ("page", "paragraph"):
+        raise ValueError(f"unknown granularity: {granularity}")
+    return PARSERS | ({"pdf": paragraphs} if granularity == "paragraph" else {})
+
+
+def rows_of_file(path: str, data: bytes, known: dict, ocr: Callable[[bytes, int | None], str] | None = None, least_chars: int = OCR_LEAST_CHARS) -> list[tuple]:
+    """The documents of one file."""
+    name = path.rpartition("/")[2]
+    try:
+        label = kind_of(name)
+        pages = known[name.rpartition(".")[2].lower()](data)
+    except Exception as e:  # one unreadable file must not end the job: it is reported in its row
+        return [(f"FILE#{name}", "FILE", name, None, None, [("error", f"{type(e).__name__}: {e}")])]
+    rows = []
+    for page, text in pages:
+        meta = []
+        if ocr and len(text) < least_chars:
+            try:
+                seen = ocr(data, page)
+            except Exception:
+                seen = ""
+            if seen.strip():
+                text, meta = seen, [("ocr", "true")]
+        rows.append((f"{label}#{name}", label, name, page, text, meta))
+    return rows
+
+
+def files(spark: SparkSession, path: str, parsers: dict | None = None, glob: str = "*", ocr: Callable[[bytes, int | None], str] | None = None, least_chars: int = OCR_LEAST_CHARS, granularity: str = "page") -> DataFrame:
     """Documents of a folder by file ending. Files without a parser give a row with null content and metadata.error.
 
     Pages with fewer than least_chars characters are read again by ocr, if there is one; blank or failed OCR changes nothing.
     """
-    known = {**PARSERS, **(parsers or {})}
+    known = {**parsers_of(granularity), **(parsers or {})}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for path_, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                name = path_.rpartition("/")[2]
-                try:
-                    label = kind_of(name)
-                    pages = known[name.rpartition(".")[2].lower()](data)
-                except Exception as e:  # one unreadable file must not end the job: it is reported in its row
-                    rows.append((f"FILE#{name}", "FILE", name, None, None, [("error", f"{type(e).__name__}: {e}")]))
-                    continue
-                for page, text in pages:
-                    meta = []
-                    if ocr and len(text) < least_chars:
-                        try:
-                            seen = ocr(data, page)
-                        except Exception:
-                            seen = ""
-                        if seen.strip():
-                            text, meta = seen, [("ocr", "true")]
-                    rows.append((f"{label}#{name}", label, name, page, text, meta))
+                rows += rows_of_file(path_, data, known, ocr, least_chars)
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], COLUMNS)
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-    return raw.mapInArrow(run, "identity string, source string, file_name string, page int, content string, metadata map<string,string>")
+    return raw.mapInArrow(run, DOCUMENT)
 
 
 #: Rows of a table that are written as one text.
