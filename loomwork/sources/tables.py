@@ -87,10 +87,12 @@ def built_once(spark: SparkSession, path: str, make, by: tuple[str, ...] = (), s
 
 def kept(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back, for rows that a plan uses several times over: they are made
-    once, and a lost executor takes nothing with it."""
+    once, and a lost executor takes nothing with it. They are deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
