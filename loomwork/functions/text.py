@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -87,12 +88,16 @@ def normalize(c: Column, pii: bool = False) -> Column:
 
 
 def normalize_nfkc(df: DataFrame, column: str, pii: bool = False) -> DataFrame:
-    """df with the column in NFKC and then normalised. Batches pass through Arrow's own normaliser, no text becomes a Python object."""
+    """df with the column in NFKC and then normalised. Only texts beyond ASCII become Python objects; Arrow's own normaliser isn't
+    used, as in some of its builds it leaves letters and their marks apart."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            plain = pc.utf8_normalize(b.column(column).cast(pa.string()), form="NFKC")
+            plain = b.column(column).cast(pa.string())
+            odd = pc.fill_null(pc.invert(pc.string_is_ascii(plain)), False)
+            composed = pa.array([unicodedata.normalize("NFKC", t) for t in plain.filter(odd).to_pylist()], pa.string())
+            plain = pc.replace_with_mask(plain, odd, composed)
             yield pa.RecordBatch.from_arrays([plain if n == column else b.column(n) for n in names], names)
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)

@@ -86,12 +86,17 @@ def union_sources(spark, d):
 
 NOISY = "concat(text, '\t \r\n x\x01y  \n\n\n\nz ')"
 SQL_NOISY = "text || chr(9) || ' ' || chr(13) || chr(10) || ' x' || chr(1) || 'y  ' || repeat(chr(10), 4) || 'z '"
-SQL_NORMAL = SQL_NOISY
-for _p, _r in ((r"\r\n?", "\n"), (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]", " "), (r"[ \t]{2,}", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")):
-    SQL_NORMAL = f"regexp_replace({SQL_NORMAL}, {lit(_p)}, {lit(_r)}, 'g')"
+NORMAL_STEPS = ((r"\r\n?", "\n"), (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]", " "), (r"[ \t]{2,}", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"))
 
 
-@query("normalize_text", f"SELECT doc_id, regexp_replace({SQL_NORMAL}, {STRIP}, '', 'g') AS content FROM documents")
+def sql_normal(c: str) -> str:
+    """Normalised text, but for compatibility forms."""
+    for p, r in NORMAL_STEPS:
+        c = f"regexp_replace({c}, {lit(p)}, {lit(r)}, 'g')"
+    return f"regexp_replace({c}, {STRIP}, '', 'g')"
+
+
+@query("normalize_text", f"SELECT doc_id, {sql_normal(SQL_NOISY)} AS content FROM documents")
 def normalize_text(spark, d):
     noisy = F.concat("text", F.lit("\t \r\n x\x01y  \n\n\n\nz "))
     return table(spark, d, "documents").select("doc_id", T.normalize(noisy).alias("content"))
@@ -223,6 +228,30 @@ def sql_windows(size: int, overlap: int, c: str = "text") -> str:
     return f"list_transform(range(0, greatest(length({c}) - {overlap}, 1), {size - overlap}), lambda i: substr({c}, i + 1, {size}))"
 
 
+def sql_recursive(of: str = "documents", separators: tuple[str, ...] = ("chr(10) || chr(10)", "chr(10)", "' '", "''")) -> str:
+    """Recursive cuts of <of>(doc_id, text): texts are split level by level; at each level the pieces that fit, between two that
+    don't, are a run, whose chunks are walked from end to end over the places where pieces end."""
+    levels = ["c0 AS (SELECT doc_id, []::BIGINT[] AS path, text AS t FROM x WHERE length(text) > 1000)"]
+    for k, sep in enumerate(separators):
+        last = k == len(separators) - 1
+        pieces = "list_transform(range(0, length(t), 1000), lambda i: substr(t, i + 1, 1000))" if last else f"list_transform(string_split(t, {sep}), lambda p: p || {sep})"
+        big = "FALSE" if last else "length(p) > 1000"
+        levels.append(f"p{k} AS (SELECT *, {big} AS big FROM (SELECT doc_id, path, unnest({pieces}) AS p, unnest(range(0, len({pieces}))) AS i FROM c{k}))")
+        levels.append(f"g{k} AS (SELECT *, count(*) FILTER (big) OVER (PARTITION BY doc_id, path ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM p{k})")
+        levels.append(f"e{k} AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id, path, g ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM g{k} WHERE NOT big)")
+        levels.append(f"r{k} AS (SELECT doc_id, list_append(path, min(i)) AS path, string_agg(p, '' ORDER BY i) AS t, list(e ORDER BY i) AS ends FROM e{k} GROUP BY doc_id, path, g)")
+        if not last:
+            levels.append(f"c{k + 1} AS (SELECT doc_id, list_append(path, i) AS path, p AS t FROM p{k} WHERE big)")
+    runs = " UNION ALL ".join(f"SELECT doc_id, path, t, ends FROM r{k}" for k in range(len(separators)))
+    next_end = "coalesce(list_max(list_filter(ends, lambda x: x > b AND x <= a2 + 1000)), list_min(list_filter(ends, lambda x: x > b)))"
+    return f"""WITH RECURSIVE x AS (SELECT doc_id, coalesce(text, '') AS text FROM {of}), {", ".join(levels)},
+        runs AS (SELECT doc_id, []::BIGINT[] AS path, text AS t, [length(text)::BIGINT] AS ends FROM x WHERE length(text) BETWEEN 1 AND 1000 UNION ALL {runs}),
+        w AS (SELECT doc_id, path, t, ends, 0::BIGINT AS a, 0::BIGINT AS b FROM runs
+            UNION ALL SELECT doc_id, path, t, ends, a2, {next_end} FROM (SELECT *, greatest(b - 150, CASE WHEN b = 0 THEN 0 ELSE a END) AS a2 FROM w WHERE b < ends[-1])),
+        s AS (SELECT doc_id, path, a, b, {sql_strip("substr(t, a + 1, b - a)")} AS content FROM w WHERE b > 0)
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY path, b) - 1)::BIGINT AS chunk_index, content, 'recursive' AS chunk_strategy FROM s WHERE content <> ''"""
+
+
 @query("chunk_fixed", sql_finish(sql_windows(1000, 150), "fixed"))
 def chunk_fixed(spark, d):
     return chunked(C.fixed(docs(spark, d)))
@@ -270,7 +299,16 @@ def chunk_route(spark, d):
     return docs(spark, d).select("doc_id", C.route(F.col("source")).alias("strategy"))
 
 
-@query("chunk_by_route")
+def sql_by_route(docs_: str = "docs") -> str:
+    """Chunks of <docs_>(doc_id, source, content) by their source's strategy."""
+    of = lambda source, shown="text": f"(SELECT doc_id, {shown} FROM (SELECT doc_id, content AS text FROM {docs_} WHERE source = '{source}'))"
+    token = sql_finish("list_transform(range(0, len(t), 800), lambda i: array_to_string(t[i + 1:i + 800], ' '))", "token", of("FILE", f"{sql_tokens('text')} AS t"))
+    heads = sql_finish(r"string_split(regexp_replace(text, '\n(#+\s)', chr(1) || '\1', 'g'), chr(1))", "markdown", of("WIKI"))
+    row = f"SELECT doc_id, 0::BIGINT AS chunk_index, content, 'db' AS chunk_strategy FROM {docs_} WHERE source = 'DB'"
+    return " UNION ALL ".join(f"SELECT * FROM ({part})" for part in (sql_recursive(of("PDF")), token, heads, row))
+
+
+@query("chunk_by_route", f"WITH {DOCS} {sql_by_route()}")
 def chunk_by_route(spark, d):
     return chunked(C.chunk(docs(spark, d)))
 
@@ -302,12 +340,21 @@ def chunk_summary(spark, d):
     return docs(spark, d).select("doc_id", C.summary(F.col("content")).alias("section_summary"))
 
 
-@query("chunk_recursive")
+@query("chunk_recursive", sql_recursive())
 def chunk_recursive(spark, d):
     return chunked(C.recursive(docs(spark, d)))
 
 
-@query("chunk_semantic")
+@query("chunk_semantic", rf"""WITH RECURSIVE p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+|\n{{2,}}', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+    u AS (SELECT doc_id, k, {sql_strip("part")} AS s FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM p)),
+    s AS (SELECT doc_id, s, length(s) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM u WHERE s <> ''),
+    w AS (SELECT doc_id, i, term, count(*)::DOUBLE AS n FROM (SELECT doc_id, i, unnest({sql_tokens("s")}) AS term FROM s) GROUP BY ALL),
+    nm AS (SELECT doc_id, i, sum(n * n) AS n2 FROM w GROUP BY ALL),
+    dt AS (SELECT b.doc_id, b.i, sum(a.n * b.n) AS dot FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.i + 1 = b.i AND a.term = b.term GROUP BY ALL),
+    sm AS (SELECT s.doc_id, s.i, s.n, coalesce(dot / sqrt(x.n2 * y.n2), 0) >= 0.8 AS near FROM s LEFT JOIN dt USING (doc_id, i) LEFT JOIN nm x ON x.doc_id = s.doc_id AND x.i = s.i LEFT JOIN nm y ON y.doc_id = s.doc_id AND y.i + 1 = s.i),
+    r AS (SELECT doc_id, i, n AS used, 0::BIGINT AS chunk_index FROM sm WHERE i = 1
+        UNION ALL SELECT sm.doc_id, sm.i, CASE WHEN near AND used + sm.n <= 1500 THEN used + 1 + sm.n ELSE sm.n END, CASE WHEN near AND used + sm.n <= 1500 THEN r.chunk_index ELSE r.chunk_index + 1 END FROM r JOIN sm ON sm.doc_id = r.doc_id AND sm.i = r.i + 1)
+    SELECT doc_id, chunk_index, string_agg(s, ' ' ORDER BY i) AS content, 'semantic' AS chunk_strategy FROM r JOIN s USING (doc_id, i) GROUP BY doc_id, chunk_index""")
 def chunk_semantic(spark, d):
     return chunked(C.semantic(docs(spark, d)))
 
