@@ -27,11 +27,10 @@ FIRST_PARTS = 8
 SLACK = 2e-6
 
 
-def postings(docs: DataFrame, key: str, text: str, tokenize=tokens, within: list[str] | None = None) -> DataFrame:
-    """[within,] key, term, tf, dl. Terms are counted in the row's task first; documents without terms have none."""
-    by = [*(within or []), key]
-    t = docs.select(*by, tokenize(F.col(text)).alias("_t")).withColumn("dl", F.size("_t").cast("long"))
-    return t.select(*by, "dl", F.explode("_t").alias("term")).groupBy(*by, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def postings(docs: DataFrame, key: str, text: str, tokenize=tokens) -> DataFrame:
+    """key, term, tf, dl. Terms are counted in the row's task first; documents without terms have none."""
+    t = docs.select(key, tokenize(F.col(text)).alias("_t")).withColumn("dl", F.size("_t").cast("long"))
+    return t.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -230,13 +229,18 @@ def by_maximum(scored: DataFrame, by: str = "query_id") -> DataFrame:
     return scored.withColumn("score", F.when(top > 0, F.col("score") / top).otherwise(F.lit(0.0)))
 
 
-def bm25_candidates(candidates: DataFrame, by: str = "query_id", key: str = "doc_id", text: str = "text", query: str = "query") -> DataFrame:
-    """candidates with bm25: statistics are those of each query's own candidates, query terms count once."""
-    size = F.size(tokens(F.col(text)))
-    stats = candidates.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("avgdl"))
-    terms = candidates.select(by, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term")).distinct()
-    p = postings(candidates, key, text, tokens, [by]).join(terms, [by, "term"], "left_semi")
-    df = p.groupBy(by, "term").agg(F.count(F.lit(1)).alias("df"))
-    part = idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    scores = p.join(df, [by, "term"]).join(stats, by).groupBy(by, key).agg(F.sum(part).alias("bm25"))
-    return candidates.join(scores, [by, key], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+def bm25_candidates(candidates: DataFrame, by: str = "query_id", text: str = "text", query: str = "query") -> DataFrame:
+    """candidates with bm25: statistics are those of each query's own candidates, query terms count once.
+
+    All rows of a query have the same query text, and no more than the over-fetch allows. Each row counts the query's terms by itself and
+    the rest are windows over its query, so the rows move once, as they do for ranking anyway.
+    """
+    of = Window.partitionBy(by)
+    # within the one element of an array, terms and words are names of values; as columns they would be cut again at each use
+    cut = F.array(F.struct(F.array_distinct(tokens(F.col(query))).alias("asked"), tokens(F.col(text)).alias("words")))
+    hits = F.transform(cut, lambda x: F.struct(x["asked"].alias("asked"), F.size(x["words"]).alias("dl"), F.filter(x["words"], lambda w: F.array_contains(x["asked"], w)).alias("hits")))
+    own = F.transform(hits, lambda x: F.struct(x["dl"].alias("dl"), F.transform(x["asked"], lambda t: F.size(F.filter(x["hits"], lambda w: w == t))).alias("tf")))[0]
+    df = candidates.withColumn("_own", own).withColumns({"_n": F.count(F.lit(1)).over(of), "_avgdl": F.avg("_own.dl").over(of), "_all": F.collect_list("_own.tf").over(of)})
+    rarity = F.transform("_own.tf", lambda _, i: idf(F.col("_n"), F.size(F.filter("_all", lambda tf: tf[i] > 0))))
+    parts = F.zip_with("_own.tf", rarity, lambda tf, r: F.when(tf > 0, r * term_weight(tf, F.col("_own.dl"), F.col("_avgdl"))).otherwise(F.lit(0.0)))
+    return df.withColumn("bm25", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)).drop("_own", "_n", "_avgdl", "_all")

@@ -19,13 +19,13 @@ def order_by_score(df: DataFrame, qid: str = "query_id", order: str = "ord") ->
 
 def bm25(df: DataFrame, qid: str = "query_id", key: str = "doc_id", text: str = "content", query: str = "query") -> DataFrame:
     """BM25 over each query's candidates, divided by the best."""
-    scored = bm25_candidates(df, qid, key, text, query).withColumn("score", rounded(F.col("bm25"))).drop("bm25")
+    scored = bm25_candidates(df, qid, text, query).withColumn("score", rounded(F.col("bm25"))).drop("bm25")
     return order_by_score(by_maximum(scored, qid).withColumn("score", rounded(F.col("score"))), qid)
 
 
 def rrf(df: DataFrame, qid: str = "query_id", key: str = "doc_id", text: str = "content", query: str = "query") -> DataFrame:
     """Incoming order and BM25 order fused, divided by the best."""
-    scored = bm25_candidates(df, qid, key, text, query).withColumn("_b", rounded(F.col("bm25")))
+    scored = bm25_candidates(df, qid, text, query).withColumn("_b", rounded(F.col("bm25")))
     second = F.row_number().over(Window.partitionBy(qid).orderBy(F.col("_b").desc(), "ord"))
     fused = scored.withColumn("_r", second).withColumn("score", 1.0 / (RRF_K + F.col("ord")) + 1.0 / (RRF_K + F.col("_r"))).drop("bm25", "_b", "_r")
     return order_by_score(by_maximum(fused, qid).withColumn("score", rounded(F.col("score"))), qid)
