@@ -52,21 +52,23 @@ def join_keyed(big: DataFrame, small: DataFrame, key: str | list[str], how: str
     """Join big to small, whose key is unique, without one hot key of big landing in one task.
 
     small is counted first (it should be a scratch table). Up to broadcast_rows it is broadcast. Beyond that it is
-    replicated salts times and both sides are shuffled by (key, salt), which splits every key of big over salts tasks.
+    replicated salts times and both sides are shuffled by (key, salt), which splits every key of big over salts tasks. Spark
+    would take the copies for no larger than small's compressed files and could send them through the driver, hence the hint.
     """
     keys = [key] if isinstance(key, str) else key
     if small.count() <= broadcast_rows:
         return big.join(F.broadcast(small), keys, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    return spread.join(salted, [*keys, "_salt"], how).drop("_salt")
+    return spread.join(salted.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def join_counted(big: DataFrame, small: DataFrame, keys: str | list[str], broadcast_rows: int = 50_000, least_hot: int = 1_000) -> DataFrame:
     """big joined to small, a table with one row for each key and the number of big's rows with it as _n, without a hot key.
 
     Up to broadcast_rows rows small is sent to every task. Beyond that only the keys of many rows are: those above one
-    part in broadcast_rows of all, of which there can't be more than broadcast_rows. The others are left to a join by key.
+    part in broadcast_rows of all, of which there can't be more than broadcast_rows. The others are left to a join by key,
+    which is never a broadcast: small's compressed files say little of its size on the driver.
     """
     keys = [keys] if isinstance(keys, str) else keys
     n, total = small.agg(F.count(F.lit(1)), F.sum("_n")).first()
@@ -74,7 +76,7 @@ def join_counted(big: DataFrame, small: DataFrame, keys: str | list[str], broadc
         return big.join(F.broadcast(small.drop("_n")), keys)
     hot = F.col("_n") > max(least_hot, total // max(broadcast_rows, 1))
     frequent, rest = F.broadcast(small.filter(hot).drop("_n")), small.filter(~hot).drop("_n")
-    return big.join(frequent, keys).unionByName(big.join(F.broadcast(small.filter(hot).select(*keys)), keys, "left_anti").join(rest, keys))
+    return big.join(frequent, keys).unionByName(big.join(F.broadcast(small.filter(hot).select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys))
 
 
 def ascii_lower(c: Column) -> Column:

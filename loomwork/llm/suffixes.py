@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 from xxhash import xxh64_intdigest as xxh64
 
-from loomwork.llm.common import drop_scratch, join_keyed, only, release, scratch, unknown
+from loomwork.llm.common import drop_scratch, join_counted, join_keyed, only, release, scratch, unknown
 
 LENGTH = 50
 GRAM = 20
@@ -442,7 +442,8 @@ def sort_contexts(length: int):
 
 
 def sort_parts(length: int):
-    """g, p, m, runs of distinct parts of contexts; runs are what a part of the least document m loses. Tasks hold whole groups g."""
+    """g, p, m, _n, runs of distinct parts of contexts; runs are what a part of the least document m loses, _n how many contexts have it.
+    Tasks hold whole groups g."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = gathered(batches)
@@ -455,7 +456,7 @@ def sort_parts(length: int):
         runs = runs_of_groups(g, core, m, pc.binary_length(pieces).to_numpy(), pieces, length)
         rows = pa.array(np.flatnonzero((t.column("n").to_numpy() > 1) | np.isin(np.arange(len(g)), list(runs))))
         lists = pa.array([runs.get(i, []) for i in rows.to_pylist()], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*(t.column(x).take(rows).combine_chunks() for x in ("g", "p", "m")), lists], ["g", "p", "m", "runs"])
+        yield pa.RecordBatch.from_arrays([*(t.column(x).take(rows).combine_chunks() for x in ("g", "p", "m", "n")), lists], ["g", "p", "m", "_n", "runs"])
 
     return run
 
@@ -477,10 +478,10 @@ def halves(parts: DataFrame, length: int) -> DataFrame:
 
 
 def runs_of_crowded(crowded: DataFrame, length: int, hot_contexts: int) -> DataFrame:
-    """h, c, m, runs of the contexts of crowded minimizers, sorted in parts."""
-    whole = crowded.groupBy("h", "c").agg(F.min("least").alias("m"), F.first("piece").alias("piece"), F.first("core").alias("core"))
+    """h, c, m, _n (rows), runs of the contexts of crowded minimizers, sorted in parts."""
+    whole = crowded.groupBy("h", "c").agg(F.min("least").alias("m"), F.count(F.lit(1)).alias("_n"), F.first("piece").alias("piece"), F.first("core").alias("core"))
     parts = whole.select("h", "c", "m", F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"), F.lit(0).alias("at"), "core", "piece")
-    contexts_ = scratch(whole.select("h", "c", "m"), "suffix-crowded", codec="zstd")
+    contexts_ = scratch(whole.select("h", "c", "m", "_n"), "suffix-crowded", codec="zstd")
     found = []
     while True:
         parts = scratch(halves(parts, length), "suffix-parts", codec="zstd")
@@ -489,8 +490,8 @@ def runs_of_crowded(crowded: DataFrame, length: int, hot_contexts: int) -> DataF
         many = scratch(kinds.filter("lo < hi").groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_contexts).select("g"), "suffix-many")
         again = bool(many.head(1))
         ready = kinds.join(many, "g", "left_anti") if again else kinds
-        lost = scratch(ready.select("g", "p", "m", "n", "core", "piece").repartition("g").mapInArrow(sort_parts(length), "g bigint, p bigint, m bigint, runs array<int>"), "suffix-lost", codec="zstd")
-        mine = join_keyed(parts.select("h", "c", F.col("m").alias("own"), "at", F.length("piece").alias("size"), "g", "p"), lost, ["g", "p"])
+        lost = scratch(ready.select("g", "p", "m", "n", "core", "piece").repartition("g").mapInArrow(sort_parts(length), "g bigint, p bigint, m bigint, _n bigint, runs array<int>"), "suffix-lost", codec="zstd")
+        mine = join_counted(parts.select("h", "c", F.col("m").alias("own"), "at", F.length("piece").alias("size"), "g", "p"), lost, ["g", "p"])
         gone = F.when(F.col("own") > F.col("m"), F.array(F.lit(0), F.col("size"))).otherwise(F.col("runs"))
         found.append(mine.select("h", "c", F.transform(gone, lambda x: x + F.col("at")).alias("runs")).filter(F.size("runs") > 0))
         if not again:
@@ -501,7 +502,7 @@ def runs_of_crowded(crowded: DataFrame, length: int, hot_contexts: int) -> DataF
         every = every.unionByName(x)
     # a context has at most length - GRAM + 1 windows, which bounds its list
     runs = every.groupBy("h", "c").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    return contexts_.join(runs, ["h", "c"], "left").select("h", "c", "m", F.coalesce("runs", F.array().cast("array<int>")).alias("runs"))
+    return contexts_.join(runs, ["h", "c"], "left").select("h", "c", "m", "_n", F.coalesce("runs", F.array().cast("array<int>")).alias("runs"))
 
 
 def crowded_minimizers(found: DataFrame, total: int, hot_contexts: int) -> DataFrame:
@@ -522,7 +523,7 @@ def lost_bytes(found: DataFrame, total: int, length: int, hot_contexts: int) ->
         return sort(found)
     crowded = found.join(hot, "h", "left_semi")
     runs = scratch(runs_of_crowded(crowded, length, hot_contexts), "suffix-runs", codec="zstd")
-    spots = join_keyed(crowded.select("h", "c", "slice", "spots", "size"), runs, ["h", "c"])
+    spots = join_counted(crowded.select("h", "c", "slice", "spots", "size"), runs, ["h", "c"])
     return sort(found.join(hot, "h", "left_anti")).unionByName(spots.select("slice", "spots", "m", "size", "runs"))
 
 
