@@ -93,7 +93,15 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     fs, p = file_system(spark, path)
     fs.deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def drop_kept(df: DataFrame) -> None:
+    """Delete a table of kept() that no later plan reads."""
+    fs, p = file_system(df.sparkSession, df._kept_path)
+    fs.delete(p, True)
 
 
 def any_of(column: str, values: list) -> Column:
