@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from loomwork.functions.vectors import cosine
 from loomwork.functions.vectors import score as rounded
 from loomwork.operators.lexical import bm25_candidates, by_maximum
-from loomwork.operators.search import RRF_K
+from loomwork.operators.search import RRF_K, vector_pairs
+
+#: Candidates that a task orders, about, where a query's own are fewer.
+MOST_ORDERED = 1_000_000
 
 
 def order_by_score(df: DataFrame, qid: str = "query_id", order: str = "ord") -> DataFrame:
@@ -35,6 +39,21 @@ def bi_encoder(df: DataFrame, qid: str = "query_id", query_vector: str = "query_
     return order_by_score(df.withColumn("score", rounded(cosine(F.col(query_vector), F.col(vector)))), qid)
 
 
+def bi_encoder_alike(queries: DataFrame, corpus: DataFrame, on: str, qid: str = "query_id", key: str = "doc_id", vector: str = "embedding") -> DataFrame:
+    """qid, key, score, ord: bi_encoder() where a query's candidates are all rows of the corpus that have its value of `on`, in the order of their keys.
+
+    They grow with the square of the table. So scores are made where a row is, vectors aren't shuffled, keys and scores move once and
+    packed, and the number of partitions follows from that of candidates, which is counted first.
+    """
+    sizes = corpus.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).join(queries.groupBy(on).agg(F.count(F.lit(1)).alias("_q")), on)
+    n = sizes.agg(F.sum(F.col("_n") * F.col("_q"))).first()[0] or 0
+    parts = max(corpus.sparkSession.sparkContext.defaultParallelism, math.ceil(n / MOST_ORDERED))
+    packed = vector_pairs(queries, corpus, on, qid, key, vector).repartition(parts, qid)
+    pairs = packed.select(qid, F.inline(F.arrays_zip("keys", "scores")).alias(key, "_s"))
+    place = F.row_number().over(Window.partitionBy(qid).orderBy(F.col("_s").desc(), F.col(key).asc_nulls_last()))
+    return pairs.select(qid, key, (F.col("_s") / 1e6).alias("score"), place.alias("ord"))
+
+
 def cross_encoder(df: DataFrame, replies: DataFrame, qid: str = "query_id") -> DataFrame:
     """replies (qid, index, score): index is the 0-based place of the candidate. Candidates without a reply are dropped;
     a query without replies stays as it was."""

@@ -22,7 +22,7 @@ from loomwork.plans.base import (
     CANDIDATES, DOCS, QUESTIONS, TODAY, candidates, docs, index, query, questions, sql_bm25, sql_keyword_top, sql_round, sql_search_tokens, sql_term_vectors, sql_tokens, states, table, term_vectors, today,
 )
 from loomwork.plans.queries_text import sql_by_route, sql_injected, sql_normal
-from loomwork.sources.tables import shared_dir
+from loomwork.sources.tables import shared_dir, spread
 
 # --- lexical
 
@@ -147,8 +147,7 @@ def cosine_pairs(spark, d):
     SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was) AS ord FROM c""")
 def biencoder_rerank(spark, d):
     q, e = vectors(spark, d)
-    c = e.join(F.broadcast(q.withColumnRenamed("embedding", "query_embedding")), "label").withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("vec_id")))
-    return R.bi_encoder(c).select("query_id", "vec_id", "score", "ord")
+    return R.bi_encoder_alike(q, spread(e), "label", key="vec_id").select("query_id", "vec_id", "score", "ord")
 
 
 @query("semantic_cache_lookup", f"""WITH {VECTOR_QUERIES}, c AS (SELECT vec_id, embedding FROM embeddings ORDER BY vec_id DESC LIMIT 500),
